@@ -5,10 +5,9 @@
    hash, dealt into buckets by hash.
 3. Each bucket finds the hashes that can repeat and tells each group which of its own do.
    A hash found in very many places is marked hot.
-4. Each group cuts the text around its repeating anchors (regions), reduced to one row for
-   each distinct region, and these are dealt by anchor hash.  Hot anchors are split into
-   their single windows, dealt by the whole window's hash, so no key gathers many
-   different texts.
+4. Each group cuts the text around its repeating anchors (regions), and these are dealt
+   by anchor hash.  Hot anchors are split into their single windows, each once a group and
+   dealt by the whole window's hash, so no key gathers many different texts.
 5. A resolver (suffix array or FM-index) decides for each region which windows repeat.
    The answers go back to the groups, which mark the documents.
 
@@ -24,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,21 @@ GROUP_BYTES = 12 << 20
 PIECE = 1 << 19
 #: A hash in more groups, or more often in one group, than this is split by window.
 HOT_GROUPS, HOT_IN_GROUP = 256, 64
-#: Bytes of different regions resolved at once.
-SHARD_BYTES = 3 << 20
+#: Buckets of regions for each group of documents.
+BUCKETS = 2
+#: One row for each group and bucket: the regions' bytes in one compressed blob, and for each region its size, the least
+#: document that has it in the group, how often it stands there, and where (document within the group, first window).
+REGIONS = "bucket int, g int, regions binary, sizes array<int>, least array<long>, times array<int>, owners array<int>, begins array<long>"
+#: The windows that repeat, as bits from the region's first window, for regions that have any.
+ANSWERS = "g int, masks array<long>, times array<int>, owners array<int>, begins array<long>"
 LAST = 2**63 - 1
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 @dataclass(frozen=True)
 class Windows:
     """What repeats: `size` symbols (bytes or words) in a row, anchored by k-grams of `k`.
@@ -134,6 +144,9 @@ def marked(docs: DataFrame, spec: Windows, finish: Callable, schema: str, id_col
     texts, n = grouped(docs, id_col, text_col)
     window, k, by_words, across = spec.size, spec.k, spec.words, spec.across
     resolve = spec.resolve
+    n_buckets = n * BUCKETS
+    if window - k >= 62:
+        raise ValueError("an anchor has up to window - k + 1 windows, which must fit 62 bits")
 
     def found(group: Group):
         for buffer, symbols, b0, b1, docs_, s, e, skipped in group.pieces(window):
@@ -181,134 +194,141 @@ def marked(docs: DataFrame, spec: Windows, finish: Callable, schema: str, id_col
         return pa.table({"g": pa.array(g[at], pa.int32()), "bucket": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "hashes": lists})
 
     def cut(key, left, right):
-        known = {}
-        out: dict[str, list] = {x: [] for x in ("anchor", "region", "least", "n_windows", "owners", "begins")}
+        parts: list[tuple] = []
+        hot_rows: dict[bytes, list] = {}
         if len(left) and len(right):
             column = right["hashes"].combine_chunks()
             told = column.flatten().to_numpy()
             bucket = np.repeat(right["bucket"].to_numpy(), np.diff(column.offsets.to_numpy())).astype(np.int64)
             wanted = (bucket << 29) | (told >> 1)
             order = np.argsort(wanted)
-            wanted, hot = wanted[order], (told & 1)[order]
+            wanted, hot = wanted[order], (told & 1)[order] > 0
             group = Group(left, by_words)
             for buffer, b0, b1, h, first, last, d, begin in found(group):
                 mine = ((h % np.uint64(n)) << np.uint64(29) | ((h >> np.uint64(32)) & np.uint64(2**29 - 1))).astype(np.int64)
                 place = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[place] == mine)
-                is_hot = hot[place[hit]]
-                if is_hot.any():  # one row for each window
-                    one = hit[is_hot > 0]
-                    size = last[one] - first[one] + 1
-                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    cold = hit[is_hot == 0]
-                    first = np.concatenate((first[cold], np.repeat(first[one], size) + step))
-                    last = np.concatenate((last[cold], first[len(cold) :]))
-                    begin = np.concatenate((begin[cold], np.repeat(begin[one], size) + step))
-                    d = np.concatenate((d[cold], np.repeat(d[one], size)))
-                    name = np.concatenate((h[cold].astype(np.int64), np.zeros(len(step), np.int64)))
-                    from_hot = len(cold)
-                else:
-                    first, last, begin, d, name, from_hot = first[hit], last[hit], begin[hit], d[hit], h[hit].astype(np.int64), len(hit)
-                lo = b0[first] if by_words else first
-                hi = b1[last + window - 1] if by_words else last + window
-                for i, (x, y, a, w, doc, at) in enumerate(zip(lo.tolist(), hi.tolist(), name.tolist(), (last - first + 1).tolist(), d.tolist(), begin.tolist())):
-                    region = buffer[x:y]
-                    if i >= from_hot:
-                        a = xxhash.xxh64_intdigest(region) - 2**63
-                    row = known.get((a, region))
-                    if row is None:
-                        row = known[a, region] = len(out["anchor"])
-                        out["anchor"].append(a)
-                        out["region"].append(region)
-                        out["least"].append(group.ids[doc])
-                        out["n_windows"].append(w)
-                        out["owners"].append([doc])
-                        out["begins"].append([at])
-                    else:
-                        out["owners"][row].append(doc)
-                        out["begins"][row].append(at)
+                hit = wanted[place] == mine
+                cold = np.flatnonzero(hit & ~hot[place])
+                for i in np.flatnonzero(hit & hot[place]).tolist():  # one row for each different window
+                    for j in range(first[i], last[i] + 1):
+                        window_ = buffer[b0[j] : b1[j + window - 1]] if by_words else buffer[j : j + window]
+                        hot_rows.setdefault(window_, []).append((int(d[i]), int(begin[i] + j - first[i])))
+                lo = b0[first[cold]] if by_words else first[cold]
+                hi = b1[last[cold] + window - 1] if by_words else last[cold] + window
+                size = hi - lo
+                at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+                raw = np.frombuffer(buffer, np.uint8)[at]
+                parts.append(((h[cold] % np.uint64(n_buckets)).astype(np.int32), size.astype(np.int32), raw, d[cold].astype(np.int32), begin[cold].astype(np.int64)))
+        ones = [len(x) for x in hot_rows.values()]
+        if hot_rows:
+            raw = np.frombuffer(b"".join(hot_rows), np.uint8)
+            bucket = np.array([xxhash.xxh64_intdigest(x) % n_buckets for x in hot_rows], np.int32)
+            owners = np.array([o for x in hot_rows.values() for o, _ in x], np.int32)
+            begins = np.array([o for x in hot_rows.values() for _, o in x], np.int64)
+            parts.append((bucket, np.array([len(x) for x in hot_rows], np.int32), raw, owners, begins))
+        if not parts:
+            return pa.table({f.name: pa.array([], f.type) for f in region_schema}, schema=region_schema)
+        bucket, size, raw, owners, begins = (np.concatenate(x) for x in zip(*parts))
+        times = np.ones(len(bucket), np.int32)
+        times[len(bucket) - len(ones) :] = ones
+        order = np.argsort(bucket, kind="stable")
+        raw = raw[_ranges((np.cumsum(size) - size)[order], size[order])]
+        spread = _ranges((np.cumsum(times) - times)[order], times[order])
+        owners, begins, size, times, bucket = owners[spread], begins[spread], size[order], times[order], bucket[order]
+        row = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.append(row[1:], len(bucket)) if len(row) else row
+        bytes_to = np.append(0, np.cumsum(size))
+        owners_to = np.append(0, np.cumsum(times))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pack(raw[bytes_to[x] : bytes_to[y]].tobytes()) for x, y in zip(row, ends)]
+        lists = lambda v, cuts, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, kind))
+        own = np.append(owners_to[row], len(owners))
+        least = group.ids[owners[owners_to[:-1]]]
         return pa.table(
             {
-                "anchor": pa.array(out["anchor"], pa.int64()),
-                "region": pa.array(out["region"], pa.binary()),
-                "least": pa.array(out["least"], pa.int64()),
-                "n_windows": pa.array(out["n_windows"], pa.int32()),
-                "g": pa.array(np.full(len(out["anchor"]), key[0].as_py(), np.int32)),
-                "owners": pa.array(out["owners"], pa.list_(pa.int32())),
-                "begins": pa.array(out["begins"], pa.list_(pa.int64())),
-            }
+                "bucket": pa.array(bucket[row]),
+                "g": pa.array(np.full(len(row), key[0].as_py(), np.int32)),
+                "regions": pa.array(blobs, pa.binary()),
+                "sizes": lists(size, np.append(row, len(size)), pa.int32()),
+                "least": lists(least, np.append(row, len(size)), pa.int64()),
+                "times": lists(times, np.append(row, len(size)), pa.int32()),
+                "owners": lists(owners, own, pa.int32()),
+                "begins": lists(begins, own, pa.int64()),
+            },
+            schema=region_schema,
         )
 
-    def resolved(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            index: dict[bytes, int] = {}
-            which = np.array([index.setdefault(x, len(index)) for x in table["region"].to_pylist()])
-            regions = list(index)
-            least = np.full(len(regions), LAST)
-            np.minimum.at(least, which, table["least"].to_numpy())
-            times = np.bincount(which, np.diff(table["owners"].combine_chunks().offsets.to_numpy())).astype(np.int64)
-            count = np.zeros(len(regions), np.int64)
-            count[which] = table["n_windows"].to_numpy()
-            masks = [np.packbits(m).tobytes() for m in resolve(regions, count, least, times)]
-            yield from pa.table(
-                {
-                    "g": table["g"],
-                    "least": pa.array(least[which]),
-                    "n_windows": table["n_windows"],
-                    "owners": table["owners"],
-                    "begins": table["begins"],
-                    "mask": pa.array([masks[i] for i in which.tolist()], pa.binary()),
-                }
-            ).to_batches(max_chunksize=10_000)
-
-        for batch in batches:
-            while batch.num_rows:
-                anchor = batch["anchor"].to_numpy()
-                if held and size >= SHARD_BYTES:
-                    same = int(np.argmax(anchor != held[-1]["anchor"][-1].as_py())) if anchor[-1] != held[-1]["anchor"][-1].as_py() else len(anchor)
-                    if same:
-                        held.append(batch.slice(0, same))
-                    if same < len(anchor):
-                        yield from flush()
-                        held, size = [], 0
-                    batch = batch.slice(same)
-                else:
-                    take = min(batch.num_rows, 2_000)
-                    held.append(batch.slice(0, take))
-                    size += held[-1]["region"].get_total_buffer_size() if take == len(anchor) else sum(map(len, held[-1]["region"].to_pylist()))
-                    batch = batch.slice(take)
-        if held:
-            yield from flush()
+    def resolved(key, table):
+        unpack = zstandard.ZstdDecompressor().decompress
+        index: dict[bytes, int] = {}
+        which = []
+        sizes = table["sizes"].combine_chunks()
+        for blob, lengths in zip(table["regions"].to_pylist(), table["sizes"].to_pylist()):
+            raw, at = unpack(blob), 0
+            for x in lengths:
+                which.append(index.setdefault(raw[at : at + x], len(index)))
+                at += x
+        which = np.array(which, np.int64)
+        least_of = table["least"].combine_chunks().flatten().to_numpy()
+        times_of = table["times"].combine_chunks().flatten().to_numpy()
+        least = np.full(len(index), LAST)
+        np.minimum.at(least, which, least_of)
+        times = np.bincount(which, times_of, len(index)).astype(np.int64)
+        regions = list(index)
+        mask = full = np.zeros(0, np.int64)
+        if regions:
+            count = np.array([(r.count(b" ") + 1 if by_words else len(r)) - window + 1 for r in regions], np.int64)
+            full = (np.int64(1) << count) - 1
+            bits = np.concatenate(resolve(regions, count, least, times)).astype(np.int64)
+            first = np.cumsum(count) - count
+            mask = np.add.reduceat(bits << (np.arange(len(bits)) - np.repeat(first, count)), first)
+        mask = mask[which]
+        if across:
+            mask = np.where(least_of > least[which], full[which], mask)
+        n_rows = np.diff(sizes.offsets.to_numpy())
+        g = np.repeat(table["g"].to_numpy(), n_rows)
+        keep = (mask > 0) | (times_of > 1 if across else False)
+        taken = np.repeat(keep, times_of)
+        cuts = np.append(0, np.cumsum(np.add.reduceat(keep, np.cumsum(n_rows) - n_rows))) if len(n_rows) else [0]
+        occurrences = np.append(0, np.cumsum(np.where(keep, times_of, 0)))[np.append(np.cumsum(n_rows) - n_rows, len(keep))]
+        lists = lambda v, cut_, kind: pa.ListArray.from_arrays(pa.array(cut_, pa.int32()), pa.array(v, kind))
+        return pa.table(
+            {
+                "g": table["g"],
+                "masks": lists(mask[keep], cuts, pa.int64()),
+                "times": lists(times_of[keep], cuts, pa.int32()),
+                "owners": lists(table["owners"].combine_chunks().flatten().to_numpy()[taken], occurrences, pa.int32()),
+                "begins": lists(table["begins"].combine_chunks().flatten().to_numpy()[taken], occurrences, pa.int64()),
+            },
+            schema=answer_schema,
+        )
 
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def ended(key, left, right):
         group = Group(left, False)
-        hits: dict[int, list] = {}
-        for least, w, owners, begins, mask in zip(*(right[c].to_pylist() for c in ("least", "n_windows", "owners", "begins", "mask"))):
-            starts = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=w))
-            for d, at in zip(owners, begins):
-                if across and group.ids[d] > least:
-                    hits.setdefault(d, []).append(np.arange(at, at + w))
-                elif len(starts):
-                    hits.setdefault(d, []).append(starts + at)
-        rows = [finish(int(i), text, np.sort(np.concatenate(hits[d])) if d in hits else np.zeros(0, np.int64)) for d, (i, text) in enumerate(zip(group.ids, group.texts))]
+        flat = {c: (right[c].combine_chunks().flatten().to_numpy() if len(right) else np.zeros(0, np.int64)) for c in ("masks", "times", "owners", "begins")}
+        mask, owners, begins = np.repeat(flat["masks"], flat["times"]), flat["owners"], flat["begins"]
+        if across:  # copies of a region in one group: those of later documents have it from the first
+            head = np.repeat(owners[np.cumsum(flat["times"]) - flat["times"]] if len(owners) else owners, flat["times"])
+            mask = np.where(group.ids[owners] > group.ids[head], 1, mask) if len(owners) else mask
+        where, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bit in range(window - k + 1):
+            on = np.flatnonzero((mask >> bit) & 1)
+            where.append(begins[on] + bit)
+            who.append(owners[on])
+        where, who = np.concatenate(where), np.concatenate(who)
+        order = np.lexsort((where, who))
+        where, cuts = where[order], np.searchsorted(who[order], np.arange(len(group.texts) + 1))
+        rows = [finish(int(i), text, where[cuts[d] : cuts[d + 1]]) for d, (i, text) in enumerate(zip(group.ids, group.texts))]
         return pa.table({f: [r[i] for r in rows] for i, f in enumerate(fields)}, schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target, region_schema, answer_schema = (to_arrow_schema(_parse_datatype_string(x)) for x in (schema, REGIONS, ANSWERS))
     lists = texts.groupBy("g").applyInArrow(listed, "bucket int, g int, hashes array<int>")
     told = lists.groupBy("bucket").applyInArrow(shared, "g int, bucket int, hashes array<int>")
-    regions = texts.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(
-        cut, "anchor long, region binary, least long, n_windows int, g int, owners array<int>, begins array<long>"
-    )
-    answers = regions.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        resolved, "g int, least long, n_windows int, owners array<int>, begins array<long>, mask binary"
-    )
+    regions = texts.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(cut, REGIONS)
+    answers = regions.groupBy("bucket").applyInArrow(resolved, ANSWERS)
     return texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(ended, schema)

@@ -173,6 +173,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         parts += words[at:]
         return (None if i == LAST else i, len(words), starts.tolist(), ends.tolist(), b" ".join(parts).decode("utf-8", "replace"))
 
-    k = max(1, min(12, window // 2))
+    k = max(1, min(12, window // 2), window - 40)
     spec = Windows(window, k, True, False, _resolver(window))
     return marked(docs, spec, finish, "doc_id long, n_words long, starts array<long>, ends array<long>, kept string", id_col, text_col)

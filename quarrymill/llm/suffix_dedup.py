@@ -123,6 +123,6 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         parts.append(text[at:])
         return (None if i == LAST else i, len(text), starts.tolist(), ends.tolist(), b"".join(parts))
 
-    k = max(1, min(24, length // 2))
+    k = max(1, min(24, length // 2), length - 40)
     spec = Windows(length, k, False, True, _resolver(length))
     return marked(docs, spec, finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary", id_col, text_col)
