@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LAST = 2**63 - 1
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -21,7 +22,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.md5(key, usedforsecurity=False).digest()
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Drop lines whose key stands in at least min_docs documents, except in the largest id that has it.
 
     Lines end at newlines; a key is the line without spaces and 0x09-0x0D at both ends, with
@@ -31,11 +32,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     Returns (doc_id, n_lines, n_dropped, kept): kept is the other lines, joined by newlines.
     A null or empty text is one empty line.  A null id counts as one document that comes
     last and returns as null; rows with the same id are one document when documents are
-    counted, and each row is returned; other columns are ignored.
+    counted, and each row is returned; other columns are ignored, or with `keep` returned
+    in the struct `row`.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep else []),
     )
 
     def keys(batches) -> Iterator[pa.RecordBatch]:
@@ -61,12 +64,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(text)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_lines", "n_dropped", "kept"],
+                [batch["doc"], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *([batch["row"]] if keep else [])],
+                ["doc_id", "n_lines", "n_dropped", "kept", *(["row"] if keep else [])],
             )
 
-    held = rows.mapInArrow(keys, "doc long, key binary")
+    held = rows.select("doc", "text").mapInArrow(keys, "doc long, key binary")
     common = held.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
     drops = held.join(common, "key").where("doc != last").groupBy("doc").agg(F.collect_set("key").alias("dropped"))
-    out = rows.join(drops, "doc", "left").mapInArrow(reassembled, "doc_id long, n_lines long, n_dropped long, kept string")
+    schema = StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept string")
+    out = rows.join(drops, "doc", "left").mapInArrow(reassembled, schema.add(rows.schema["row"]) if keep else schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

@@ -9,6 +9,7 @@ from quarrymill.llm.decontaminate import benchmark_hits
 from quarrymill.llm.language_id import languages
 from quarrymill.llm.line_dedup import line_dedup
 from quarrymill.llm.mixing import mix_sources
+from quarrymill.llm.pii import KINDS, personal_data
 from quarrymill.llm.quality import judged
 from quarrymill.llm.secret_scan import secret_spans
 from quarrymill.llm.simhash import simhash_groups
@@ -69,6 +70,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, KINDS))
+    spans = F.transform("spans", lambda x: F.struct(F.element_at(names, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"] != "context")
+    return found.select("doc_id", spans.alias("spans")).select(
+        "doc_id", *map(count, KINDS[:4]), F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans")
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
@@ -142,9 +154,10 @@ def queries() -> dict:
         "op4_mix_sources": op4_mix_sources,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_rules": op6_quality_rules,
-        "op10_language_id": op10_language_id,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op9_personal_data": op9_personal_data,
+        "op10_language_id": op10_language_id,
     }
 
 
