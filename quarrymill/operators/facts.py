@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.functions.text import all_matches, mask_comments, newlines, normalize_lf, pragma_part
+from quarrymill.storage import written
 
 #: Words that look like calls or types but are none.
 CONTROL_WORDS = ["if", "for", "while", "do", "else", "return", "returns", "require", "assert", "revert", "emit", "new", "catch", "try", "function", "modifier", "event", "error", "mapping", "assembly", "unchecked", "using", "delete", "type", "abi", "address", "payable", "uint", "uint256", "int", "int256", "bytes", "string", "bool"]
@@ -101,7 +102,7 @@ class Facts:
             F.struct(name.alias("fn"), F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), F.col("i").alias("open_i"), F.col("close_i"), is_modifier.alias("is_modifier"), params.alias("params"), rest.alias("rest"), found(r"^(\w+)", 1).alias("word")),
         )
         rows = rows.withColumn("u", F.last(unit, ignorenulls=True).over(order)).withColumn("u", F.when((F.col("u.close_i") >= F.col("i")), F.col("u")))
-        return rows
+        return written(rows, "pieces")  # nearly every fact reads this table
 
     @cached_property
     def contracts(self) -> DataFrame:
@@ -167,7 +168,7 @@ class Facts:
         text = F.translate(F.regexp_replace(F.array_join("p.piece", ""), r"^\s+|\s+$", ""), OPTION, "{}")
         rows = rows.withColumn("text", text).where(~F.col("text").isin("", "}", "{", ";"))
         number = F.row_number().over(W.partitionBy("source_id", "open_i").orderBy("g"))
-        return rows.select("source_id", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text")
+        return rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text")
 
     @cached_property
     def lines(self) -> DataFrame:
