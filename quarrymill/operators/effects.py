@@ -12,6 +12,7 @@ from quarrymill.functions import patterns as P
 from quarrymill.functions.text import all_matches
 from quarrymill.operators.facts import Facts
 from quarrymill.operators.graph import Graph
+from quarrymill.storage import written
 
 KEY = ["source_id", "open_i"]
 
@@ -41,7 +42,8 @@ class Effects:
         method = F.lower(F.regexp_extract("code", P.QUALIFIED_CALL, 2))
         external = code.rlike(P.LOW_LEVEL) | (method.isin(P.CALL_METHODS) & ~method.isin(P.READ_METHODS) & ~method.rlike(P.READ_PREFIXES))
         rows = rows.withColumn("writes", ~code.rlike(P.NO_WRITE) & assigns & named)
-        return rows.withColumn("critical", F.col("writes") & code.rlike(P.SENSITIVE_WORDS)).withColumn("method", method).withColumn("external", external).withColumn("asset", code.rlike(P.ASSET_SINK)).drop("base", "aliased")
+        rows = rows.withColumn("critical", F.col("writes") & code.rlike(P.SENSITIVE_WORDS)).withColumn("method", method).withColumn("external", external).withColumn("asset", code.rlike(P.ASSET_SINK))
+        return written(rows.drop("base", "aliased"), "line_flags")
 
     @cached_property
     def state_writes(self) -> DataFrame:
@@ -70,7 +72,7 @@ class Effects:
         writes = writes.join(scope, ["source_id", "contract", "name"]).select(*KEY, "fn", "line", "end_line", F.lit("state_write").alias("kind"), F.lit("").alias("method"), F.col("name").alias("receiver"), no.alias("low_level"), no.alias("asset_call"), no.alias("callback_capable"), no.alias("inherited"))
         up = st.select(*KEY, "fn", F.col("start_line").alias("line"), "end_line", F.explode(all_matches(F.col("text"), r"\bsuper\s*\.\s*([A-Za-z_]\w*)\s*\(", 1)).alias("method"))
         up = up.select(*KEY, "fn", "line", "end_line", F.lit("state_write").alias("kind"), "method", F.lit("super").alias("receiver"), no.alias("low_level"), no.alias("asset_call"), no.alias("callback_capable"), F.lit(True).alias("inherited"))
-        return calls.union(writes).union(up)
+        return written(calls.union(writes).union(up), "effects")
 
     @cached_property
     def write_closure(self) -> DataFrame:
@@ -103,10 +105,11 @@ class Effects:
         status = F.when(yes(F.col("identity")), "effective_identity").when(F.size("origin_lines") > 0, "tx_origin_identity").when(F.size("identity_lines") > 0, "effective_identity").when(yes(F.col("only")), "unclassified_only_modifier").otherwise("none")
         none = F.array().cast("array<int>")
         evidence = F.when(yes(F.col("identity")), F.array("identity_line")).when(F.size("origin_lines") > 0, F.col("origin_lines")).when(F.size("identity_lines") > 0, F.col("identity_lines")).when(yes(F.col("only")), F.array("start_line")).otherwise(none)
-        return rows.select(
+        rows = rows.select(
             *KEY, "contract", "fn", "start_line", "visibility", "mutability", "is_constructor", "modifiers", "body", auth.alias("auth_guard"), mutex.alias("mutex_guard"),
             status.alias("auth_status"), evidence.alias("auth_lines"), yes(F.col("lock")).alias("mutex"), F.when(yes(F.col("lock")), F.array("lock_line")).otherwise(none).alias("mutex_lines"),
         )
+        return written(rows, "guards")
 
     @cached_property
     def admin_restricted(self) -> DataFrame:
@@ -121,8 +124,6 @@ class Effects:
         The call tree is expanded at each call line; a chain that would enter a function twice
         is cut.  The order is an array of lines, one for each call on the way.
         """
-        from quarrymill.storage import written
-
         roots = self.graph.roots.select("source_id", F.col("open_i").alias("root"), F.col("open_i").alias("at"), F.array("open_i").alias("chain"), F.array().cast("array<int>").alias("way"))
         edges = self.graph.edges.select("source_id", F.col("caller").alias("at"), "line", "callee")
         level = written(roots, "calls")
@@ -137,7 +138,7 @@ class Effects:
         order = F.concat("way", F.array("line"))
         rows = tree.join(events, ["source_id", "at"]).select("source_id", "root", F.col("at").alias("fn_id"), "line", "kind", order.alias("order"))
         step = F.row_number().over(W.partitionBy("source_id", "root").orderBy("order", "kind"))
-        return rows.withColumn("step", step)
+        return written(rows.withColumn("step", step), "events")
 
     @cached_property
     def reentrancy_summary(self) -> DataFrame:

@@ -168,7 +168,7 @@ class Facts:
         text = F.translate(F.regexp_replace(F.array_join("p.piece", ""), r"^\s+|\s+$", ""), OPTION, "{}")
         rows = rows.withColumn("text", text).where(~F.col("text").isin("", "}", "{", ";"))
         number = F.row_number().over(W.partitionBy("source_id", "open_i").orderBy("g"))
-        return rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text")
+        return written(rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text"), "statements")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -179,7 +179,8 @@ class Facts:
         """Lines of functions: each line with the innermost function that holds it."""
         spans = self.functions.select("source_id", "contract", "fn", "start_line", "end_line", "visibility", "mutability", "modifiers", "is_constructor", "open_i", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
         inner = F.row_number().over(W.partitionBy("source_id", "line_no").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "fn"))
-        return spans.withColumn("r", inner).where("r = 1").drop("r").join(self.lines.select("source_id", "line_no", "code"), ["source_id", "line_no"])
+        rows = spans.withColumn("r", inner).where("r = 1").drop("r").join(self.lines.select("source_id", "line_no", "code"), ["source_id", "line_no"])
+        return written(rows, "line_functions")
 
     @cached_property
     def bodies(self) -> DataFrame:

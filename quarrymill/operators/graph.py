@@ -65,7 +65,7 @@ class Graph:
         found = found.withColumn("r", near).where("r = 1 and callee <> caller")
         sup = up.join(scope.where("depth = 1"), ["source_id", "contract"]).withColumn("key", F.lower("name")).join(f, ["source_id", "ancestor", "key"])
         cols = ["source_id", "caller", "caller_fn", "line", "callee", "callee_fn"]
-        return found.select(cols).union(sup.select(cols)).distinct()
+        return written(found.select(cols).union(sup.select(cols)).distinct(), "edges")
 
     @cached_property
     def reach(self) -> DataFrame:

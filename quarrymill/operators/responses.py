@@ -45,7 +45,6 @@ def _parsed(text: str) -> tuple[str, str]:
     return ("JSON_OBJECT" if isinstance(value, dict) else "NON_OBJECT_JSON"), canonical
 
 
-@F.pandas_udf("struct<class: string, canonical: string>")
 def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([("EMPTY_RESPONSE", "") if not t or not t.strip() else _parsed(t) for t in texts], columns=["class", "canonical"])
 
@@ -58,7 +57,8 @@ def classify_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     is_bytes = dict(df.dtypes)[raw] == "binary"
     valid = F.is_valid_utf8(F.col(raw).cast("string")) if is_bytes else F.lit(True)
     text = normalize_lf(F.coalesce(F.col(raw).cast("string"), F.lit("")))
-    rows = df.withColumn("utf8_valid", F.coalesce(valid, F.lit(True))).withColumn("p", _parse(F.when(F.col("utf8_valid"), text).otherwise("")))
+    parse = F.pandas_udf(_parse, "struct<class: string, canonical: string>")
+    rows = df.withColumn("utf8_valid", F.coalesce(valid, F.lit(True))).withColumn("p", parse(F.when(F.col("utf8_valid"), text).otherwise("")))
     kind = F.when(~F.col("utf8_valid"), "INVALID_UTF8").otherwise(F.col("p.class"))
     rows = rows.withColumn("class", kind).withColumn("canonical", F.col("p.canonical")).drop("p")
     present = F.when(F.col("class") == "INVALID_UTF8", F.octet_length(raw) > 0).otherwise(F.col("class") != "EMPTY_RESPONSE")
