@@ -976,20 +976,6 @@ EXPECTED = {
         (9, 'swapBound', 16, 18, 'amount'),
         (9, 'swapBound', 17, 18, 'quoted'),
     ]),
-    'gr12_backward_slice': ('n_kept:i', [
-        (0, 23),
-        (1, 17),
-        (10, 23),
-        (11, 9),
-        (2, 16),
-        (3, 25),
-        (4, 26),
-        (5, 18),
-        (6, 22),
-        (7, 10),
-        (8, 12),
-        (9, 17),
-    ]),
     'ef1_direct_effects': ('fn:s line:l end_line:l kind:s method:s receiver:s low_level:b asset_call:b callback_capable:b inherited:b', [
         (0, 'deposit', 12, 12, 'state_write', '', 'balances', False, False, False, False),
         (0, 'guarded', 20, 20, 'external_call', 'call', 'sender', True, True, True, False),

@@ -31,6 +31,8 @@ def _literal(value, kind: str) -> str:
 def expected_sql(name: str) -> str:
     columns, rows = EXPECTED[name]
     kinds = [c.split(":") for c in columns.split()]
+    if not rows:  # no template gives a row
+        rows = [(-1, *({"l": 0, "L": [], "i": 0, "d": 0.0, "b": False, "S": []}.get(k, "") for _, k in kinds))]
     shift = "(CASE WHEN {x} > a.after THEN p.p_size % 5 ELSE 0 END)"
     values = ",\n".join("(" + ", ".join([str(r[0]), *(_literal(v, k) for v, (_, k) in zip(r[1:], kinds))]) + ")" for r in rows)
     out = []
