@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm.anchors import kgram_hashes
-from quarrymill.llm.words import word_hashes, word_spans
+from quarrymill.llm.words import small, word_hashes, word_spans
 
 #: Bytes of benchmark text whose windows are broadcast at once; larger benchmarks take several scans.
 PIECE_BYTES = 4 << 20
@@ -109,7 +109,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
         F.array().cast("array<long>").alias("starts"),
         F.array().cast("array<long>").alias("ends"),
         F.array().cast("array<string>").alias("items"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
+        *([F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep else []),
     )
     schema = out.schema
     for piece in range(pieces):
@@ -118,7 +118,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
 
         def scan(batches, shared=shared) -> Iterator[pa.RecordBatch]:
             windows, filters = shared.value
-            for batch in batches:
+            for batch in small(batches):
                 found = _scanned(batch["text"].to_pylist(), windows, filters)
                 starts, ends, named = [], [], []
                 for (_, runs, mine), s, e, before in zip(found, *(batch[c].to_pylist() for c in ("starts", "ends", "items"))):
@@ -166,12 +166,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_sh
     kept = hits.where(n_hit <= max_share * F.col("n_words"))
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [without_hits(t, s, e).decode() if s else None for t, s, e in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends")))]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "left"])
-
-    row = kept.schema["row"].dataType
-    out = kept.select("row", "text", "starts", "ends").mapInArrow(cut, T.StructType([T.StructField("row", row), T.StructField("left", T.StringType())]))
-    text = F.coalesce("left", "row.text")
-    new = {"text": text, "n_chars": F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left").cast(row["n_chars"].dataType)) if "n_chars" in row.names else None}
-    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in row.names])
+        for batch in small(batches):
+            texts = [without_hits(t, s, e) if s else t for t, s, e in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends")))]
+            touched = pa.array([bool(s) for s in batch["starts"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.binary()).cast(pa.string()), touched], ["row", "left", "touched"])
+
+    row = kept.schema["row"]
+    schema = T.StructType([row, T.StructField("left", T.StringType()), T.StructField("touched", T.BooleanType())])
+    out = kept.select("row", "text", "starts", "ends").mapInArrow(cut, schema)
+    new = {"text": F.when(~F.col("row.no_text"), F.col("left"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("touched"), F.char_length("left").cast(row.dataType["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

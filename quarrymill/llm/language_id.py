@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.words import small
+
 UNKNOWN = "und"
 BUCKETS, WIDTH = 1 << 12, 16
 _SIZES = (2, 3, 4)
@@ -123,7 +125,7 @@ def trained(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", te
     chosen = rows.where((F.pmod(F.xxhash64(F.lit("languages"), "id"), F.lit(1_000_000)) / 1_000_000) < share)
 
     def turned(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = [features(t.encode()) for t in batch["text"].to_pylist()]
             where = [np.flatnonzero(v) for v in x]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +173,7 @@ def languages(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def predict(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch["text"].to_pylist()
             names, scores, at = [], [], 0
             while at < len(texts):

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarrymill.llm.words import small
+
 LAST = 2**63 - 1
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -42,7 +44,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     )
 
     def keys(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             owners, found = [], []
             for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
                 mine = {line_key(x, min_chars) for x in text.split(b"\n")}
@@ -52,7 +54,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.binary())], ["doc", "key"])
 
     def reassembled(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n_lines, n_dropped, kept = [], [], []
             for text, dropped in zip(batch["text"].to_pylist(), batch["dropped"].to_pylist()):
                 lines = text.split(b"\n")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.graph import components
 from quarrymill.llm.scratch import written
+from quarrymill.llm.words import small
 
 LAST = 2**63 - 1
 #: Probe groups up to SMALL list all their pairs; up to LARGE they are walked in one task; beyond, they are linked by midpoints.
@@ -67,7 +68,7 @@ def fingerprints(texts: list[bytes], words: int) -> np.ndarray:
 
 def _fingerprinted(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints = fingerprints(batch["text"].to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(prints.view(np.int64))], ["doc", "print"])
 

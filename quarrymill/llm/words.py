@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from quarrymill.llm.anchors import mix64
 
@@ -36,3 +39,10 @@ def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     values = _TABLE[place]
     values[ends[:-1]] = 0
     return mix64(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task turns few texts into Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
