@@ -1777,4 +1777,80 @@ EXPECTED = {
         (9, 'FR2', 'front_running', 'Market@', 'approveSpender', 'approveSpender', 'approveSpender', 21, None, [21], [], [], 0.6, 'FR2'),
         (9, 'FR3', 'front_running', 'Market@', 'swapAll', 'swapAll', 'swapAll', 13, None, [13], [], [], 0.7, 'FR3'),
     ]),
+    'hi2_hard_facts': ('fn:s line:l fact:s', [
+        (0, 'guarded', 20, 'checked_return'),
+        (0, 'orderly', 26, 'checked_return'),
+        (0, 'withdraw', 15, 'checked_return'),
+        (1, 'lost', 24, 'unreachable'),
+        (1, 'pay', 12, 'checked_return'),
+        (5, 'branched', 14, 'checked_return'),
+        (5, 'dropped', 5, 'dropped_return'),
+        (5, 'required', 11, 'checked_return'),
+        (5, 'unused', 8, 'dropped_return'),
+    ]),
+    'gr14_def_use_chains': ('fn:s source:s name:s line:l sink:s sink_line:l', [
+        (0, 'guarded', 'caller', 'ok', 20, 'require', 21),
+        (0, 'orderly', 'caller', 'ok', 26, 'require', 27),
+        (0, 'withdraw', 'caller', 'ok', 15, 'require', 16),
+        (1, 'pay', 'caller', 'ok', 12, 'require', 13),
+        (10, 'release', 'time', 'current', 18, 'require', 19),
+    ]),
+    'uc5_undebited_transfers': ('fn:s line:l', [
+        (0, 'guarded', 20),
+        (0, 'withdraw', 15),
+        (1, 'pay', 12),
+        (10, 'release', 20),
+        (9, 'buy', 9),
+    ]),
+    'uc7_tracked_results': ('fn:s line:l method:s tracking:s check_line:l', [
+        (0, 'guarded', 20, 'call', 'delayed_check', 21),
+        (0, 'orderly', 26, 'call', 'delayed_check', 27),
+        (0, 'withdraw', 15, 'call', 'delayed_check', 16),
+        (1, 'pay', 12, 'call', 'delayed_check', 13),
+        (5, 'branched', 14, 'call', 'delayed_check', 15),
+        (5, 'dropped', 5, 'call', 'orphan', None),
+        (5, 'emitted', 23, 'delegatecall', 'never_checked', None),
+        (5, 'unused', 8, 'call', 'never_checked', None),
+    ]),
+    'ar2_arithmetic_sinks': ('fn:s line:l name:s sink:s sink_line:l', [
+        (8, 'scale', 19, 'c', 'return', 20),
+    ]),
+    'ar3_provenance': ('fn:s line:l provenance:s impact_line:l', [
+        (8, 'mint', 10, 'state_write', 10),
+        (8, 'mint', 9, 'state_write', 9),
+        (8, 'scale', 19, 'sink', 20),
+    ]),
+    'ef4_callback_events': ('fn:s line:l callback:s', [
+        (0, 'guarded', 20, 'low_level_value_call'),
+        (0, 'orderly', 26, 'low_level_value_call'),
+        (0, 'withdraw', 15, 'low_level_value_call'),
+        (1, 'pay', 12, 'low_level_value_call'),
+        (10, 'release', 20, 'native_transfer'),
+        (4, 'sweep', 23, 'token_transfer'),
+        (5, 'branched', 14, 'arbitrary_action'),
+        (5, 'dropped', 5, 'arbitrary_action'),
+        (5, 'emitted', 23, 'arbitrary_action'),
+        (5, 'required', 11, 'native_transfer'),
+        (5, 'returned', 20, 'native_transfer'),
+        (5, 'unused', 8, 'arbitrary_action'),
+        (6, 'kept', 14, 'token_transfer'),
+        (6, 'loose', 11, 'token_transfer'),
+        (6, 'strict', 18, 'token_transfer'),
+        (9, 'buy', 9, 'native_transfer'),
+        (9, 'swapAll', 13, 'pool_callback'),
+        (9, 'swapBound', 18, 'pool_callback'),
+    ]),
+    'ef8_best_state_writes': ('fn:s call_line:l write_line:l score:i', [
+        (0, 'guarded', 20, 22, 100),
+        (0, 'withdraw', 15, 17, 100),
+    ]),
+    'gu5_complete_guards': ('fn:s n:i complete:b', [
+        (0, 'deposit', 1, False),
+        (0, 'guarded', 1, False),
+        (0, 'orderly', 1, False),
+        (0, 'withdraw', 1, False),
+        (2, '_grant', 1, False),
+        (8, 'mint', 1, False),
+        (8, 'move', 2, True),
+    ]),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import candidates as C
 from quarrymill.operators import facts as T
+from quarrymill.operators import flows as L
 from quarrymill.operators import responses as M
 from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
@@ -91,6 +92,15 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "tm2_temporal_relations": lambda e: R.temporal_relations(e),
     "tm13_temporal_summary": _temporal_summary,
     "hi1_hints": lambda e: R.hints(e),
+    "hi2_hard_facts": lambda e: L.hard_facts(e),
+    "gr14_def_use_chains": lambda e: L.def_use_chains(e),
+    "uc5_undebited_transfers": lambda e: L.undebited_transfers(e),
+    "uc7_tracked_results": lambda e: L.tracked_results(e),
+    "ar2_arithmetic_sinks": lambda e: L.arithmetic_sinks(e),
+    "ar3_provenance": lambda e: L.arithmetic_provenance(e),
+    "ef4_callback_events": lambda e: L.callback_events(e),
+    "ef8_best_state_writes": lambda e: L.best_state_writes(e),
+    "gu5_complete_guards": lambda e: L.complete_arithmetic_guards(e),
     "ca1_union": lambda e: C.all_candidates(e).select(_CANDIDATE),
     "ca2_append": lambda e: C.append_candidates(R.rule_re1(e), R.rule_re2(e)).select(_CANDIDATE),
     "ca3_normalize": lambda e: C.normalize(C.all_candidates(e), e).select("source_id", "rule_id", "fn", "line", "evidence_lines"),
