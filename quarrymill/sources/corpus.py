@@ -369,7 +369,9 @@ SOURCES_SQL = f"sources AS (SELECT p_partkey AS source_id, concat('c/', CAST(p_p
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, path, text): one source for each part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # a part is a few bytes, its text is not: deal the keys out before the texts are made
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(n, "p_partkey")
     key = F.col("p_partkey")
     return part.select(
         key.cast("long").alias("source_id"),
