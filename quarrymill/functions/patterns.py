@@ -40,4 +40,39 @@ IDENTITY_CALL = r"(?i)\b(?:hasRole|_checkRole|isAuthorized|isWhitelisted|isAllow
 _SENDER = r"(?:msg\s*\.\s*sender|_msgSender\s*\(\)|tx\s*\.\s*origin)"
 _SUBJECT = r"(?:owner|admin|guardian|operator|governance|manager|role|permission|authorized|whitelist|allowlist|members?|admins?|operators?|roles?|(?:new|pending|proposed|next|candidate|queued)[A-Za-z_]\w*)(?:\s*\[[^\]]+\])?"
 IDENTITY_CHECK = rf"(?i)\b(?:require|assert|if)\s*\([^;{{}}]*(?:{_SENDER}\s*(?:==|!=)\s*{_SUBJECT}|{_SUBJECT}\s*(?:==|!=)\s*{_SENDER})"
+BALANCE_READ = r"(?i)\.\s*balanceOf\s*\("
+CALL_RECEIVER = r"(?i)([A-Za-z_]\w*)\s*\.\s*call\s*(?:\{[^}\r\n]*\}\s*)?\("
+CALLER_CLOSURE = r"(?i)(?:_store\s*\(\)|\.\s*data\b|\b(?:balance|balances|amount|claim|deposit|fund|refund|reserve|reward|share|state|status|total)\b)[^;]*(?:=|\+=|-=|\*=|/=)(?!=)"
+VIEW_METHODS = r"(?:is[A-Z]\w*|supportsInterface|balanceOf|decimals|totalSupply|get[A-Z]\w*|latestVault|pricePerShare|current[A-Z]\w*)"
+CALLBACK_METHODS = r"(?i)^(?:swap|addliquidity|removeliquidity|deposit|withdraw|mint|burn|execute|transfer|send|approve|stake|unstake|flash|borrow|repay|call)"
+TEMPORAL_FIELD = r"(?i)\b(?:deadline|expiry|expiration|expiresAt|validUntil|validAfter|unlockTime|endTime|startTime|createdAt|updatedAt|timestamp|currentExpiration|last(?:Update|Event|Beat|InflationDecay)|duration(?:Days|Seconds)?|cooldown|epoch(?:Timestamp)?|observationTimestamp|publishTime|withdrawTime)\b"
+ORDER_TIME = r"(?i)\b_?(?:expiration|expiry|deadline|expiresAt|validUntil)\b"
+ORDER_RECORD = r"(?i)\b(?:storage|memory)\s+[A-Za-z_]\w*\s*=\s*[A-Za-z_]\w*\s*\[[^\]]+\]"
+ORDER_ASSET = r"(?i)\b(?:safeTransferFrom|safeTransfer|transferFrom|transfer|_swap|swap|_cancelOrder|_addOpenOrder|_removeOpenOrder|_transferFees)\s*\("
+RECOVERS = r"(?i)\b(?:recoverSigner|ecrecover|SignatureChecker|ECDSA)\b"
+LIFECYCLE_BOUND = r"(?i)\b(?:deadline|expiry|expiration|validUntil|expiresAt)\b"
+TIME_PROVIDER = r"(?i)^(?:get|read|current|fetch|load)?(?:block)?(?:timestamp|time|now)$"
+TIME_OR_BLOCK = r"(?i)\b(?:block\s*\.\s*(?:timestamp|number)|now)\b"
+TIME_CONDITION = r"(?i)\b(?:if|require|assert)\s*\([^\n{}]*\b(?:block\s*\.\s*timestamp|now|time\w*|timestamp\w*|elapsed\w*|deadline\w*|duration\w*|epoch\w*|start|end)\b"
+VESTING_ASSET = r"(?i)\b(?:safeTransferFrom|safeTransfer|transferFrom|transfer|sendValue|mint|burn|withdraw|redeem|claim|release|unlock|deposit|stake|settle|payout|swap)\s*\("
+POWER_HELPER = r"(?i)(?<![.\w])(?:[A-Za-z_]\w*\s*\.\s*)?(?:safePower|bpow|pow|power|exp)\s*\("
+FINANCIAL = r"(?i)\b(?:reserve|liquidity|invariant|quote|price|amount|value|reward|collateral|share|supply|fee|validator|commitment|calibrat|exchange|pool|balance|swap|allocate|callback|burn|redeem|deposit|withdraw|liquidat|reinvest|harvest|commit|provide|execute)\w*\b"
+PRIVILEGED_NAME = r"(?i)^(?:rescue|sweep|recover|salvage|seize|drain|emergency\w*|withdrawall|withdrawtoken|upgrade\w*|set\w*|init(?:ialize)?\w*)$"
+ASSET_OPERATION = r"(?i)\.(?:transfer|transferFrom|safeTransfer|safeTransferFrom|sendValue|deposit|withdraw|stake|unstake|swap|execute|settle|liquidate|flashLoan|sendETH|sendEther|withdrawETH|withdrawEther)\s*\("
+GLOBAL_WRITE = r"(?i)\b(?:_?totalSupply|owner|admin(?:s)?|governance|guardian|operator|minter|pauser|roles?|permissions?|allow(?:ed|list)|currentModel|stakingRateModel|router|controller|treasury|vault|implementation|initialized|emissionRate|endBlock|startBlock)\b(?:\s*\[[^\]]+\])?\s*(?:=|\+=|-=|\*=|/=|\+\+|--)(?!=)"
+CALLER_SCOPED = r"(?i)\b(?:balances?|staked\w*|votingPower|vaults?|troves?|stake\w*|reward\w*|referral\w*|deposit\w*|claim\w*)\s*\[[^\]]*(?:msg\s*\.\s*sender|_msgSender\s*\(\)|caller)\b"
+CALLER_REFUND = r"(?i)\bmsg\s*\.\s*sender\s*\.\s*transfer\s*\(\s*msg\s*\.\s*value(?:\s*[-+]\s*[^)\n;]+)?\s*\)"
+SUBJECT_ASSET = r"(?i)\b(?:getTrove\w*|getPosition\w*|getCollateral\w*|getDebt\w*|closeTrove|removeStake|applyPendingRewards|sendETH|sendEther|_repay\w*|repay\w*|withdraw\w*|redeem\w*|unstake\w*|safeTransfer(?:From)?|transfer(?:From)?)\s*\([^;{}\n]*\b(?:msg\s*\.\s*sender|_msgSender\s*\(\))"
+WORKFLOW_STATE = r"(?i)\b(?:commitments?|nonces?|requests?|orders?|pending\w*|reveals?|reimbursements?|refunds?)\b"
+TIME_STATE = r"(?i)\b(?:lastUpdateTimestamp|timeElapsed|stakingRate|stakingRateStored|ratePerSecond|timestamp|epoch|deadline|unlockTime)\b"
+RECEIPT_FLOW = r"(?i)\.(?:safeTransferFrom|transferFrom|safeTransfer|transfer)\s*\([^;{}\n]*(?:msg\s*\.\s*sender|_msgSender\s*\(\)|address\s*\(\s*this\s*\))"
+OWN_BALANCE = r"(?i)\bbalanceOf\s*\(\s*address\s*\(\s*this\s*\)\s*\)|\baddress\s*\(\s*this\s*\)\s*\.\s*balance\b"
+SWAP_CALL = r"\b(_swapToken|_swap|swapExact[A-Za-z0-9_]*|exactInput(?:Single)?)\s*\("
+QUOTE_CALL = r"(?i)\b(?:getAmountsOut|getAmountOut|amountOut|quote|value|balanceOf)\s*\("
+SETTLE_SINK = r"(?i)\b(?:swapExact[A-Za-z0-9_]*|swapTokens[A-Za-z0-9_]*|exactInput[A-Za-z0-9_]*|addLiquidity|transfer|safeTransfer|transferFrom|send|call(?:\s*\{[^}]*\})?|delegatecall|mint|_mint|deposit|reinvest|compound|harvest|trade|_update[A-Za-z0-9_]*)\s*\("
+RATIO_QUOTE = r"(?i)\b[A-Za-z_]\w*\s*\*[^;\n]{0,180}?/\s*(?:[A-Za-z_]\w*\s*\.\s*)?value\s*\("
+ZERO_BOUND = r"(?i)(?:amountOutMinimum|minOut|minShares|minimumShares)\s*[:=]\s*0|,\s*0\s*,"
+SLIPPAGE_BOUND = r"(?i)\b(?:slippage|amountOutMinimum|amountOutMin|minOut|minShares)\w*\b"
+SIGNED_EXECUTION = r"(?i)\b(?:sign(?:Data|ature)?|verify(?:Sign|Signature)?|signature|callData|timestamp|nonce|expiry|validUntil)\b"
+COMPOUND_SETTLEMENT = r"(?i)\b(?:addLiquidity|deposit|_?mint|stake|reinvest|compound|harvest|execute)\s*\("
 LABELS = ["access_control", "arithmetic", "front_running", "reentrancy", "time_manipulation", "unchecked_low_level_calls"]

@@ -118,22 +118,27 @@ class Effects:
         return g.select(*KEY, "contract", "fn", (~F.col("visibility").isin("public", "external", "") | F.col("auth_status").isin("effective_identity", "tx_origin_identity")).alias("restricted"))
 
     @cached_property
-    def runtime_events(self) -> DataFrame:
-        """(source_id, root, step, kind, line, fn_id): effects of each callable root in the order in which they run.
-
-        The call tree is expanded at each call line; a chain that would enter a function twice
-        is cut.  The order is an array of lines, one for each call on the way.
-        """
-        roots = self.graph.roots.select("source_id", F.col("open_i").alias("root"), F.col("open_i").alias("at"), F.array("open_i").alias("chain"), F.array().cast("array<int>").alias("way"))
-        edges = self.graph.edges.select("source_id", F.col("caller").alias("at"), "line", "callee")
+    def call_tree(self) -> DataFrame:
+        """(source_id, root, at, chain, names, way): every chain of calls from a callable root, cut where it would enter a function twice; way holds the lines of its calls."""
+        roots = self.graph.roots.select("source_id", F.col("open_i").alias("root"), F.col("open_i").alias("at"), F.array("open_i").alias("chain"), F.array("fn").alias("names"), F.array().cast("array<int>").alias("way"))
+        edges = self.graph.edges.select("source_id", F.col("caller").alias("at"), "line", "callee", "callee_fn")
         level = written(roots, "calls")
         tree = level
         while True:
             level = level.join(edges, ["source_id", "at"]).where(~F.array_contains("chain", F.col("callee")))
-            level = written(level.select("source_id", "root", F.col("callee").alias("at"), F.concat("chain", F.array("callee")).alias("chain"), F.concat("way", F.array("line")).alias("way")), "calls")
+            level = written(level.select("source_id", "root", F.col("callee").alias("at"), F.concat("chain", F.array("callee")).alias("chain"), F.concat("names", F.array("callee_fn")).alias("names"), F.concat("way", F.array("line")).alias("way")), "calls")
             if level.isEmpty():
-                break
+                return tree
             tree = tree.unionByName(level)
+
+    @cached_property
+    def runtime_events(self) -> DataFrame:
+        """(source_id, root, step, kind, line, fn_id): effects of each callable root in the order in which they run.
+
+        The call tree is expanded at each call line; a chain that would enter a function twice
+        is cut.  The order is an array of lines, one for each call on the way.
+        """
+        tree = self.call_tree
         events = self.external_calls.select("source_id", F.col("open_i").alias("at"), "line", F.lit("call").alias("kind")).union(self.state_writes.select("source_id", F.col("open_i").alias("at"), "line", F.lit("write").alias("kind")))
         order = F.concat("way", F.array("line"))
         rows = tree.join(events, ["source_id", "at"]).select("source_id", "root", F.col("at").alias("fn_id"), "line", "kind", order.alias("order"))

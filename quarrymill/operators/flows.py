@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,6 +16,11 @@ ASSET_HINTS = r"(?i)balance|credit|debt|share|deposit|stake|supply|reserve|colla
 BOOKKEEPING_HINTS = r"(?i)last|count|index|time|nonce|locked|status|flag"
 
 
+def write_score(names: Column) -> Column:
+    """How much a write of these names matters after a call: assets before others, bookkeeping last."""
+    return F.when(names.rlike(ASSET_HINTS), 100).when(names.rlike(BOOKKEEPING_HINTS), -125).otherwise(15)
+
+
 def _later(e: Effects, rows: DataFrame) -> DataFrame:
     """rows(source_id, open_i, stmt_no, name, ...) with each later statement of the function that names it."""
     later = e.facts.statements.where("not is_modifier").select(*KEY, F.col("stmt_no").alias("n"), F.col("start_line").alias("at"), F.col("text").alias("use"))
@@ -69,32 +74,39 @@ def best_state_writes(e: Effects) -> DataFrame:
     """(source_id, fn, call_line, write_line, score): after each external call the strongest write of the function; the earliest on ties."""
     calls = e.external_calls.select(*KEY, F.col("line").alias("call_line"))
     writes = e.state_writes.select(*KEY, "fn", F.col("line").alias("write_line"), F.array_join("names", " ").alias("names"))
-    score = F.when(F.col("names").rlike(ASSET_HINTS), 100).when(F.col("names").rlike(BOOKKEEPING_HINTS), -125).otherwise(15)
-    rows = calls.join(writes, KEY).where("write_line > call_line").withColumn("score", score)
+    rows = calls.join(writes, KEY).where("write_line > call_line").withColumn("score", write_score(F.col("names")))
     top = F.row_number().over(W.partitionBy(*KEY, "call_line").orderBy(F.desc("score"), "write_line"))
     return rows.withColumn("r", top).where("r = 1").select("source_id", "fn", "call_line", "write_line", "score")
 
 
-def callback_events(e: Effects) -> DataFrame:
-    """(source_id, fn, line, callback): lines that may hand control to others, by the first type that fits."""
+def callbacks(e: Effects) -> DataFrame:
+    """(source_id, open_i, contract, fn, line, callback, code): lines that may hand control to others, by the first type that fits."""
     code = F.col("code")
     kind = (
         F.when(code.rlike(r"(?i)\.\s*call\s*(?:\{[^}\n]*value|\.\s*value)"), "low_level_value_call").when(code.rlike(r"(?i)\.\s*(?:safeTransferFrom|transferFrom|safeTransfer)\s*\("), "token_transfer")
         .when(code.rlike(r"(?i)payable\s*\([^()]*(?:\([^()]*\))?[^()]*\)\s*\.\s*(?:transfer|send)\s*\("), "native_transfer").when(code.rlike(P.SAFE_MINT), "safe_mint")
         .when(code.rlike(r"(?i)\.\s*(?:delegatecall|call)\s*\("), "arbitrary_action").when(code.rlike(r"(?i)\.\s*transfer\s*\("), "token_transfer").when(code.rlike(r"(?i)\.\s*(?:swap|flashLoan)\s*\("), "pool_callback")
     )
-    return e.line_flags.withColumn("callback", kind).where("callback is not null").select("source_id", "fn", F.col("line_no").alias("line"), "callback")
+    return e.line_flags.withColumn("callback", kind).where("callback is not null").select(*KEY, "contract", "fn", F.col("line_no").alias("line"), "callback", "code")
 
 
-def complete_arithmetic_guards(e: Effects) -> DataFrame:
-    """(source_id, fn, n, complete): functions that add to or take from mappings; complete if a check before each names its operands."""
+def callback_events(e: Effects) -> DataFrame:
+    return callbacks(e).select("source_id", "fn", "line", "callback")
+
+
+def _guarded_sums(e: Effects) -> DataFrame:
+    """One row a statement that adds to or takes from a mapping: whether a check before it names its operands."""
     st = e.facts.statements.where("not is_modifier")
     ops = st.withColumn("left", F.regexp_extract("text", r"^([A-Za-z_]\w*)\s*\[[^\]]*\]\s*(?:\+=|-=)", 1)).withColumn("right", F.regexp_extract("text", r"(?:\+=|-=)\s*([A-Za-z_]\w*)", 1)).where("left != '' and right != ''")
     ops = ops.select(*KEY, "fn", "stmt_no", "left", "right")
     checks = st.where(F.col("text").rlike(r"(?i)^(?:require|assert|if)\s*\(")).select(*KEY, F.col("stmt_no").alias("n"), F.col("text").alias("check"))
     covers = F.expr(r"n < stmt_no and rlike(check, concat('\\b', `left`, '\\b')) and rlike(check, concat('\\b', `right`, '\\b'))")
-    rows = ops.join(checks, KEY, "left").groupBy(*KEY, "fn", "stmt_no").agg(F.max(F.coalesce(covers, F.lit(False))).alias("covered"))
-    return rows.groupBy("source_id", "open_i", "fn").agg(F.count("*").alias("n"), F.bool_and("covered").alias("complete")).select("source_id", "fn", "n", "complete")
+    return ops.join(checks, KEY, "left").groupBy(*KEY, "fn", "stmt_no").agg(F.max(F.coalesce(covers, F.lit(False))).alias("covered"))
+
+
+def complete_arithmetic_guards(e: Effects) -> DataFrame:
+    """(source_id, fn, n, complete): functions that add to or take from mappings; complete if a check before each names its operands."""
+    return _guarded_sums(e).groupBy("source_id", "open_i", "fn").agg(F.count("*").alias("n"), F.bool_and("covered").alias("complete")).select("source_id", "fn", "n", "complete")
 
 
 def hard_facts(e: Effects) -> DataFrame:

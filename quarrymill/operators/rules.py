@@ -18,7 +18,7 @@ from quarrymill.operators.facts import pragma_versions
 CANDIDATE = "source_id, rule_id, rule_order, risk_type, contract, fn, entrypoint, sink, line, sink_line, evidence_lines, state_write_lines, operation_lines, confidence, evidence_kind, reason, open_i"
 _NONE = "array<int>"
 #: Rules in the order in which their candidates win over later equal ones.
-ORDER = ["AC1", "AC2", "AC5", "AC6", "AC8", "RE1", "RE2", "RE5", "UC1", "UC3", "UC6", "AR1", "AR5", "FR6", "GR8", "TM5", "TM6", "TM12", "PS1"]
+ORDER = ["AC1", "AC2", "AC5", "AC6", "AC8", "RE1", "RE2", "RE5", "UC1", "UC3", "UC6", "AR1", "AR5", "FR6", "GR8", "TM5", "TM6", "TM12", "PS1", "AC7", "RE4", "RE6", "RE7", "AR4", "AR6", "FR4", "FR5", "TM4", "TM7", "TM8", "TM11"]
 
 
 def _candidates(df: DataFrame, rule: str, risk: str, confidence: float | Column, kind: str | Column, reason: Column, **cols) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import candidates as C
 from quarrymill.operators import facts as T
 from quarrymill.operators import flows as L
+from quarrymill.operators import paths as H
 from quarrymill.operators import responses as M
 from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
@@ -100,6 +101,12 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "ar3_provenance": lambda e: L.arithmetic_provenance(e),
     "ef4_callback_events": lambda e: L.callback_events(e),
     "ef8_best_state_writes": lambda e: L.best_state_writes(e),
+    "gr5_callback_libraries": lambda e: H.callback_libraries(e),
+    "gr13_sink_flows": lambda e: H.sink_flows(e).drop("n_kept", "slice"),
+    "re10_callback_anchors": lambda e: H.callback_anchors(e),
+    "re11_evidence_chains": lambda e: H.evidence_chains(e),
+    "tm3_field_flows": lambda e: H.field_flows(e).drop("open_i"),
+    "tm4_unbounded_signatures": lambda e: H.unbounded_signatures(e).select(*_FN),
     "gu5_complete_guards": lambda e: L.complete_arithmetic_guards(e),
     "ca1_union": lambda e: C.all_candidates(e).select(_CANDIDATE),
     "ca2_append": lambda e: C.append_candidates(R.rule_re1(e), R.rule_re2(e)).select(_CANDIDATE),
@@ -110,7 +117,7 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "ca7_findings_sink": lambda e: C.to_findings(C.audited(e), e, "sink").select("source_id", "vulnerability_type", "fn", "primary_line", "anchor_lines"),
     "ca8_risk_function_map": lambda e: C.risk_function_map(C.audited(e).where("admission")),
     "ca9_enabled_rules": lambda e: C.enabled_rules(C.all_candidates(e), "core").select("source_id", "rule_id", "fn", "line"),
-} | {f"{name.lower()}_rule": (lambda e, rule=rule: rule(e).select(_CANDIDATE)) for name, rule in R.RULES.items() if name != "RE5"}
+} | {f"{name.lower()}_rule": (lambda e, rule=rule: rule(e).select(_CANDIDATE)) for name, rule in H.ALL_RULES.items() if name != "RE5"}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Effects:

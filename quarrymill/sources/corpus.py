@@ -333,6 +333,210 @@ contract Odd@ {
     }
     function g(uint256 a, string memory s) internal pure {}
 }
+""",
+    # 12: callbacks before writes: in the function, in helpers before and after, past a typed view, around balances
+    """pragma solidity ^0.8.0;
+interface IComptroller@ {
+    function isComptroller() external view returns (bool);
+}
+contract Desk@ {
+#    mapping(address => uint256) public balances;
+    address comptroller;
+    uint256 total;
+    function setComptroller(IComptroller@ next) external {
+        require(next.isComptroller());
+        comptroller = address(next);
+    }
+    function deposit(uint256 amount) external {
+        require(token.transferFrom(msg.sender, address(this), amount));
+        balances[msg.sender] += amount;
+    }
+    function pull(address to, uint256 amount) external {
+        token.transfer(to, amount);
+        total -= amount;
+    }
+    function payLater(uint256 amount) external {
+        token.safeTransfer(msg.sender, amount);
+        _book(amount);
+    }
+    function _book(uint256 amount) internal {
+        total -= amount;
+    }
+    function trade(address target, uint256 amount) external returns (uint256) {
+        (bool ok, ) = target.call{value: amount}("");
+        require(ok);
+        return token.balanceOf(address(this));
+    }
+    function settle(address target, uint256 amount) external {
+        _push(target, amount);
+        total = amount;
+    }
+    function _push(address target, uint256 amount) internal {
+        address payee = target;
+        (bool ok, ) = payee.call{value: amount}("");
+        require(ok);
+    }
+    function mintAll(address to) external {
+        _safeMint(to, total);
+        total += 1;
+    }
+    function sweep(address to) external {
+        token.safeTransferFrom(msg.sender, to, 1);
+        vault.deposit(1);
+    }
+}
+""",
+    # 13: a library that calls out through a helper; resources that anyone reaches
+    """pragma solidity ^0.8.0;
+library Sender@ {
+#    function push(address to, uint256 n) internal {
+        _forward(to, n);
+    }
+    function _forward(address to, uint256 n) internal {
+        (bool ok, ) = to.call{value: n}("");
+        require(ok);
+    }
+    function half(uint256 n) internal pure returns (uint256) {
+        return n / 2;
+    }
+}
+contract Router@ {
+    uint256 totalSupply;
+    uint256 marker;
+    mapping(address => uint256) positions;
+    function issue(uint256 n) external {
+        totalSupply += n;
+    }
+    function rescue(address to, uint256 n) external {
+        asset.transfer(to, n);
+    }
+    function liquidateFor(address actor, address subject, uint256 n) external {
+        positions[subject] -= n;
+        perp.liquidate(actor, subject, n);
+    }
+    function mark(uint256 n) external {
+        marker = n;
+    }
+}
+""",
+    # 14: the life of orders, and a receipt whose signature never ends
+    """pragma solidity ^0.8.0;
+contract Book@ {
+#    struct Order {
+        address maker;
+        uint256 expiration;
+        uint256 createdAt;
+    }
+    mapping(uint256 => Order) orders;
+    uint256 last;
+    function placeOrder(uint256 id, uint256 expiration) external {
+        require(expiration > block.timestamp);
+        Order storage order = orders[id];
+        order.expiration = expiration;
+        order.createdAt = block.timestamp;
+    }
+    function executeOrder(uint256 id) external {
+        Order storage order = orders[id];
+        require(block.timestamp <= order.expiration);
+        order.maker = address(0);
+        token.transfer(msg.sender, 1);
+        emit Executed(id, block.timestamp);
+    }
+    function cancelExpired(uint256 id) external {
+        Order storage order = orders[id];
+        require(order.expiration < block.timestamp);
+        _cancelOrder(id);
+    }
+    function _cancelOrder(uint256 id) internal {
+        delete orders[id];
+    }
+    function fillOrder(Order memory input, uint256 deadline) external {
+        last = input.expiration;
+    }
+    function claimReceipt(bytes32 hash, bytes memory signature) external {
+        address signer = recoverSigner(hash, signature);
+        last = uint256(uint160(signer));
+    }
+}
+""",
+    # 15: a clock behind a getter that a claim depends on
+    """pragma solidity ^0.8.0;
+contract Vesting@ {
+#    mapping(address => uint256) claimed;
+    uint256 start;
+    uint256 rewardStored;
+    uint256 unlockAt;
+    function getTime() public view returns (uint256) {
+        return block.timestamp;
+    }
+    function vested(address who) public view returns (uint256) {
+        uint256 current = getTime();
+        if (current < start) {
+            return 0;
+        }
+        return current - start;
+    }
+    function claim() external {
+        uint256 amount = vested(msg.sender);
+        claimed[msg.sender] += amount;
+        token.transfer(msg.sender, amount);
+    }
+    function accrue() external {
+        rewardStored = block.timestamp - start;
+    }
+    function capture() external {
+        unlockAt = block.timestamp;
+    }
+    function join(uint256 amount) external {
+        uint256 current = getTime();
+        require(block.timestamp < start && current < start);
+        require(amount > 1);
+    }
+}
+""",
+    # 16: swaps of the whole balance, with no bound and with one that can be set
+    """pragma solidity ^0.8.0;
+contract Farm@ {
+#    uint256 slippage;
+    function harvest() external {
+        uint256 amount = token.balanceOf(address(this));
+        router.swapExactTokens(amount, 0, path);
+    }
+    function compound() external {
+        uint256 amount = token.balanceOf(address(this));
+        _sell(amount);
+    }
+    function _sell(uint256 amount) internal {
+        uint256 quoted = router.getAmountsOut(amount);
+        router.swapExactTokens(amount, quoted - slippage, path);
+        pool.deposit(quoted);
+    }
+    function redeem(uint256 n) external {
+        uint256 out = n * total / oracle.value(n);
+        token.transfer(msg.sender, out);
+    }
+}
+""",
+    # 17: before 0.8: powers that price orders, times that overflow, products that are returned
+    """pragma solidity ^0.5.0;
+contract Powers@ {
+#    struct Lock {
+        uint256 until;
+    }
+    mapping(address => Lock) locks;
+    function _lock(address who, uint256 span) internal {
+        locks[who].until = now + span;
+    }
+    function fill(uint256 base, uint256 n) external {
+        uint256 price = safePower(base, n);
+        require(price > 0);
+        token.transfer(msg.sender, price);
+    }
+    function cost(uint256 a, uint256 b) external view returns (uint256) {
+        uint256 c = a * b;
+        return c;
+    }
+}
 """,
 )
 N = len(TEMPLATES)
