@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import mask_comments, normalize_lf
+from quarrymill.operators import paths as H
 from quarrymill.operators import responses as M
 from quarrymill.operators.candidates import backward_slice
 from quarrymill.operators.effects import Effects
@@ -116,6 +117,49 @@ def test_backward_slice(spark):
     assert backward_slice(e, risky, keep_whole=100).first().n_kept == text.count("\n") + 1
 
 
+def test_paths_on_hard_texts(spark):
+    """Null, empty and broken sources give no row and no crash in any rule on paths."""
+    e = Effects(Facts(_source(spark, None, "", "contract A { function f() public { x = 1;", "}}{{;;", "function f(", "library L { function g() internal { g(); } }")))
+    for name in ("AC7", "RE4", "RE6", "RE7", "AR4", "AR6", "FR4", "FR5", "TM4", "TM7", "TM8", "TM11"):
+        assert [r.source_id for r in H.ALL_RULES[name](e).collect() if name != "AC7"] == []
+    assert H.callback_libraries(e).count() + H.evidence_chains(e).count() + H.field_flows(e).count() == 0
+
+
+def test_sink_flow_slice(spark):
+    pad = "  // pad\n" * 20
+    body = f"pragma solidity ^0.8.0;\ncontract S {{\n{pad}  uint total;\n  uint other;\n  function a() public {{ total += 1; b(); }}\n  function b() internal {{}}\n  function c() public {{ total = 2; }}\n  function d() public {{ other = 1; }}\n{pad}}}"
+    r = {r.fn: r for r in H.sink_flows(Effects(Facts(_source(spark, body)))).collect()}
+    assert sorted(r) == ["a", "c", "d"] and r["a"].writers == ["c"] and r["a"].kinds == ["missing_guard", "state_write"]
+    lines = r["a"].slice.split("\n")
+    assert r["a"].n_kept == len(lines) == 5 + 3 + 3 and "  function b() internal {}" in lines and not any("function c" in x or "other" in x for x in lines)
+
+
+def test_evidence_chain_limits(spark):
+    """Two rows a root at most, and no root after the one that brings a source to its limit."""
+    call = lambda i: f"  function f{i}() external {{\n    a.call{{value: 1}}('');\n    x = 1;\n    b.safeTransfer(msg.sender, 1);\n    x = 2;\n    _safeMint(msg.sender, 1);\n    x = 3;\n  }}\n"
+    e = Effects(Facts(_source(spark, "contract C {\n" + "".join(call(i) for i in range(9)) + "}")))
+    rows = H.evidence_chains(e).collect()
+    assert len(rows) == 12 and {r.root_fn for r in rows} == {f"f{i}" for i in range(6)}
+    assert {(r.line, r.then_line) for r in rows if r.root_fn == "f0"} == {(3, 4), (5, 6)}
+    assert len(H.evidence_chains(e, per_root=9, per_source=5).collect()) == 6
+
+
+def test_ordinary_transfers_hand_control_to_nobody(spark):
+    body = """contract T {
+  mapping(address => uint) balances;
+  function withdraw() external {
+    token.transfer(msg.sender, 1);
+    balances[msg.sender] = 0;
+  }
+  function give(address to) external {
+    token.transfer(to, 1);
+    balances[to] = 0;
+  }
+}"""
+    e = Effects(Facts(_source(spark, body)))
+    assert [(r.fn, r.line, r.sink_line) for r in H.rule_re4(e).collect()] == [("withdraw", 4, 5)]
+
+
 def test_invalid_utf8(spark):
     df = spark.createDataFrame([(1, bytearray(b"\xff{}")), (2, bytearray(b"{}")), (3, None)], "response_id long, raw binary")
     assert [(r.response_id, r["class"]) for r in M.classify_responses(df).orderBy("response_id").collect()] == [(1, "INVALID_UTF8"), (2, "JSON_OBJECT"), (3, "EMPTY_RESPONSE")]
