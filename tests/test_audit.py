@@ -13,7 +13,7 @@ from quarrymill.operators.candidates import backward_slice
 from quarrymill.operators.effects import Effects
 from quarrymill.operators.facts import Facts, delimiter_pairs, lines
 from quarrymill.operators.graph import Graph
-from quarrymill.operators.rules import rule_re1, rule_re5
+from quarrymill.operators.rules import pattern_scan, rule_re1, rule_re5
 from quarrymill.plans import oracle, queries
 from quarrymill.sources.corpus import sources
 from quarrymill.sources.io import read_sources, write_findings
@@ -160,6 +160,35 @@ def test_ordinary_transfers_hand_control_to_nobody(spark):
     assert [(r.fn, r.line, r.sink_line) for r in H.rule_re4(e).collect()] == [("withdraw", 4, 5)]
 
 
+def test_pattern_rules(spark):
+    """Each later pattern rule on a function that it must report and on one that holds the guard it asks for."""
+    body = """contract P {
+  function updateReward(uint id, uint amount) external { rewards[id] = amount; }
+  function updateShare(uint id, uint amount) external onlyOwner { shares[id] = amount; }
+  function flashLoan(Reserve storage reserve, address receiverAddress) external {
+    IReceiver r = IReceiver(receiverAddress);
+    r.executeOperation(1);
+    reserve.update(1);
+  }
+  function flashLoanSafe(Reserve storage reserve, address receiverAddress) external nonReentrant {
+    IReceiver r = IReceiver(receiverAddress);
+    r.executeOperation(1);
+    reserve.update(1);
+  }
+  function permit(uint deadline) external { require(ecrecover(h) == o); }
+  function permitChecked(uint deadline) external { require(block.timestamp <= deadline); require(ecrecover(h) == o); }
+  function leaf() external { require(MerkleProof.verify(p, root, keccak256(abi.encodePacked(a)))); }
+  function leafOnce() external { require(MerkleProof.verify(p, root, keccak256(abi.encodePacked(a, nonce)))); }
+  function rate() external { uint timeDelta = block.timestamp - last; r = x / timeDelta; }
+  function rateChecked() external { uint timeDelta = block.timestamp - last; require(timeDelta > 0); r = x / timeDelta; }
+  function borrow() external { uint p = oracle.getPrice(); pool.borrow(p); }
+  function borrowFresh() external { uint p = oracle.getPrice(); require(updatedAt + 1 > block.timestamp); pool.borrow(p); }
+}"""
+    got = {(r.rule_id, r.fn, r.line) for r in pattern_scan(Effects(Facts(_source(spark, body)))).collect()}
+    want = {("AC3", "updateReward", 2), ("RE9", "flashLoan", 6), ("TM10_permit", "permit", 14), ("TM10_leaf", "leaf", 16), ("TM10_delta", "rate", 18), ("TM10_oracle", "borrow", 20)}
+    assert {g for g in got if g[0] in {w[0] for w in want}} == want
+
+
 def test_invalid_utf8(spark):
     df = spark.createDataFrame([(1, bytearray(b"\xff{}")), (2, bytearray(b"{}")), (3, None)], "response_id long, raw binary")
     assert [(r.response_id, r["class"]) for r in M.classify_responses(df).orderBy("response_id").collect()] == [(1, "INVALID_UTF8"), (2, "JSON_OBJECT"), (3, "EMPTY_RESPONSE")]
