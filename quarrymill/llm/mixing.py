@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.llm.scratch import written
+from quarrymill.llm.words import small
 
 #: Documents of a source are laid in the order of this many hash buckets, so no task orders a whole source.
 BUCKETS = 1024
@@ -14,6 +20,10 @@ BUCKETS = 1024
 RUN = 1 << 14
 ROUNDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of words.
+_INSIDE = np.ones(256, bool)
+_INSIDE[list(b" \t\n\x0b\x0c\r")] = False
+PIECE = ("shard", "place", "source", "block_no", "start", "doc_id", "first_word", "n_words")
 
 
 def permuted(x: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
@@ -73,7 +83,7 @@ def laid_out(sizes: DataFrame, targets: DataFrame, block: int) -> tuple[DataFram
     starts = sums.withColumn("base", base).join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "held")
     starts = starts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base", "source_size", "target")
     docs = keyed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    inner = W.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "key").rowsBetween(W.unboundedPreceding, -1)
     docs = docs.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("base", "bucket")
     return docs, sources
 
@@ -110,30 +120,83 @@ def drawn_slots(sources: DataFrame, block: int, shard_slots: int, seed: int) ->
     )
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 8192, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How many words of each document a mix of `share` times all words takes: (doc_id, source, size, source_size, target, taken).
-
-    Words are counted in whole texts.  Each source's documents are laid end to end and cut
-    into blocks of `block` words; drawn_slots says which block stands in which slot of which
-    output shard, and blocks and slots are joined by index.  weights(source, weight) default
-    to 3, 1, 2 in turn.  A source's taken words meet its rounded target; a block is taken
-    once in each turn of its source, so no document is taken more than `most` (2: twice)
-    times.  Hashes of ids decide all, so reruns agree.
-
-    A null text has 0 words, a null source is a source of its own, null ids are laid out
-    like others; each row, repeated or not, is returned once; other columns are ignored.
-    """
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_counts(docs, text_col).alias("size")), "sizes")
+def _cut(pieces: DataFrame) -> DataFrame:
+    """Rows of documents with the pieces that are taken of them -> one row a piece, with its text."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            offsets = np.append(0, np.cumsum(pc.list_value_length(batch["pieces"]).to_numpy(zero_copy_only=False)))
+            held = batch["pieces"].flatten()
+            first, n = held.field("first_word").to_numpy(), held.field("n_words").to_numpy()
+            texts: list[bytes] = []
+            for text, a, b in zip(batch["text"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                inside = _INSIDE[np.frombuffer(text, np.uint8)]
+                at = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+                at[0] = 0
+                at = np.append(at, len(text))
+                texts += [text[x:y] for x, y in zip(at[first[a:b]].tolist(), at[first[a:b] + n[a:b]].tolist())]
+            columns = [held.field(c) for c in PIECE]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string())], [*PIECE, "text"])
+
+    return pieces.mapInArrow(run, pieces.schema["pieces"].dataType.elementType.add("text", "string"))
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, share: float, most: float, block: int, shard_slots: int, seed: int, id_col: str, text_col: str, source_col: str, texts: bool) -> tuple[DataFrame, DataFrame]:
+    """(documents as laid out, the mix of mixed_corpus, with texts or without)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
+    keyed = keyed.withColumn("key", F.md5(F.to_json(F.struct("doc_id", "source", F.md5("text").alias("text")))))
+    sizes = written(keyed.select("doc_id", "source", "key", word_counts(keyed).alias("size")), "sizes")
     weights = cycled_weights(sizes) if weights is None else weights
     targets = source_targets(sizes, weights, share, most)
     rows, sources = laid_out(sizes, targets, block)
-    slots = drawn_slots(sources, block, shard_slots, seed).select(F.col("source").alias("s"), F.col("block_no").alias("b"), "take")
+    rows = written(rows, "laid")
+    slots = drawn_slots(sources, block, shard_slots, seed).withColumnsRenamed({"source": "s", "block_no": "b"})
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = rows.where("size > 0").select("source", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
+    pieces = rows.where("size > 0").select("doc_id", "source", "key", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
     low = F.greatest("start", F.col("block_no") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block_no") * block + F.col("take"))
     # slots grow with the words, which the planner can't see through the expansion: never broadcast them
-    met = pieces.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block_no") == F.col("b")))
-    taken = met.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken"))
+    met = pieces.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block_no") == F.col("b"))).where(high > low)
+    mix = met.withColumns({"first_word": low - F.col("start"), "n_words": high - low}).select("key", *PIECE)
+    if texts:
+        # rows repeated whole share one text: their pieces are cut from it together
+        lists = mix.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct(*PIECE)).alias("pieces"))
+        one = keyed.select("key", F.col("text").cast("binary").alias("text"))
+        one = one.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("nth = 1")
+        mix = _cut(one.join(lists.hint("merge"), F.col("key") == F.col("k")).select("text", "pieces"))
+    else:
+        mix = mix.drop("key")
+    return rows, written(mix.repartition(n, "shard").sortWithinPartitions("shard", "place", "start"), "mix")
+
+
+def mixed_corpus(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 8192, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: (shard, place, source, block_no, start, doc_id, first_word, n_words, text), a row for each piece of a document in a slot.
+
+    Words are counted in whole texts.  Each source's documents are laid end to end (`start`
+    is the place of a document's first word there, which also tells repeated rows apart) and
+    cut into blocks of `block` words; drawn_slots says which block stands in which slot of
+    which output shard, and blocks and slots are joined by index.  A slot's text is that of
+    its pieces in order of start; a piece runs up to the next word's start, so a document's
+    pieces put together are its text.  weights(source, weight) default to 3, 1, 2 in turn.
+
+    The table is written to the shared folder, the rows of a shard together and in order.
+    Hashes of ids decide all, so reruns agree.  A null text has no pieces, a null source is
+    a source of its own, null ids are laid out like others; other columns are ignored.
+    """
+    return _mixed(docs, weights, share, most, block, shard_slots, seed, id_col, text_col, source_col, True)[1]
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 8192, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", texts: bool = False) -> DataFrame:
+    """How many words of each document stand in the mix of mixed_corpus: (doc_id, source, size, source_size, target, taken).
+
+    The mix is made and written (shard, place and pieces; with `texts`, their texts too),
+    and `taken` counted from it.  A source's taken words meet its rounded target; a block is
+    taken once in each turn of its source, so no document is taken more than `most` (2:
+    twice) times.  A null text has 0 words; each row, repeated or not, is returned once.
+    """
+    rows, mix = _mixed(docs, weights, share, most, block, shard_slots, seed, id_col, text_col, source_col, texts)
+    taken = mix.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum("n_words").alias("taken"))
     full = rows.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
     return full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
