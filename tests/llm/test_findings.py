@@ -1,8 +1,9 @@
 """What a review found missing: each test fails on the code before."""
 
+import random
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
+import corpus_pipeline
 
 from quarrymill.llm.mixing import mix_sources, mixed_corpus
 from tests.llm import brute
@@ -43,3 +44,44 @@ def test_the_mix_itself(spark):
             assert abs(here[s, source] - mean) <= 5 * (mean * (1 - m / n)) ** 0.5 + 1
     again = mixed_corpus(docs.repartition(2), block=16, shard_slots=32).collect()
     assert sorted(map(str, again)) == sorted(map(str, mix))
+
+
+def _shingles(text, words=5):
+    w = brute.re.findall(brute.WORD, brute.lower(text or ""))
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def _groups(rows, similarity=0.8):
+    """Brute force: row numbers of each group of near copies."""
+    sets, group = [_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= similarity * len(x | y) and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    out = defaultdict(list)
+    for i, g in enumerate(group):
+        out[g].append(i)
+    return list(out.values())
+
+
+def test_near_copies_with_edited_words(spark):
+    draw = random.Random(8)
+    rows = []
+    for base in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(40, 150))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(draw.randint(0, 3)):
+            words = list(words)
+            for _ in range(draw.randint(1, 3)):
+                words[draw.randrange(len(words))] = "edited"
+            rows.append((len(rows), " ".join(words)))
+    # rows without ids: A copies a row with an id, C another, B none; and rows repeated whole
+    rows += [(None, rows[0][1]), (None, rows[9][1]), (None, "of its own " * 3 + "kind"), (None, "twice " * 12), (None, "twice " * 12), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    groups = _groups(rows)
+    assert len(groups) < len(rows) - 40
+    want = [min((rows[i] for i in g), key=order) for g in groups]
+    assert sorted(kept, key=str) == sorted(want, key=str)
