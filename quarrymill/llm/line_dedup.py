@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
 from quarrymill.llm.words import small
 
@@ -32,26 +34,35 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     task emits a key once a document, and only sums and largest ids are kept for a key.
 
     Returns (doc_id, n_lines, n_dropped, kept): kept is the other lines, joined by newlines.
-    A null or empty text is one empty line.  A null id counts as one document that comes
-    last and returns as null; rows with the same id are one document when documents are
-    counted, and each row is returned; other columns are ignored, or with `keep` returned
-    in the struct `row`.
+    A null or empty text is one empty line.  Each row with a null id is a document of its
+    own, after all ids, in order of a hash of its text and its number among rows with that
+    hash, and returns with a null id; rows with the same id are one document when documents
+    are counted, and each row is returned; other columns are ignored, or with `keep`
+    returned in the struct `row`.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.col(id_col).cast("long").alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         *([F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep else []),
     )
 
+    alike = F.row_number().over(W.partitionBy("own").orderBy("order"))
+    order = F.xxhash64("row") if keep else F.lit(0)
+    numbered = rows.where("doc is null").withColumns({"own": F.xxhash64("text"), "order": order}).withColumn("own", F.xxhash64("own", alike))
+    # own is 0 for rows with an id, and tells apart those without
+    columns = [F.coalesce("doc", F.lit(LAST)).alias("doc"), "own", "text", *(["row"] if keep else [])]
+    rows = rows.where("doc is not null").withColumn("own", F.lit(0).cast("long")).select(columns).union(numbered.select(columns))
+
     def keys(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            owners, found = [], []
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
+            owners, owns, found = [], [], []
+            for doc, own, text in zip(*(batch[c].to_pylist() for c in ("doc", "own", "text"))):
                 mine = {line_key(x, min_chars) for x in text.split(b"\n")}
                 mine.discard(None)
                 found += mine
                 owners += [doc] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.binary())], ["doc", "key"])
+                owns += [own] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(owns, pa.int64()), pa.array(found, pa.binary())], ["doc", "own", "key"])
 
     def reassembled(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -66,13 +77,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(text)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *([batch["row"]] if keep else [])],
+                [pc.if_else(pc.equal(batch["own"], 0), batch["doc"], pa.scalar(None, pa.int64())), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *([batch["row"]] if keep else [])],
                 ["doc_id", "n_lines", "n_dropped", "kept", *(["row"] if keep else [])],
             )
 
-    held = rows.select("doc", "text").mapInArrow(keys, "doc long, key binary")
-    common = held.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-    drops = held.join(common, "key").where("doc != last").groupBy("doc").agg(F.collect_set("key").alias("dropped"))
+    held = rows.select("doc", "own", "text").mapInArrow(keys, "doc long, own long, key binary")
+    owner = F.struct("doc", "own")
+    common = held.groupBy("key").agg(F.count_distinct(owner).alias("n"), F.max(owner).alias("last")).where(F.col("n") >= min_docs)
+    drops = held.join(common, "key").where(owner != F.col("last")).groupBy("doc", "own").agg(F.collect_set("key").alias("dropped"))
     schema = StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept string")
-    out = rows.join(drops, "doc", "left").mapInArrow(reassembled, schema.add(rows.schema["row"]) if keep else schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    return rows.join(drops, ["doc", "own"], "left").mapInArrow(reassembled, schema.add(rows.schema["row"]) if keep else schema)

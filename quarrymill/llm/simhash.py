@@ -14,7 +14,6 @@ from quarrymill.llm.graph import components
 from quarrymill.llm.scratch import written
 from quarrymill.llm.words import small
 
-LAST = 2**63 - 1
 #: Probe groups up to SMALL list all their pairs; up to LARGE they are walked in one task; beyond, they are linked by midpoints.
 SMALL, LARGE = 12, 4096
 #: What comparing two fingerprints costs, in rows dealt.
@@ -73,7 +72,7 @@ def _fingerprinted(docs: DataFrame, words: int, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(prints.view(np.int64))], ["doc", "print"])
 
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.col(id_col).cast("long").alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     return rows.mapInArrow(run, "doc long, print long")
@@ -244,7 +243,7 @@ def _walked(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _verified(bits: int):
-    """Rows sorted by (part, value) -> links (a, b) between least documents; b is null for prints of very large groups."""
+    """Rows sorted by (part, value) -> links (a, b) between prints (their `least`); b is null for prints of very large groups."""
 
     def settle(part, value, x, least):
         new = np.append(True, (value[1:] != value[:-1]) | (part[1:] != part[:-1]))
@@ -298,7 +297,7 @@ def _midpoint_links(members: DataFrame, prints: DataFrame, bits: int) -> DataFra
 
     Two prints differ in at most `bits` bits exactly if some value differs from both in at
     most half of them.  Each print names all such values; those that name the same value
-    are linked to the least document among them.
+    are linked to the least print among them.
     """
     half = (bits + 1) // 2  # of an odd number the halves overlap by one, so links are checked again below
     flips = np.array([0, *(f for f, _ in _flips(list(range(64)), half))], np.uint64)
@@ -328,13 +327,14 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str =
 
     Equal fingerprints are merged first.  The 64 bits are dealt into parts of correlated
     bits with unequal thresholds (plan_parts), each fingerprint probes the values it could
-    meet, and every meeting is verified.  A null id comes last and returns as null; rows
-    with the same id are one document; other columns are ignored.
+    meet, and every meeting is verified.  Rows with the same id are one document; each row
+    with a null id is a document of its own, which returns with a null id and links like
+    others, and component_id is null where no member has an id; other columns are ignored.
     """
     if bits % 2:
         raise ValueError("bits must be even")
     marked = written(_fingerprinted(docs, words, id_col, text_col), "prints")
-    prints = written(marked.groupBy("print").agg(F.min("doc").alias("least")), "distinct")
+    prints = written(marked.select("print", F.col("print").alias("least")).distinct(), "distinct")
     plan = plan_parts(prints, bits)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -344,13 +344,11 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str =
     edges = links.where("b is not null")
     if members.limit(1).count():
         edges = edges.union(_midpoint_links(members, prints, bits))
-    # rows with the same id but different fingerprints are one document
-    same = marked.groupBy("doc").agg(F.count_distinct("print").alias("n")).where("n > 1")
-    again = marked.join(same, "doc").join(prints, "print").select(F.col("least").alias("a"), F.col("doc").alias("b"))
+    # rows with the same id but different fingerprints are one document; null ids are no id
+    same = marked.where("doc is not null").groupBy("doc").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a != z").select("doc", "a")
+    again = marked.join(same, "doc").select("a", F.col("print").alias("b"))
     found = components(edges.union(again))
-    named = prints.join(found, F.col("least") == F.col("node"), "left").select("print", F.coalesce("component", "least").alias("component"))
-    return marked.join(named, "print").select(
-        F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
-        "print",
-        F.when(F.col("component") != LAST, F.col("component")).alias("component_id"),
-    )
+    named = prints.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("group"))
+    least = marked.groupBy("print").agg(F.min("doc").alias("doc")).join(named, "print").groupBy("group").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "group").select("print", "component_id")
+    return marked.join(named, "print").select(F.col("doc").alias("doc_id"), "print", "component_id")

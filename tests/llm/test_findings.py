@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 
 from quarrymill.llm.mixing import mix_sources, mixed_corpus
+from quarrymill.llm.line_dedup import line_dedup
+from quarrymill.llm.simhash import simhash_groups
 from tests.llm import brute
 from tests.llm.test_operators import ROWS
 
@@ -85,3 +87,26 @@ def test_near_copies_with_edited_words(spark):
     assert len(groups) < len(rows) - 40
     want = [min((rows[i] for i in g), key=order) for g in groups]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_null_ids_stay_apart(spark):
+    draw = random.Random(4)
+    texts = [" ".join(f"v{draw.randrange(9000)}" for _ in range(50)) for _ in range(5)]
+    rows = [(5, texts[0]), (9, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[1]), (None, texts[3]), (None, texts[3]), (2**63 - 1, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r.doc_id, r.component_id, r.print) for r in simhash_groups(docs).collect())
+    print_of = lambda t: brute.fingerprint(t) - (brute.fingerprint(t) >> 63 << 64)
+    want = [(5, 5, 0), (9, 9, 1), (None, 5, 0), (None, None, 2), (None, 9, 1), (None, None, 3), (None, None, 3), (2**63 - 1, 2**63 - 1, 4)]
+    assert found == Counter((d, c, print_of(texts[i])) for d, c, i in want)
+
+
+def test_lines_of_null_ids_are_counted(spark):
+    line = "a line that many documents share"
+    rows = [(1, f"{line}\none"), (None, f"{line}\ntwo"), (None, f"{line}\nthree"), (None, f"{line}\nthree"), (None, "other"), (2**63 - 1, f"only here: {line}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup(docs).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(d) for d, _ in rows)
+    kept = [r.kept.split("\n")[-1] for r in out]
+    assert sorted(kept) == sorted(t.split("\n")[-1] for _, t in rows)
+    assert sum(r.kept.startswith(line) for r in out) == 1 and sum(r.n_dropped for r in out) == 3
+    assert all(r.n_dropped for r in out if r.doc_id == 1)  # null ids come last
