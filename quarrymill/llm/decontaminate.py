@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm.anchors import kgram_hashes
+from quarrymill.llm.scratch import written
 from quarrymill.llm.words import small, word_hashes, word_spans
 
 #: Bytes of benchmark text whose windows are broadcast at once; larger benchmarks take several scans.
@@ -89,17 +90,20 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
 
     Words are runs of letters, digits and non-ASCII characters, with A-Z lower-cased.  A
     window is `size` consecutive words of an item; an item of fewer words is one window.
-    The windows are broadcast when the benchmark's text is within PIECE_BYTES; a larger
-    benchmark is taken in pieces of that size, one narrow scan after another, so what is
-    broadcast stays bounded.  Hash hits are verified against the words.
+    The windows are broadcast when the benchmark's text is within PIECE_BYTES.  A larger
+    benchmark is dealt into pieces of about that size by a hash of item and text, and what
+    one piece found is written before the next one is broadcast, so that a task never holds
+    two of them.  Hash hits are verified against the words.
 
     starts and ends are the maximal runs of hit words (word offsets); items are the item
     ids as strings, sorted.  A null text or item text has no words; an item with a null id
-    hits words but is not listed; a null doc_id returns as null; every row of docs is
-    returned once; other columns are ignored, or with `keep` returned in the struct `row`.
+    hits words but is not listed; rows of the benchmark repeated whole count once; a null or
+    repeated doc_id returns as it is; every row of docs is returned once; a very long text
+    is scanned whole in one task.  Other columns, of any name, are ignored, or with `keep`
+    returned in row.cols; row.no_text then tells a null text from an empty one.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(1, -(-total // PIECE_BYTES))
     out = docs.select(
@@ -109,11 +113,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
         F.array().cast("array<long>").alias("starts"),
         F.array().cast("array<long>").alias("ends"),
         F.array().cast("array<string>").alias("items"),
-        *([F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep else []),
+        *([F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("cols")).alias("row")] if keep else []),
     )
     schema = out.schema
     for piece in range(pieces):
-        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(pieces)) == piece)
+        part = items if pieces == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(pieces)) == piece)
         shared = spark.sparkContext.broadcast(benchmark_windows([tuple(r) for r in part.collect()], size))
 
         def scan(batches, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -137,6 +141,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col
                 )
 
         out = out.mapInArrow(scan, schema)
+        if piece + 1 < pieces:
+            out = written(out, "hits")
     return out
 
 
@@ -159,7 +165,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_sh
 
     A document of which more than max_share of the words are hit goes; of the others the hit
     passages are cut out of the text (and n_chars, if there is such a column, is set anew).
-    Untouched texts and nulls stay as they are.
+    Untouched texts, nulls, empty texts and all other columns, of any name, stay as they
+    are; each row, repeated or not, is judged for itself; an empty table or benchmark
+    changes nothing; see benchmark_hits for very long texts.
     """
     hits = benchmark_hits(docs, benchmark, size, keep=True)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -176,5 +184,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_sh
     out = kept.select("row", "text", "starts", "ends").mapInArrow(cut, schema)
     new = {"text": F.when(~F.col("row.no_text"), F.col("left"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("touched"), F.char_length("left").cast(row.dataType["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("touched"), F.char_length("left").cast(row.dataType["cols"].dataType["n_chars"].dataType)).otherwise(F.col("row.cols.n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col("row.cols").getField(c).alias(c) for c in docs.columns])

@@ -102,7 +102,7 @@ def fitted(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, ra
         best = np.argsort(-score)
         precise = np.cumsum(right[best]) / np.arange(1, n_held + 1) >= 0.99
         reject = float(score[best][np.flatnonzero(precise)[-1]]) if precise.any() else 1.0
-    return Model(labels, table, bias, float(temperature), min(reject, 0.5) if reject < 1 else reject)
+    return Model(labels, table, bias, float(temperature), reject)
 
 
 def held_out(id_col: Column) -> Column:
@@ -165,9 +165,11 @@ def languages(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id
     """(doc_id, held_out, lang_pred, score, rejected) for every row, from its whole text alone.
 
     lang_pred is the likeliest label, or `und` (score 0) where the text is null or has no
-    letter, or nothing was learned.  score is the calibrated chance of the label; rejected
-    says that it is below what gave 99 % right labels on calibration rows.  A null id is not
-    held out; each row is returned once; other columns are ignored.
+    letter, or nothing was learned.  score is the calibrated chance of the label (of equal
+    chances the first label by code points counts); rejected says that it is below the score
+    from which on 99 % of the calibration rows had their right label.  A null id is not held
+    out; each row, repeated or not, is returned once; a very long text is scored whole, by
+    itself; other columns, of any name, are ignored.
     """
     model = trained(docs, id_col=id_col, text_col=text_col) if model is None else model
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

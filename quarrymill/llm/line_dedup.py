@@ -10,11 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
+from quarrymill.llm.scratch import written
 from quarrymill.llm.words import small
 
 LAST = 2**63 - 1
+#: At most this many keys count as very common, and none that stands in fewer documents than HOT: they are broadcast.
+MOST_HOT, HOT = 20_000, 1024
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -31,27 +33,31 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     Lines end at newlines; a key is the line without spaces and 0x09-0x0D at both ends, with
     A-Z lower-cased, and counts from min_chars characters.  Keys are hashed (128 bits); each
-    task emits a key once a document, and only sums and largest ids are kept for a key.
+    task writes a key once a document.  Pairs of key and document are made distinct before
+    they are counted, so a common line is never gathered; documents meet the keys that at
+    most MOST_HOT very common lines have by a broadcast, the other keys by a join.
 
     Returns (doc_id, n_lines, n_dropped, kept): kept is the other lines, joined by newlines.
     A null or empty text is one empty line.  Each row with a null id is a document of its
-    own, after all ids, in order of a hash of its text and its number among rows with that
-    hash, and returns with a null id; rows with the same id are one document when documents
-    are counted, and each row is returned; other columns are ignored, or with `keep`
-    returned in the struct `row`.
+    own, after all ids, in an order by hash, and returns with a null id; rows with the same
+    id are one document when documents are counted, and each row is returned.  Other
+    columns, of any name, are ignored, or with `keep` returned in row.cols; row.no_text
+    then tells a null text from an empty one.  A very long text is cut whole in one task.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
-        *([F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep else []),
+        *([F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("cols")).alias("row")] if keep else []),
     )
 
-    alike = F.row_number().over(W.partitionBy("own").orderBy("order"))
-    order = F.xxhash64("row") if keep else F.lit(0)
-    numbered = rows.where("doc is null").withColumns({"own": F.xxhash64("text"), "order": order}).withColumn("own", F.xxhash64("own", alike))
-    # own is 0 for rows with an id, and tells apart those without
+    # own is 0 for rows with an id, and tells apart those without: their numbers are written once, so they stay
     columns = [F.coalesce("doc", F.lit(LAST)).alias("doc"), "own", "text", *(["row"] if keep else [])]
-    rows = rows.where("doc is not null").withColumn("own", F.lit(0).cast("long")).select(columns).union(numbered.select(columns))
+    named = rows.where("doc is not null").withColumn("own", F.lit(0).cast("long")).select(columns)
+    nameless = rows.where("doc is null")
+    if nameless.isEmpty():
+        rows = named
+    else:
+        rows = named.union(written(nameless.withColumn("own", F.xxhash64("text", F.monotonically_increasing_id())).select(columns), "nameless"))
 
     def keys(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -81,9 +87,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 ["doc_id", "n_lines", "n_dropped", "kept", *(["row"] if keep else [])],
             )
 
-    held = rows.select("doc", "own", "text").mapInArrow(keys, "doc long, own long, key binary")
+    held = written(rows.select("doc", "own", "text").mapInArrow(keys, "doc long, own long, key binary"), "keys")
     owner = F.struct("doc", "own")
-    common = held.groupBy("key").agg(F.count_distinct(owner).alias("n"), F.max(owner).alias("last")).where(F.col("n") >= min_docs)
-    drops = held.join(common, "key").where(owner != F.col("last")).groupBy("doc", "own").agg(F.collect_set("key").alias("dropped"))
+    common = held.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max(owner).alias("last")).where(F.col("n") >= min_docs)
+    common = written(common, "common")
+    least = max(HOT, (common.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(common.where(F.col("n") >= least))  # at most MOST_HOT keys: each has that share of all pairs
+    cold = held.join(hot, "key", "left_anti").join(common.where(F.col("n") < least), "key")
+    drops = held.join(hot, "key").union(cold).where(owner != F.col("last")).groupBy("doc", "own").agg(F.collect_set("key").alias("dropped"))
     schema = StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept string")
     return rows.join(drops, ["doc", "own"], "left").mapInArrow(reassembled, schema.add(rows.schema["row"]) if keep else schema)

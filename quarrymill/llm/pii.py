@@ -21,6 +21,10 @@ PATTERNS = {
 #: What a context can extract: a run of capitals, digits and hyphens with a digit in it, 5 characters or more.
 IDENTIFIER = r"(?<![A-Za-z0-9.@_%+-])(?=[A-Z-]*+[0-9])[A-Z0-9](?:[A-Z0-9-]{3,}+)(?<=[A-Z0-9])(?![A-Za-z_@])"
 _MARK = "\x01"
+_BLANK = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+#: Places that are summed one after another within a text; longer lists are summed block by block.
+_BLOCK = 256
 
 
 def _digits(x: Column) -> Column:
@@ -52,59 +56,123 @@ VALID = {
 }
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _places(parts: Column) -> Column:
+    """Where each part starts, in code points: sums within blocks, then of the blocks, so long lists stay cheap."""
+    none = F.array().cast("array<int>")
+
+    def sums(lengths: Column, first: Column) -> Column:
+        zero = F.struct(first.cast("int").alias("at"), none.alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+
+    lengths = F.transform(parts, lambda p: F.char_length(p))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int"))
+    blocks = _let(lengths, lambda n: F.transform(numbers, lambda b: F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def joined(blocks_: Column) -> Column:
+        whole = F.transform(blocks_, lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y))
+        return F.flatten(F.zip_with(blocks_, sums(whole, F.lit(0)), sums))
+
+    return _let(blocks, joined)
+
+
+def _near_words(part: Column, before: bool) -> Column:
+    """The two words next to a match, lower-cased, with digits as 0; `^` and `$` stand for words beyond the text's ends."""
+    if before:
+        near = F.regexp_extract(F.concat(F.lit("^ ^ "), part), rf"(?:^|(?<={_BLANK})){_WORD}++{_BLANK}++{_WORD}++{_BLANK}*+$", 0)
+    else:
+        near = F.regexp_extract(F.concat(part, F.lit(" $ $")), rf"^{_BLANK}*+{_WORD}++{_BLANK}++{_WORD}++", 0)
+    return F.translate(F.lower(F.trim(F.regexp_replace(near, rf"{_BLANK}+", " "))), "123456789", "000000000")
+
+
 def _matches(text: Column, kind: str, pattern: str, could: Column) -> Column:
-    """Array of (start, kind, end, found, before): matches are marked, the text is cut at the marks, and lengths add up."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+    """Array of (start, kind, end, found, before, after): matches are marked, the text is cut at the marks, and lengths add up."""
     order = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.lit(False).alias("inside"), empty.alias("out"))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string,before:string,after:string>>")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        found = F.struct(acc["at"].alias("start"), F.lit(order).alias("kind"), end.alias("end"), part.alias("found"), acc["before"].alias("before"))
-        good = acc["inside"] & VALID[kind](part)
-        return F.struct(end.alias("at"), F.when(F.length(part) > 80, F.substring(part, -80, 80)).otherwise(part).alias("before"), (~acc["inside"]).alias("inside"), F.when(good, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def found(parts: Column, at: Column) -> Column:
+        def one(i: Column) -> Column:  # every second part is a match
+            part, start = F.element_at(parts, i + 1), F.element_at(at, i + 1)
+            return F.struct(
+                start.alias("start"), F.lit(order).alias("kind"), (start + F.char_length(part)).alias("end"), part.alias("found"),
+                _near_words(F.element_at(parts, i), True).alias("before"), _near_words(F.element_at(parts, i + 2), False).alias("after"),
+            )
 
-    return F.when(could, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+        odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        return F.transform(F.filter(odd, lambda i: VALID[kind](F.element_at(parts, i + 1))), one)
+
+    marked = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+    return F.when(could, _let(marked, lambda parts: F.when(F.size(parts) > 2, _let(_places(parts), lambda at: found(parts, at))).otherwise(empty))).otherwise(empty)
 
 
 def base_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base, others): matches of the fixed patterns, and the identifiers that contexts may extract."""
+    """(row, doc_id, base, others): matches of the fixed patterns, and the identifiers outside them that contexts may extract.
+
+    row tells rows apart within one evaluation: write the table before it is used twice.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.replace(text, F.lit(_MARK), F.lit("\x02")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.replace(text, F.lit(_MARK), F.lit("\x02")).alias("text"))
     t = F.col("text")
     rows = rows.withColumn("number", t.rlike("[0-9]"))
     could = {"email": t.contains("@"), "ip": F.col("number"), "card": F.col("number"), "phone": F.col("number") & t.contains("+")}
     found = [_matches(t, kind, pattern, could[kind]) for kind, pattern in PATTERNS.items()]
-    return rows.select("doc_id", "text_key", F.array_sort(F.flatten(F.array(*found))).alias("base"), _matches(t, "context", IDENTIFIER, F.col("number")).alias("others"))
+    rows = rows.select("row", "doc_id", F.array_sort(F.flatten(F.array(*found))).alias("base"), _matches(t, "context", IDENTIFIER, F.col("number")).alias("others"))
+    outside = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    return rows.select("row", "doc_id", "base", F.when(F.size("base") > 0, outside).otherwise(F.col("others")).alias("others"))
+
 
+def _told(matches: DataFrame, column: str, seed: int) -> DataFrame:
+    """(row, start, end, context, instance, seed): each match under the words before and under the words after it."""
+    rows = matches.select("row", F.explode(column).alias("m"))
+    sides = F.array(F.concat(F.col("m.before"), F.lit(" _")), F.concat(F.lit("_ "), F.col("m.after")))
+    return rows.select("row", "m.start", "m.end", F.explode(sides).alias("context"), F.col("m.found").alias("instance"), F.lit(seed).alias("seed"))
 
-def _context(before: Column) -> Column:
-    """The last two words before a match, lower-cased, with digits as 0."""
-    tail = F.regexp_extract(before, r"([^\x20\x09-\x0D]{1,30}[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]{1,30})[\x20\x09-\x0D]*$", 0)
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(tail), r"[\x20\x09-\x0D]+", " "), "[0-9]", "0"))
 
+def word_pairs(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(pair, times): how often the two words of each wanted(pair) follow one another, in the form of _near_words, over all whole texts."""
+    text = F.translate(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "123456789", "000000000")
+    words = F.split(F.trim(F.regexp_replace(F.concat(F.lit("^ ^ "), text, F.lit(" $ $")), rf"{_BLANK}+", " ")), " ")
+    pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return docs.select(F.explode(pairs).alias("pair")).join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("times"))
 
-def learned_contexts(matches: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.6) -> DataFrame:
-    """Contexts that extract identifiers reliably: (context), by bootstrapping over a graph of contexts and instances.
 
-    The edges are all pairs (context, instance) of base matches and other identifiers in all
-    documents.  Instances of the fixed patterns are the seeds.  In each round a context is
-    believed if at least min_seeds different believed instances follow it, in as many
-    different texts, and they are at least min_share of all its instances; an instance is
-    then believed if two believed contexts extract it (or it is a seed).
+def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, text_col: str = "text") -> DataFrame | None:
+    """Contexts that extract identifiers reliably: (context, confidence), by bootstrapping over a graph of contexts and instances.
+
+    A context is the two words before or the two words after; its edges lead to all different
+    strings found there.  Matches of the fixed patterns are the seeds, with score 1, other
+    identifiers start at 0.  In each round a context's confidence is the mean score of its
+    instances, and it is believed if that is min_share or more and at least min_seeds
+    instances with a score of 0.5 or more, in as many different texts, follow it; an instance's
+    score is then 1 - product(1 - confidence) over the believed contexts it stands in.
+
+    A context must also be specific: of all the places in all texts where its two words stand,
+    at least min_specific must have an identifier beside them, so that frequent words never
+    become contexts, however many seeds they happen to meet.  None: no context has the seeds.
     """
-    one = lambda c, seed: matches.select("text_key", F.explode(c).alias("m")).select("text_key", _context(F.col("m.before")).alias("context"), F.col("m.found").alias("instance"), F.lit(seed).alias("seed"))
-    outside = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    every = one("base", 1).union(one(outside, 0)).where("context != ''")
-    edges = written(every.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.min("text_key").alias("text_key")), "contexts")
-    believed = edges.groupBy("instance").agg(F.max("seed").alias("trust")).where("trust = 1")
+    every = _told(matches, "base", 1).union(_told(matches, "others", 0))
+    edges = written(every.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.min("row").alias("row"), F.count("*").alias("n")), "edges")
+    wide = edges.groupBy("context").agg(F.count("*").alias("instances"), F.sum("n").alias("beside"), F.sum("seed").alias("seeds")).where((F.col("instances") >= min_seeds) & (F.col("seeds") > 0))
+    wide = written(wide.withColumn("pair", F.when(F.col("context").startswith("_ "), F.expr("substring(context, 3)")).otherwise(F.expr("substring(context, 1, char_length(context) - 2)"))), "wide")
+    if wide.isEmpty():
+        return None
+    counted = word_pairs(docs, wide.select("pair").distinct(), text_col)
+    specific = wide.join(counted, "pair", "left").where(F.col("beside") >= min_specific * F.coalesce("times", "beside")).select("context")
+    edges = written(edges.join(specific, "context", "left_semi"), "edges")
+    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     contexts = None
-    for _ in range(rounds):
-        scored = edges.join(believed, "instance", "left").groupBy("context").agg(F.count("trust").alias("good"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("trust") == 1, F.col("text_key"))).alias("texts"))
-        contexts = written(scored.where((F.col("good") >= min_seeds) & (F.col("texts") >= min_seeds) & (F.col("good") >= min_share * F.col("n"))).select("context"), "contexts")
-        more = edges.join(contexts, "context").groupBy("instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).where("n >= 2 or seed = 1")
-        believed = believed.select("instance").union(more.select("instance")).distinct().withColumn("trust", F.lit(1))
+    for _ in range(max(rounds, 1)):
+        sure = F.col("score") >= 0.5
+        held = edges.join(scores, "instance").groupBy("context").agg(F.avg("score").alias("confidence"), F.count_if(sure).alias("good"), F.count_distinct(F.when(sure, F.col("row"))).alias("texts"))
+        contexts = written(held.where((F.col("good") >= min_seeds) & (F.col("texts") >= min_seeds) & (F.col("confidence") >= min_share)).select("context", "confidence"), "contexts")
+        doubt = F.sum(F.when(F.col("confidence").isNotNull(), F.log1p(-F.least("confidence", F.lit(0.999)))))
+        scores = edges.join(contexts, "context", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.coalesce(doubt, F.lit(0.0)))).alias("score"))
+        scores = written(scores, "scores")
     return contexts
 
 
@@ -114,17 +182,20 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind is the place in KINDS: email, ip, card and phone by fixed patterns (leftmost,
     without overlap for each kind; parts of an ip are at most 255, a card has 12 to 19
     digits and passes Luhn, a phone has 9 to 15 digits), and context: identifiers outside
-    those that follow a context which learned_contexts believes.
+    those that stand in a context which learned_contexts believes.
 
-    Contexts and spans are joined by keys of context and text, so no text is shuffled.  A
-    null text is empty; a null id returns as null; each row, repeated or not, is returned
-    once; other columns are ignored.
+    Matches are written once and joined by the number of their row there, so no text is
+    shuffled, and texts without a learned match meet nothing.  A null text is empty; a null
+    or repeated id returns as it is; each row, repeated or not, is returned once; very long
+    texts are scanned whole; of equal spans one is kept; other columns, of any name, are
+    ignored.
     """
     matches = written(base_matches(docs, id_col, text_col), "matches")
-    contexts = learned_contexts(matches, **learning)
-    outside = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    told = matches.select("text_key", F.explode(outside).alias("m")).select("text_key", _context(F.col("m.before")).alias("context"), F.struct("m.start", "m.kind", "m.end").alias("span"))
-    more = told.join(contexts, "context").groupBy("text_key").agg(F.collect_set("span").alias("more"))
+    contexts = learned_contexts(matches, docs, text_col=text_col, **learning)
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    if contexts is None:
+        return matches.select("doc_id", base.alias("spans"))
+    told = _told(matches, "others", 0).join(contexts, "context").select("row", F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end").alias("span"))
+    more = told.groupBy(F.col("row").alias("found_row")).agg(F.collect_set("span").alias("more"))
     spans = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return matches.join(more, "text_key", "left").select("doc_id", spans.alias("spans"))
+    return matches.join(more, F.col("row") == F.col("found_row"), "left").select("doc_id", spans.alias("spans"))

@@ -10,7 +10,7 @@ from quarrymill.llm.language_id import languages
 from quarrymill.llm.line_dedup import line_dedup
 from quarrymill.llm.mixing import mix_sources
 from quarrymill.llm.pii import KINDS, personal_data
-from quarrymill.llm.quality import judged
+from quarrymill.llm.quality import fitted_bands, judged
 from quarrymill.llm.secret_scan import secret_spans
 from quarrymill.llm.simhash import simhash_groups
 from quarrymill.llm.substring_dedup import substring_dedup
@@ -67,7 +67,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = _table(spark, sf_dir, "documents")
+    return judged(docs, fitted_bands(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"] != "context")
     return found.select("doc_id", spans.alias("spans")).select(
-        "doc_id", *map(count, KINDS[:4]), F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans")
+        "doc_id", *map(count, KINDS[:4]), F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 

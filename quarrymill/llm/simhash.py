@@ -270,15 +270,32 @@ def _verified(bits: int):
             [pa.array(np.concatenate((a[keep], huge))), pa.array(np.concatenate((b[keep], huge)), mask=np.append(np.zeros(keep.sum(), bool), np.ones(len(huge), bool)))], ["a", "b"]
         )
 
+    def very_large(x):
+        x = np.concatenate(x).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(x, mask=np.ones(len(x), bool))], ["a", "b"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list = []
+        streamed = None  # the group that has outgrown LARGE and goes to the midpoints batch by batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [batch["part"].to_numpy(), batch["value"].to_numpy(), batch["print"].to_numpy().view(np.uint64), batch["least"].to_numpy()]
+            if streamed is not None:
+                more = (now[0] == streamed[0]) & (now[1] == streamed[1])
+                if more.any():
+                    yield very_large([now[2][more]])
+                    now = [c[~more] for c in now]
+                if not len(now[0]):
+                    continue
+                streamed = None
             if held:
                 if (held[-1][1][0], held[-1][0][0]) == (now[1][-1], now[0][-1]):  # one large group goes on
                     held.append(now)
+                    if sum(len(h[0]) for h in held) > LARGE:
+                        streamed = (now[0][-1], now[1][-1])
+                        yield very_large([h[2] for h in held])
+                        held = []
                     continue
                 now = [np.concatenate([h[c] for h in held] + [now[c]]) for c in range(4)]
                 held = []
@@ -327,9 +344,10 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str =
 
     Equal fingerprints are merged first.  The 64 bits are dealt into parts of correlated
     bits with unequal thresholds (plan_parts), each fingerprint probes the values it could
-    meet, and every meeting is verified.  Rows with the same id are one document; each row
-    with a null id is a document of its own, which returns with a null id and links like
-    others, and component_id is null where no member has an id; other columns are ignored.
+    meet, and every meeting is verified.  Fingerprints alone link: rows with the same id, or
+    with null ids, are documents of their own, each returned with its id, and component_id
+    is null where no member has an id.  A very long text is hashed slice by slice; other
+    columns, of any name, are ignored.
     """
     if bits % 2:
         raise ValueError("bits must be even")
@@ -344,10 +362,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str =
     edges = links.where("b is not null")
     if members.limit(1).count():
         edges = edges.union(_midpoint_links(members, prints, bits))
-    # rows with the same id but different fingerprints are one document; null ids are no id
-    same = marked.where("doc is not null").groupBy("doc").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a != z").select("doc", "a")
-    again = marked.join(same, "doc").select("a", F.col("print").alias("b"))
-    found = components(edges.union(again))
+    found = components(edges)
     named = prints.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("group"))
     least = marked.groupBy("print").agg(F.min("doc").alias("doc")).join(named, "print").groupBy("group").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "group").select("print", "component_id")

@@ -75,7 +75,7 @@ def op3(rows, bits=4):
 
     for i, (d, p) in enumerate(prints):
         for j, (e, q) in enumerate(prints[:i]):
-            if (p ^ q).bit_count() <= bits or d == e:
+            if (p ^ q).bit_count() <= bits:
                 parent[root(i)] = root(j)
     least = defaultdict(lambda: 2**63)
     for i, (d, _) in enumerate(prints):

@@ -30,14 +30,14 @@ def test_the_mix_itself(spark):
         pieces.sort(key=lambda r: r.start)
         assert len({(r.source, r.block_no) for r in pieces}) == 1 and sum(r.n_words for r in pieces) <= 16
         assert all(a.start + a.first_word + a.n_words == b.start + b.first_word for a, b in zip(pieces, pieces[1:]))
-    # a source's words meet its target, and its slots are spread over the shards like a draw without replacement
+    # a source's words meet its target, and its slots are spread over the shards like a multinomial draw
     taken = Counter()
     for r in mix:
         taken[r.source] += r.n_words
     assert taken == {r.source: round(r.target) for r in counted}
     assert sum(r.taken for r in counted) == sum(taken.values())
     n, shards = len(slots), Counter(s for s, _ in slots)
-    assert len(shards) > 8 and all(0 <= p < 32 for _, p in slots)
+    assert len(shards) > 8 and all(0 <= p < 40 for _, p in slots)  # the correction adds a few slots to a shard
     own = Counter(p[0].source for p in slots.values())
     here = Counter((s, p[0].source) for (s, _), p in slots.items())
     for s, size in shards.items():

@@ -45,7 +45,9 @@ ROWS = [(i * 7 % 101, t) for i, t in enumerate(TEXTS)] + [(500, TEXTS[20]), (501
 def docs(spark):
     """Names of columns that the operators use themselves must not disturb them."""
     rows = [(d, t, "en" if i % 2 else None, None if i % 5 == 0 else f"s{i % 3}", i, i, "x", 1.0) for i, (d, t) in enumerate(ROWS)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, g int, bucket int, row string, doc double").repartition(3)
+    clashing = "no_text string, _ string, kept_id string, key string, row_key string, cols string, label_id string, pieces string, own string, size string, own2 string"
+    rows = [(*r, *["y"] * 11) for r in rows]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, g int, bucket int, row string, doc double, {clashing}").repartition(3)
 
 
 @pytest.fixture(scope="module")

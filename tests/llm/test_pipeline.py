@@ -21,7 +21,7 @@ def test_stages_keep_the_columns(spark):
         assert 0 < left <= n, name
         n = left
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert mixed.count() == n
+    assert "text" in mixed.columns and 0 < mixed.select("doc_id").distinct().count() <= n
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
