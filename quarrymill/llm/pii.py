@@ -141,7 +141,7 @@ def word_pairs(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> Da
     return docs.select(F.explode(pairs).alias("pair")).join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("times"))
 
 
-def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, text_col: str = "text") -> DataFrame | None:
+def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, min_support: float = 0.001, text_col: str = "text") -> DataFrame | None:
     """Contexts that extract identifiers reliably: (context, confidence), by bootstrapping over a graph of contexts and instances.
 
     A context is the two words before or the two words after; its edges lead to all different
@@ -151,13 +151,16 @@ def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_s
     instances with a score of 0.5 or more, in as many different texts, follow it; an instance's
     score is then 1 - product(1 - confidence) over the believed contexts it stands in.
 
-    A context must also be specific: of all the places in all texts where its two words stand,
+    A context must also have min_support of all different seeds among its instances, so that
+    it takes as much at any size of the corpus, and be specific: of all the places in all texts where its two words stand,
     at least min_specific must have an identifier beside them, so that frequent words never
     become contexts, however many seeds they happen to meet.  None: no context has the seeds.
     """
     every = _told(matches, "base", 1).union(_told(matches, "others", 0))
     edges = written(every.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.min("row").alias("row"), F.count("*").alias("n")), "edges")
-    wide = edges.groupBy("context").agg(F.count("*").alias("instances"), F.sum("n").alias("beside"), F.sum("seed").alias("seeds")).where((F.col("instances") >= min_seeds) & (F.col("seeds") > 0))
+    n_seeds = edges.where("seed = 1").select("instance").distinct().count()
+    support = max(min_seeds, min_support * n_seeds)
+    wide = edges.groupBy("context").agg(F.count("*").alias("instances"), F.sum("n").alias("beside"), F.sum("seed").alias("seeds")).where((F.col("instances") >= support) & (F.col("seeds") > 0))
     wide = written(wide.withColumn("pair", F.when(F.col("context").startswith("_ "), F.expr("substring(context, 3)")).otherwise(F.expr("substring(context, 1, char_length(context) - 2)"))), "wide")
     if wide.isEmpty():
         return None
