@@ -33,8 +33,6 @@ ORIGIN_CHECK = r"(?i)\b(?:require|assert|if)\s*\([^\n;{}]*tx\s*\.\s*origin"
 STATUS_CALL = r"(?i)\.\s*(send|delegatecall|staticcall|call)\b(?:\s*\.\s*value\s*\([^()\r\n]*\)\s*)?(?:\{[^}\r\n]*\}\s*)?\("
 CHECKED_NEAR = r"(?i)\b(?:require|assert|if|while|try)\s*\([^\n;{}]*(?:success|result|call|send|delegatecall|staticcall)"
 USED_BEFORE = r"(?i)\b(?:assert|emit|if|require|return|revert|try|while)\b|(?:=|,|\(|\[|[+\-*/%&|^<>])\s*$"
-ASSEMBLY_CALL = r"(?i)\bcall\s*\("
-ASSEMBLY_CHECK = r"(?i)\b(?:if|switch)\s+iszero\s*\(|\b(?:if|switch)\s+success\b"
 CLOCK = r"\bblock\s*\.\s*timestamp\b|\bnow\b"
 IDENTITY_CALL = r"(?i)\b(?:hasRole|_checkRole|isAuthorized|isWhitelisted|isAllowed)\s*\("
 _SENDER = r"(?:msg\s*\.\s*sender|_msgSender\s*\(\)|tx\s*\.\s*origin)"
@@ -76,3 +74,23 @@ SLIPPAGE_BOUND = r"(?i)\b(?:slippage|amountOutMinimum|amountOutMin|minOut|minSha
 SIGNED_EXECUTION = r"(?i)\b(?:sign(?:Data|ature)?|verify(?:Sign|Signature)?|signature|callData|timestamp|nonce|expiry|validUntil)\b"
 COMPOUND_SETTLEMENT = r"(?i)\b(?:addLiquidity|deposit|_?mint|stake|reinvest|compound|harvest|execute)\s*\("
 LABELS = ["access_control", "arithmetic", "front_running", "reentrancy", "time_manipulation", "unchecked_low_level_calls"]
+#: Words within a written name that make it an asset, or mere bookkeeping, when writes after a call are ranked.
+ASSET_STATE_HINTS = ["allowance", "balance", "claim", "collateral", "debt", "deposit", "liquidity", "owned", "position", "reserve", "reward", "share", "supply", "stake", "staker", "total", "withdraw"]
+BOOKKEEPING_STATE_HINTS = ["enabled", "fee", "flag", "lock", "nonce", "paused", "previous", "status", "tax", "timestamp", "cycle", "threshold"]
+ALIAS_FIELD = r"(?i)\b(?:user|account|position|deposit|balance|reserve|claim|reward)\w*\s*\."
+WRITE_OPERATOR = r"\+=|-=|\*=|/=|(?<![=!<>])=(?!=)|\+\+|--"
+#: Modifiers that restrict a function to administrators, and checks in a body that do.
+ADMIN_MODIFIERS = ["onlyowner", "owneronly", "only_owner", "only_admin", "onlyadmin", "onlyrole", "onlyminter", "onlypauser", "onlygovernance", "onlystrategy", "onlymanager", "onlyoperator", "onlyguardian", "onlydao", "onlyprotocol", "onlymaintainer", "onlycontroller", "onlydelegate", "onlydev"]
+ADMIN_CHECKS = [
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\bmsg\.sender\b[^;{}]*\b(?:owner|admin|governance|timelock|operator|guardian)\b",
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\b(?:owner|admin|governance|timelock|operator|guardian)\b[^;{}]*\bmsg\.sender\b",
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\b_msgSender\s*\(\s*\)[^;{}]*\b(?:owner|admin|governance|timelock|operator|guardian)\b",
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\b(?:owner|admin|governance|timelock|operator|guardian)\b[^;{}]*\b_msgSender\s*\(\s*\)",
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\bhasRole\s*\([^;{}]*\b(?:msg\.sender|_msgSender\s*\(\s*\))",
+    r"(?is)\b(?:require|assert)\s*\([^;{}]*\b(?:isAuthorized|isWhitelisted|isAllowed|isOperator|isAdmin|isOwner)\s*\([^;{}]*\b(?:msg\.sender|_msgSender\s*\(\s*\))",
+    r"(?is)\b(?:_checkRole|checkRole|requireRole)\s*\([^;{}]*\b(?:msg\.sender|_msgSender\s*\(\s*\))",
+    r"(?is)\bif\s*\([^;{}]*!\s*(?:hasRole|isAuthorized|isWhitelisted|isAllowed)\s*\(",
+    r"(?is)\bif\s*\([^;{}]*\b(?:msg\.sender|_msgSender\s*\(\))\b[^;{}]*[!=]=?[^;{}]*\b(?:owner|admin|governance|timelock|operator|guardian)\b",
+]
+YUL_CALL = r"(?i)\b(?:call|staticcall|delegatecall|callcode)\s*\("
+YUL_CHECKED = r"(?i)\b(?:if|switch)\b[^\n]*\b(?:iszero|eq|lt|gt)\s*\([^)]*$"

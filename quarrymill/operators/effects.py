@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -17,9 +17,30 @@ from quarrymill.storage import written
 KEY = ["source_id", "open_i"]
 
 
+def _any_of(words: list[str]) -> str:
+    return "|".join(words)
+
+
+def write_score(names: Column, code: Column) -> Column:
+    """How much a line that writes these state variables matters after a call.
+
+    Each name adds 100 if it holds an asset word, takes 100 if it holds a bookkeeping word,
+    and adds 15 if the line indexes, pushes or pops; a field of a user or account record on
+    the left side adds 125.
+    """
+    plain = lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]", "")
+    compact = F.lower(F.regexp_replace(code, r"\s+", ""))
+    indexed = F.when(compact.contains("[") | compact.contains(".push(") | compact.contains(".pop("), 15).otherwise(0)
+    one = lambda n: F.when(plain(n).rlike(_any_of(P.ASSET_STATE_HINTS)), 100).otherwise(0) - F.when(plain(n).rlike(_any_of(P.BOOKKEEPING_STATE_HINTS)), 100).otherwise(0) + indexed
+    left = F.split(code, P.WRITE_OPERATOR, 2)[0]
+    return F.aggregate(names, F.lit(0), lambda total, n: total + one(n)) + F.when(left.rlike(P.ALIAS_FIELD), 125).otherwise(0)
+
+
 class Effects:
-    def __init__(self, facts: Facts, graph: Graph | None = None):
-        self.facts, self.graph = facts, graph or Graph(facts)
+    """What functions do.  Chains of calls are followed over at most max_calls calls (see call_tree)."""
+
+    def __init__(self, facts: Facts, graph: Graph | None = None, max_calls: int = 8):
+        self.facts, self.graph, self.max_calls = facts, graph or Graph(facts), max_calls
 
     @cached_property
     def line_flags(self) -> DataFrame:
@@ -47,8 +68,9 @@ class Effects:
 
     @cached_property
     def state_writes(self) -> DataFrame:
-        """(source_id, open_i, contract, fn, line, critical, names)."""
-        return self.line_flags.where("writes").select("source_id", "open_i", "contract", "fn", F.col("line_no").alias("line"), "critical", F.coalesce("state_names", F.array().cast("array<string>")).alias("names"))
+        """(source_id, open_i, contract, fn, line, critical, names, score): lines that write state; score by write_score."""
+        names = F.coalesce("state_names", F.array().cast("array<string>"))
+        return self.line_flags.where("writes").select("source_id", "open_i", "contract", "fn", F.col("line_no").alias("line"), "critical", names.alias("names"), write_score(names, F.col("code")).alias("score"))
 
     @cached_property
     def external_calls(self) -> DataFrame:
@@ -113,23 +135,41 @@ class Effects:
 
     @cached_property
     def admin_restricted(self) -> DataFrame:
-        """(source_id, open_i, fn, restricted): not callable by anyone: not public, or an effective check of the sender."""
-        g = self.guards
-        return g.select(*KEY, "contract", "fn", (~F.col("visibility").isin("public", "external", "") | F.col("auth_status").isin("effective_identity", "tx_origin_identity")).alias("restricted"))
+        """(source_id, open_i, contract, fn, restricted): not public, a modifier for administrators, or a check of the sender's role in the body.
+
+        A check of tx.origin does not restrict, nor does a modifier of another name.
+        """
+        modifier = F.exists("modifiers", lambda m: F.lower(m).isin(P.ADMIN_MODIFIERS))
+        checked = F.lit(False)
+        for pattern in P.ADMIN_CHECKS:
+            checked = checked | F.col("body").rlike(pattern)
+        return self.guards.select(*KEY, "contract", "fn", (~F.col("visibility").isin("public", "external", "") | modifier | checked).alias("restricted"))
 
     @cached_property
     def call_tree(self) -> DataFrame:
-        """(source_id, root, at, chain, names, way): every chain of calls from a callable root, cut where it would enter a function twice; way holds the lines of its calls."""
+        """(source_id, root, at, chain, names, way): every chain of calls from a callable root, cut where it would enter a function twice; way holds the lines of its calls.
+
+        A chain has at most max_calls calls, as chains can double with each further one;
+        cut_chains has those that go on.
+        """
         roots = self.graph.roots.select("source_id", F.col("open_i").alias("root"), F.col("open_i").alias("at"), F.array("open_i").alias("chain"), F.array("fn").alias("names"), F.array().cast("array<int>").alias("way"))
         edges = self.graph.edges.select("source_id", F.col("caller").alias("at"), "line", "callee", "callee_fn")
         level = written(roots, "calls")
         tree = level
-        while True:
+        for _ in range(self.max_calls):
             level = level.join(edges, ["source_id", "at"]).where(~F.array_contains("chain", F.col("callee")))
             level = written(level.select("source_id", "root", F.col("callee").alias("at"), F.concat("chain", F.array("callee")).alias("chain"), F.concat("names", F.array("callee_fn")).alias("names"), F.concat("way", F.array("line")).alias("way")), "calls")
             if level.isEmpty():
-                return tree
+                break
             tree = tree.unionByName(level)
+        return tree
+
+    @cached_property
+    def cut_chains(self) -> DataFrame:
+        """The chains of call_tree that were left at max_calls calls although their last function calls on."""
+        edges = self.graph.edges.select("source_id", F.col("caller").alias("at"), "callee")
+        ends = self.call_tree.where(F.size("way") == self.max_calls).join(edges, ["source_id", "at"]).where(~F.array_contains("chain", F.col("callee")))
+        return ends.drop("callee").distinct()
 
     @cached_property
     def runtime_events(self) -> DataFrame:

@@ -156,19 +156,23 @@ class Facts:
 
     @cached_property
     def statements(self) -> DataFrame:
-        """Statements of function and modifier bodies; what semicolons inside parentheses cut is put together again."""
+        """Statements of function and modifier bodies; what semicolons inside parentheses cut is put together again.
+
+        first_i is the number of a statement's first piece; one that opens a block has in
+        close_i the piece that closes it, so the statements between the two stand inside.
+        """
         inside = self.pieces.where("u is not null and i > u.open_i")
         order = W.partitionBy("source_id", "u.open_i").orderBy("i")
         count = lambda ch: F.length("piece") - F.length(F.replace(F.col("piece"), F.lit(ch), F.lit("")))
         inside = inside.withColumn("open", F.sum(count("(") - count(")")).over(order))
         done = F.coalesce(F.lag("open").over(order) <= 0, F.lit(True))
         inside = inside.withColumn("g", F.sum(done.cast("int")).over(order))
-        parts = F.sort_array(F.collect_list(F.struct("i", "piece", "line", "end_line", "kind")))
+        parts = F.sort_array(F.collect_list(F.struct("i", "piece", "line", "end_line", "kind", "close_i")))
         rows = inside.groupBy("source_id", F.coalesce("c.contract", F.lit("")).alias("contract"), F.col("u.fn").alias("fn"), F.col("u.start_line").alias("fn_start"), F.col("u.is_modifier").alias("is_modifier"), F.col("u.open_i").alias("open_i"), "g").agg(parts.alias("p"))
         text = F.translate(F.regexp_replace(F.array_join("p.piece", ""), r"^\s+|\s+$", ""), OPTION, "{}")
         rows = rows.withColumn("text", text).where(~F.col("text").isin("", "}", "{", ";"))
         number = F.row_number().over(W.partitionBy("source_id", "open_i").orderBy("g"))
-        return written(rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text"), "statements")
+        return written(rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text", F.col("p")[0]["i"].alias("first_i"), F.element_at("p", -1)["close_i"].alias("close_i")), "statements")
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,14 +11,6 @@ from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
 
 _NAME_USED = r"rlike(use, concat('\\b', name, '\\b'))"
-#: Words of a written name that make it an asset or a mere bookkeeping entry, for scoring.
-ASSET_HINTS = r"(?i)balance|credit|debt|share|deposit|stake|supply|reserve|collateral|reward"
-BOOKKEEPING_HINTS = r"(?i)last|count|index|time|nonce|locked|status|flag"
-
-
-def write_score(names: Column) -> Column:
-    """How much a write of these names matters after a call: assets before others, bookkeeping last."""
-    return F.when(names.rlike(ASSET_HINTS), 100).when(names.rlike(BOOKKEEPING_HINTS), -125).otherwise(15)
 
 
 def _later(e: Effects, rows: DataFrame) -> DataFrame:
@@ -73,8 +65,8 @@ def arithmetic_provenance(e: Effects) -> DataFrame:
 def best_state_writes(e: Effects) -> DataFrame:
     """(source_id, fn, call_line, write_line, score): after each external call the strongest write of the function; the earliest on ties."""
     calls = e.external_calls.select(*KEY, F.col("line").alias("call_line"))
-    writes = e.state_writes.select(*KEY, "fn", F.col("line").alias("write_line"), F.array_join("names", " ").alias("names"))
-    rows = calls.join(writes, KEY).where("write_line > call_line").withColumn("score", write_score(F.col("names")))
+    writes = e.state_writes.select(*KEY, "fn", F.col("line").alias("write_line"), "score")
+    rows = calls.join(writes, KEY).where("write_line > call_line")
     top = F.row_number().over(W.partitionBy(*KEY, "call_line").orderBy(F.desc("score"), "write_line"))
     return rows.withColumn("r", top).where("r = 1").select("source_id", "fn", "call_line", "write_line", "score")
 

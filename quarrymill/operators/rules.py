@@ -228,10 +228,24 @@ def rule_uc3(e: Effects) -> DataFrame:
 
 
 def rule_uc6(e: Effects) -> DataFrame:
-    """A call in assembly without a look at its status on the same or the next five lines."""
-    w = W.partitionBy(*KEY).orderBy("line_no")
-    lines = e.line_flags.withColumn("near", F.array_join(F.collect_list("code").over(w.rowsBetween(0, 5)), "\n")).withColumn("inside", F.max(F.col("code").rlike(r"(?i)\bassembly\s*\{")).over(w))
-    rows = lines.where(F.col("inside") & F.col("code").rlike(P.ASSEMBLY_CALL) & ~F.col("near").rlike(P.ASSEMBLY_CHECK)).withColumn("line", F.col("line_no"))
+    """A call inside the braces of an assembly block whose status neither its own line tests nor, by the name it is bound to, a later branch of the block."""
+    order = W.partitionBy("source_id").orderBy("i")
+    opens = (F.col("kind") == "{") & F.col("body").rlike(r"(?i)\bassembly(?:\s*\([^)]*\))?$")
+    pieces = e.facts.pieces.where("u is not null").select("source_id", "i", "piece", "kind", "body", "close_i", "end_line", F.col("u.open_i").alias("open_i"), F.col("u.fn").alias("fn"), F.coalesce("c.contract", F.lit("")).alias("contract"))
+    block = F.last(F.when(opens, F.struct(F.col("i").alias("first"), F.col("close_i").alias("last"), F.col("end_line").alias("line"))), ignorenulls=True).over(order)
+    inside = pieces.withColumn("b", block).where("i > b.first and i <= b.last")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "")
+    blocks = inside.groupBy(*KEY, "contract", "fn", "b").agg(F.split(text, "\n").alias("lines"))
+    rows = blocks.select(*KEY, "contract", "fn", "b", "lines", F.posexplode("lines").alias("at", "code")).where(F.col("code").rlike(P.YUL_CALL))
+    # each call of a line with all that stands before it there
+    rows = rows.withColumn("parts", all_matches(F.col("code"), r"(?i)(.*?)" + P.YUL_CALL.removeprefix("(?i)"), 0)).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("parts"))))
+    upto = F.array_join(F.slice("parts", 1, F.col("k")), "")
+    before = F.regexp_replace(upto, P.YUL_CALL + "$", "")
+    name = F.lower(F.regexp_extract(before, r"(?i)\blet\s+([A-Za-z_]\w*)\s*:=\s*$", 1))
+    rest = F.concat(F.array(F.expr("substring(code, char_length(upto) + 1)")), F.slice("lines", F.col("at") + 2, F.size("lines")))
+    named = lambda line: F.array_contains(F.split(F.lower(F.regexp_extract(line, r"(?i)\b(?:if|switch)\b([^{}\n]*)", 1)), r"\W+"), F.col("name"))
+    rows = rows.withColumns({"upto": upto, "name": name, "inline": before.rlike(P.YUL_CHECKED)}).withColumn("branch", (F.col("name") != "") & F.exists(rest, named))
+    rows = rows.where("not inline and not branch").withColumn("line", F.col("b.line") + F.col("at"))
     return _candidates(rows, "UC6", "unchecked_low_level_calls", 0.92, "assembly_call_status_discard", F.concat("fn", F.lit("() ignores the status of a call in assembly")))
 
 
@@ -437,11 +451,16 @@ def hints(e: Effects) -> DataFrame:
 
 
 def loop_features(e: Effects) -> DataFrame:
-    """(source_id, fn, line, unbounded, sends): loops, whether a length or no constant bounds them, whether the function sends inside."""
-    st = e.facts.statements.where(F.col("text").rlike(r"^(?:for|while)\s*\("))
-    sends = e.direct_effects.where("kind = 'external_call' and low_level").groupBy(*KEY).agg(F.max("line").alias("last"))
-    bound = F.col("text").rlike(r"<=?\s*\d+\b")
-    return st.join(sends, KEY, "left").select("source_id", "fn", F.col("start_line").alias("line"), (~bound).alias("unbounded"), F.coalesce(F.col("last") >= F.col("start_line"), F.lit(False)).alias("sends"))
+    """(source_id, fn, line, unbounded, sends): loops, whether a length or nothing with a number bounds them, whether ether or tokens are sent between their braces."""
+    st = e.facts.statements.where("not is_modifier")
+    loops = st.where(F.col("text").rlike(r"^(?:for|while)\s*\("))
+    sent = st.where(F.col("text").rlike(r"\.(?:send|transfer)|\.call\{value:")).select(*KEY, F.col("first_i").alias("sent_i"))
+    condition = F.when(F.col("text").startswith("for"), F.regexp_extract("text", r"(?s)^for\s*\([^;]*;([^;]*);", 1)).otherwise(F.regexp_extract("text", r"(?s)^while\s*\((.*)\)", 1))
+    condition = F.trim(condition)
+    unbounded = condition.contains(".length") | ((condition != "") & ~condition.rlike(r"\d"))
+    inside = loops.select(*KEY, "stmt_no", "first_i", "close_i").join(sent, KEY).where("sent_i > first_i and sent_i < close_i").select(*KEY, "stmt_no").distinct().withColumn("sends", F.lit(True))
+    rows = loops.join(inside, [*KEY, "stmt_no"], "left")
+    return rows.select("source_id", "fn", F.col("start_line").alias("line"), unbounded.alias("unbounded"), F.coalesce("sends", F.lit(False)).alias("sends"))
 
 
 RULES = {

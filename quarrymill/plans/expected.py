@@ -2172,9 +2172,9 @@ EXPECTED = {
         (3, 'Admin@', 'setFeeLoose', False),
         (3, 'Admin@', 'setOwner', False),
         (4, 'Origin@', 'join', False),
-        (4, 'Origin@', 'remember', True),
-        (4, 'Origin@', 'setTreasury', True),
-        (4, 'Origin@', 'sweep', True),
+        (4, 'Origin@', 'remember', False),
+        (4, 'Origin@', 'setTreasury', False),
+        (4, 'Origin@', 'sweep', False),
         (5, 'Caller@', 'branched', False),
         (5, 'Caller@', 'dropped', False),
         (5, 'Caller@', 'emitted', False),
@@ -2898,9 +2898,9 @@ EXPECTED = {
     'ca7_findings_call_site': ('vulnerability_type:s fn:s entrypoint:s call_site_fn:s call_site_line:l sink:s sink_line:l primary_line:l anchor_lines:L mechanism:s', [
         (0, 'access_control', 'guarded', 'guarded', 'guarded', 20, 'guarded', 0, 20, [20], 'unauthorized_native_transfer'),
         (0, 'access_control', 'withdraw', 'withdraw', 'withdraw', 15, 'withdraw', 0, 15, [15], 'unauthorized_native_transfer'),
-        (0, 'reentrancy', 'withdraw', 'withdraw', 'withdraw', 15, 'withdraw', 17, 15, [15, 17], 'external_call_before_state_write'),
+        (0, 'reentrancy', 'withdraw', 'withdraw', 'withdraw', 15, 'withdraw', 17, 17, [15, 17], 'external_call_before_state_write'),
         (1, 'access_control', 'claim', 'claim', 'claim', 6, 'claim', 6, 6, [4, 6], 'source_access_surface:generic_state'),
-        (1, 'reentrancy', 'claim', 'claim', 'pay', 12, 'claim', 6, 12, [6, 12], 'source_event_sequence'),
+        (1, 'reentrancy', 'claim', 'claim', 'pay', 12, 'claim', 6, 6, [6, 12], 'source_event_sequence'),
         (10, 'access_control', 'release', 'release', 'release', 20, 'release', 0, 20, [20], 'unauthorized_native_transfer'),
         (10, 'front_running', 'release', 'release', 'release', 17, 'release', 0, 17, [17], 'financial_read_write_conflict'),
         (10, 'time_manipulation', 'claim', 'claim', '', 8, 'claim', 0, 8, [8, 23], 'modifier_time_window'),
@@ -2912,9 +2912,9 @@ EXPECTED = {
         (12, 'access_control', 'mintAll', 'mintAll', 'mintAll', 44, 'mintAll', 44, 44, [42, 44], 'source_access_surface:generic_state'),
         (12, 'access_control', 'setComptroller', 'setComptroller', 'setComptroller', 11, 'setComptroller', 11, 11, [9, 11], 'source_access_surface:generic_state'),
         (12, 'access_control', 'settle', 'settle', 'settle', 35, 'settle', 35, 35, [33, 35], 'source_access_surface:generic_state'),
-        (12, 'reentrancy', 'deposit', 'deposit', 'deposit', 14, 'deposit', 15, 14, [14, 15], 'external_call_before_state_write'),
-        (12, 'reentrancy', 'pull', 'pull', 'pull', 18, 'pull', 19, 18, [18, 19], 'external_call_before_state_write'),
-        (12, 'reentrancy', 'settle', 'settle', '_push', 39, 'settle', 35, 39, [35, 39], 'source_event_sequence'),
+        (12, 'reentrancy', 'deposit', 'deposit', 'deposit', 14, 'deposit', 15, 15, [14, 15], 'external_call_before_state_write'),
+        (12, 'reentrancy', 'pull', 'pull', 'pull', 18, 'pull', 19, 19, [18, 19], 'external_call_before_state_write'),
+        (12, 'reentrancy', 'settle', 'settle', '_push', 39, 'settle', 35, 35, [35, 39], 'source_event_sequence'),
         (13, 'access_control', 'issue', 'issue', 'issue', 19, 'issue', 19, 19, [18, 19], 'source_access_surface:global_state'),
         (13, 'access_control', 'liquidateFor', 'liquidateFor', 'liquidateFor', 26, 'liquidateFor', 26, 26, [24, 25, 26], 'source_access_surface:subject_scoped_state'),
         (13, 'access_control', 'mark', 'mark', 'mark', 29, 'mark', 29, 29, [28, 29], 'source_access_surface:generic_state'),
@@ -2931,14 +2931,14 @@ EXPECTED = {
         (15, 'time_manipulation', 'getTime', 'claim', 'getTime', 8, 'getTime', 0, 8, [8, 11, 20, 29], 'timestamp_provider_to_vesting_asset_consumer'),
         (15, 'time_manipulation', 'getTime', 'join', 'getTime', 8, 'join', 30, 8, [7, 8, 29, 30], 'temporal_producer_consumer'),
         (15, 'time_manipulation', 'join', 'join', 'join', 30, 'join', 0, 30, [30], 'clock_in_condition'),
-        (16, 'front_running', '_sell', 'compound', '_sell', 15, '_sell', 14, 15, [12, 13, 14, 15], 'permissionless_quote_then_asset_settlement'),
+        (16, 'front_running', '_sell', 'compound', '_sell', 15, '_sell', 14, 13, [12, 13, 14, 15], 'permissionless_quote_then_asset_settlement'),
         (16, 'front_running', 'compound', 'compound', '_sell', 14, '_sell', 0, 14, [8, 9, 14], 'permissionless_quote_then_swap_configurable_slippage'),
-        (16, 'front_running', 'harvest', 'harvest', 'harvest', 6, 'harvest', 0, 6, [4, 5, 6], 'permissionless_balance_dependent_amm_swap_zero_slippage'),
-        (16, 'front_running', 'redeem', 'redeem', 'redeem', 19, 'redeem', 19, 19, [17, 18, 19], 'permissionless_ratio_quote_then_asset_settlement'),
+        (16, 'front_running', 'harvest', 'harvest', 'harvest', 6, 'harvest', 0, 5, [4, 5, 6], 'permissionless_balance_dependent_amm_swap_zero_slippage'),
+        (16, 'front_running', 'redeem', 'redeem', 'redeem', 19, 'redeem', 19, 18, [17, 18, 19], 'permissionless_ratio_quote_then_asset_settlement'),
         (17, 'arithmetic', '_lock', '_lock', '_lock', 8, '_lock', 0, 8, [7, 8], 'legacy_unchecked_arithmetic'),
         (17, 'arithmetic', 'cost', 'cost', 'cost', 16, 'cost', 0, 16, [16, 17], 'legacy_arithmetic_to_return'),
         (17, 'arithmetic', 'fill', 'fill', 'fill', 11, 'fill', 0, 11, [11, 12, 13], 'helper_arithmetic_provenance'),
-        (17, 'front_running', 'fill', 'fill', 'fill', 13, 'fill', 13, 13, [11, 13], 'unbounded_quote_to_asset_sink'),
+        (17, 'front_running', 'fill', 'fill', 'fill', 13, 'fill', 13, 11, [11, 13], 'unbounded_quote_to_asset_sink'),
         (17, 'time_manipulation', '_lock', '_lock', '_lock', 8, '_lock', 0, 8, [8], 'temporal_producer_consumer'),
         (2, 'access_control', '_grant', 'buy', '_grant', 5, '_grant', 5, 5, [5, 12], 'source_access_surface:generic_state'),
         (2, 'access_control', 'buy', 'buy', '_grant', 16, '_grant', 0, 16, [16], 'inherited_effect_propagation'),
@@ -2961,7 +2961,7 @@ EXPECTED = {
         (6, 'unchecked_low_level_calls', 'loose', 'loose', 'loose', 11, 'loose', 0, 11, [11], 'typed_return_discard'),
         (6, 'unchecked_low_level_calls', 'strict', 'strict', 'strict', 18, 'strict', 0, 18, [18], 'typed_return_discard'),
         (7, 'unchecked_low_level_calls', 'blind', 'blind', 'blind', 5, 'blind', 0, 5, [5], 'assembly_call_status_discard'),
-        (8, 'access_control', 'mint', 'mint', 'mint', 9, 'mint', 10, 9, [8, 9, 10], 'source_access_surface:generic_state'),
+        (8, 'access_control', 'mint', 'mint', 'mint', 9, 'mint', 10, 10, [8, 9, 10], 'source_access_surface:generic_state'),
         (8, 'arithmetic', 'mint', 'mint', 'mint', 10, 'mint', 0, 10, [10], 'caller_controlled_arithmetic_write'),
         (8, 'arithmetic', 'mint', 'mint', 'mint', 9, 'mint', 0, 9, [9, 10], 'caller_controlled_arithmetic_write'),
         (8, 'arithmetic', 'scale', 'scale', 'scale', 19, 'scale', 0, 19, [19, 20], 'legacy_arithmetic_to_return'),
@@ -3009,14 +3009,14 @@ EXPECTED = {
         (15, 'time_manipulation', 'getTime', 8, [8, 11, 20, 29]),
         (15, 'time_manipulation', 'join', 30, [30]),
         (15, 'time_manipulation', 'join', 30, [7, 8, 29, 30]),
-        (16, 'front_running', '_sell', 14, [12, 13, 14, 15]),
+        (16, 'front_running', '_sell', 13, [12, 13, 14, 15]),
         (16, 'front_running', '_sell', 14, [8, 9, 14]),
-        (16, 'front_running', 'harvest', 6, [4, 5, 6]),
-        (16, 'front_running', 'redeem', 19, [17, 18, 19]),
+        (16, 'front_running', 'harvest', 5, [4, 5, 6]),
+        (16, 'front_running', 'redeem', 18, [17, 18, 19]),
         (17, 'arithmetic', '_lock', 8, [7, 8]),
         (17, 'arithmetic', 'cost', 16, [16, 17]),
         (17, 'arithmetic', 'fill', 11, [11, 12, 13]),
-        (17, 'front_running', 'fill', 13, [11, 13]),
+        (17, 'front_running', 'fill', 11, [11, 13]),
         (17, 'time_manipulation', '_lock', 8, [8]),
         (2, 'access_control', '_grant', 16, [16]),
         (2, 'access_control', '_grant', 5, [5, 12]),
@@ -3048,7 +3048,7 @@ EXPECTED = {
         (9, 'front_running', 'approveSpender', 21, [21]),
         (9, 'front_running', 'buy', 8, [8]),
         (9, 'front_running', 'buy', 9, [9]),
-        (9, 'front_running', 'swapAll', 13, [12, 13]),
+        (9, 'front_running', 'swapAll', 12, [12, 13]),
         (9, 'front_running', 'swapAll', 13, [13]),
     ]),
     'ca8_risk_function_map': ('risk_type:s functions:S', [
@@ -3285,10 +3285,10 @@ EXPECTED = {
         (9, 'swapBound', 18, 'pool_callback'),
     ]),
     'ef8_best_state_writes': ('fn:s call_line:l write_line:l score:i', [
-        (0, 'guarded', 20, 22, 100),
-        (0, 'withdraw', 15, 17, 100),
-        (12, 'deposit', 14, 15, 100),
-        (12, 'pull', 18, 19, 15),
+        (0, 'guarded', 20, 22, 115),
+        (0, 'withdraw', 15, 17, 115),
+        (12, 'deposit', 14, 15, 115),
+        (12, 'pull', 18, 19, 100),
     ]),
     'gu5_complete_guards': ('fn:s n:i complete:b', [
         (0, 'deposit', 1, False),
@@ -3342,7 +3342,7 @@ EXPECTED = {
         (3, 'setFeeChecked', ['state_write'], ['fee', 'owner'], ['initialize', 'setFeeLoose', 'setOwner']),
         (3, 'setFeeLoose', ['missing_guard', 'state_write'], ['fee'], []),
         (3, 'setOwner', ['missing_guard', 'state_write'], ['owner'], ['initialize']),
-        (4, 'join', ['missing_guard', 'state_write'], ['treasury'], []),
+        (4, 'join', ['missing_guard', 'state_write'], ['treasury'], ['setTreasury']),
         (4, 'remember', ['missing_guard', 'state_write'], ['owner'], []),
         (4, 'setTreasury', ['missing_guard', 'state_write'], ['treasury'], ['join']),
         (5, 'branched', ['external_call', 'missing_guard'], [], []),

@@ -58,7 +58,7 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "tx7_parameters": lambda e: e.facts.parameters,
     "tx8_modifiers": lambda e: e.facts.modifiers.drop("open_i"),
     "tx9_state_variables": lambda e: e.facts.state_variables,
-    "tx10_statements": lambda e: e.facts.statements.drop("open_i"),
+    "tx10_statements": lambda e: e.facts.statements.drop("open_i", "first_i", "close_i"),
     "tx11_line_functions": lambda e: e.facts.line_functions.select("source_id", F.col("line_no").alias("line"), "contract", "fn"),
     "tx12_matching_lines": lambda e: e.facts.matching_lines(r"msg\s*\.\s*sender"),
     "tx13_identifier_words": lambda e: e.facts.identifier_words,

@@ -211,3 +211,133 @@ def test_files_in_and_out(spark, tmp_path):
     assert [(r.path.endswith("a.sol"), r.text) for r in df.collect()] == [(True, "contract A {}\nx")]
     write_findings(spark.createDataFrame([("reentrancy", 3)], "vulnerability_type string, line int"), str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("vulnerability_type", "line").collect()] == [("reentrancy", 3)]
+
+
+def _audited(spark, *texts):
+    return Effects(Facts(_source(spark, *texts)))
+
+
+def test_writes_after_calls_are_ranked(spark):
+    """Asset words add, bookkeeping words take, indexes and record fields add; the earliest wins on ties."""
+    e = _audited(
+        spark,
+        """contract A {
+  uint feeRate; uint allowanceTotal; mapping(address => uint) statusOf; uint plain; uint other;
+  struct U { uint amount; } mapping(address => U) users;
+  function a() public { msg.sender.call("");
+    feeRate = 1;
+    allowanceTotal = 2;
+  }
+  function b() public { msg.sender.call("");
+    statusOf[msg.sender] = 1;
+    plain = 2;
+    other = 3;
+  }
+  function c() public { U storage user = users[msg.sender]; msg.sender.call("");
+    allowanceTotal = 1;
+    user.amount = 2;
+  }
+}""",
+    )
+    got = {r.fn: (r.write_line, r.score) for r in queries.L.best_state_writes(e).collect()}
+    assert got == {"a": (6, 100), "b": (10, 0), "c": (15, 125)}
+
+
+def test_assembly_calls_by_paired_blocks(spark):
+    e = _audited(
+        spark,
+        """contract A {
+  function outside(address t) public {
+    assembly { let x := 1 }
+    uint a;
+    a = 1;
+    t.call("");
+  }
+  function blind(address t) public {
+    assembly ("memory-safe") {
+      pop(call(gas(), t, 0, 0, 0, 0, 0))
+    }
+  }
+  function later(address t) public {
+    assembly {
+      let ok := call(gas(), t, 0, 0, 0, 0, 0)
+      let y := 1
+      let z := 2
+      let v := 3
+      let w := 4
+      let u := 5
+      let q := 6
+      if iszero(ok) { revert(0, 0) }
+    }
+  }
+  function other(address t) public {
+    assembly {
+      let ok := delegatecall(gas(), t, 0, 0, 0, 0)
+      if okay { revert(0, 0) }
+    }
+  }
+  function inline_(address t) public {
+    assembly {
+      if iszero(staticcall(gas(), t, 0, 0, 0, 0)) { revert(0, 0) }
+    }
+  }
+}""",
+    )
+    from quarrymill.operators.rules import rule_uc6
+
+    assert sorted((r.fn, r.line) for r in rule_uc6(e).collect()) == [("blind", 10), ("other", 27)]
+
+
+def test_sends_stand_inside_their_loop(spark):
+    e = _audited(
+        spark,
+        """contract A {
+  function after_(address[] memory a) public {
+    for (uint i = 0; i < a.length; i++) { a[i]; }
+    payable(msg.sender).transfer(1);
+  }
+  function inside(address[] memory a, uint n) public {
+    for (uint i = 0; i < 10; i++) {
+      payable(a[i]).transfer(1);
+    }
+    while (n > m()) { n--; }
+    for (uint i = 0; i < a.length && i < 10; i++) { if (n > 0) { payable(a[i]).send(1); } }
+  }
+}""",
+    )
+    from quarrymill.operators.rules import loop_features
+
+    got = sorted((r.line, r.unbounded, r.sends) for r in loop_features(e).collect())
+    assert got == [(3, True, False), (7, False, True), (10, True, False), (11, True, True)]
+
+
+def test_who_is_restricted(spark):
+    heads = {
+        "a": ("public", "require(tx.origin == owner);"), "b": ("public", "require(msg.sender == owner);"), "c": ("public onlyOwner", "x = 1;"), "d": ("public onlyKeeper", "x = 1;"),
+        "e": ("internal", "x = 1;"), "f": ("external", "if (!hasRole(R, msg.sender)) revert();"), "g": ("external", "require(isAuthorized(msg.sender));"), "h": ("public", "x = 1; // require(msg.sender == owner)"),
+        "i": ("public", "require(balances[msg.sender] > 0);"), "j": ("public", "if (msg.sender != admin) revert();"),
+    }
+    text = "contract A { address owner;\n" + "\n".join(f"  function {n}() {v} {{\n    {b}\n  }}" for n, (v, b) in heads.items()) + "\n}"
+    got = {r.fn for r in _audited(spark, text).admin_restricted.where("restricted").collect()}
+    assert got == {"b", "c", "e", "f", "g", "j"}
+
+
+def test_primary_lines(spark):
+    """By risk and by the reported function, in every mode."""
+    from quarrymill.operators.candidates import to_findings
+
+    e = _audited(spark, "contract A {\n  function f() public {\n    g();\n  }\n  function g() internal {\n    x = 1;\n  }\n}")
+    columns = "source_id long, open_i int, risk_type string, contract string, fn string, entrypoint string, sink string, line int, sink_line int, evidence_lines array<int>, state_write_lines array<int>, operation_lines array<int>, reason string, evidence_kind string, admission boolean"
+    row = lambda risk, fn, sink, line, sink_line, ops: (0, 1, risk, "A", fn, "f", sink, line, sink_line, [line], [], ops, "r", "k", True)
+    rows_ = [row("reentrancy", "g", "G", 3, 6, []), row("access_control", "f", "g", 3, 6, []), row("front_running", "f", "f", 3, 4, [2]), row("arithmetic", "f", "f", 3, 4, [5, 6]), row("time_manipulation", "f", "", 3, 4, [])]
+    found = {m: {r.vulnerability_type: r.primary_line for r in to_findings(spark.createDataFrame(rows_, columns), e, m).collect()} for m in ("call_site", "sink")}
+    assert found["call_site"] == {"reentrancy": 6, "access_control": 3, "front_running": 2, "arithmetic": 5, "time_manipulation": 3}
+    assert found["sink"]["access_control"] == 6 and found["sink"]["time_manipulation"] == 3
+
+
+def test_call_chains_are_bounded(spark):
+    """A ladder of diamonds: chains double with each step, up to the bound; what goes on is listed."""
+    steps = "\n".join(f"  function s{i}() internal {{ l{i}(); r{i}(); }}\n  function l{i}() internal {{ s{i + 1}(); }}\n  function r{i}() internal {{ s{i + 1}(); }}" for i in range(5))
+    e = Effects(Facts(_source(spark, f"contract A {{\n  function go() public {{ s0(); }}\n{steps}\n  function s5() internal {{ x = 1; }}\n}}")), max_calls=4)
+    assert e.call_tree.where(F.size("way") > 4).isEmpty() and e.call_tree.count() == 1 + 1 + 2 + 2 + 4
+    assert e.cut_chains.count() == 4
