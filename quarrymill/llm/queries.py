@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm.centroids import clustered
 from quarrymill.llm.decontaminate import benchmark_hits
+from quarrymill.llm.jaccard_join import jaccard_groups
 from quarrymill.llm.language_id import languages
 from quarrymill.llm.line_dedup import line_dedup
+from quarrymill.llm.merkle import merkle_manifest
 from quarrymill.llm.mixing import mix_sources
+from quarrymill.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from quarrymill.llm.pii import KINDS, personal_data
 from quarrymill.llm.quality import fitted_bands, judged
 from quarrymill.llm.secret_scan import secret_spans
@@ -104,6 +108,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), tampered=tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustered(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64)
+    digest = F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
@@ -159,8 +180,17 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_personal_data": op9_personal_data,
         "op10_language_id": op10_language_id,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_jaccard_join": op12_jaccard_join,
+        "op13_centroid_clusters": op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {
+        "op7_line_dedup": OP7_SQL,
+        "op8_decontaminate": OP8_SQL,
+        "op11_merkle_manifest": OP11_SQL,
+        "op12_jaccard_join": OP12_SQL,
+        "op13_centroid_clusters": OP13_SQL,
+    }
