@@ -115,7 +115,7 @@ def _signed(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
     same is the digest of its set of n shingles; prefix are its rarest shingles, by slot counts, then
     hash: a pair that reaches the similarity shares SUBSET of them, and one even without the last;
     bits are the parities of its elements' hashes; subsets and scanned are what it costs
-    as a light and as a heavy set.
+    as a light set (rows of subsets) and as a heavy one (rows of lists, each met by the leads of as many turns as the list is long).
     """
     usual = int(np.median(counts))
 
@@ -133,7 +133,8 @@ def _signed(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
                 prefixes.append(s[order].view(np.int64))
                 bits.append(np.packbits(flips.astype(bool)).view(np.int64))
                 subsets.append(len(order) * (len(order) - 1) // 2)
-                scanned.append(int(np.maximum(times[order[: head - SUBSET + 1]] - usual, 1).sum()))
+                lists = np.maximum(times[order[: head - SUBSET + 1]] - usual, 1)
+                scanned.append(int((1 + np.log(lists) / np.log(GROWTH)).sum()))
             arrays = [batch["doc_id"], batch["key"], pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(subsets, pa.int64()), pa.array(scanned, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "same", "n", "prefix", "bits", "subsets", "scanned"])
 
