@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quarrymill.llm.scratch import written
 
@@ -111,70 +112,91 @@ def _matches(text: Column, kind: str, pattern: str, could: Column) -> Column:
 
 
 def base_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, base, others): matches of the fixed patterns, and the identifiers outside them that contexts may extract.
+    """(row, doc_id, text_id, base, others): matches of the fixed patterns, and the identifiers outside them that contexts may extract.
 
-    row tells rows apart within one evaluation: write the table before it is used twice.
+    text_id is a hash of the text; row tells rows apart within one evaluation: write the table before it is used twice.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.replace(text, F.lit(_MARK), F.lit("\x02")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.replace(text, F.lit(_MARK), F.lit("\x02")).alias("text"))
     t = F.col("text")
     rows = rows.withColumn("number", t.rlike("[0-9]"))
     could = {"email": t.contains("@"), "ip": F.col("number"), "card": F.col("number"), "phone": F.col("number") & t.contains("+")}
     found = [_matches(t, kind, pattern, could[kind]) for kind, pattern in PATTERNS.items()]
-    rows = rows.select("row", "doc_id", F.array_sort(F.flatten(F.array(*found))).alias("base"), _matches(t, "context", IDENTIFIER, F.col("number")).alias("others"))
+    rows = rows.select("row", "doc_id", "text_id", F.array_sort(F.flatten(F.array(*found))).alias("base"), _matches(t, "context", IDENTIFIER, F.col("number")).alias("others"))
     outside = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return rows.select("row", "doc_id", "base", F.when(F.size("base") > 0, outside).otherwise(F.col("others")).alias("others"))
+    return rows.select("row", "doc_id", "text_id", "base", F.when(F.size("base") > 0, outside).otherwise(F.col("others")).alias("others"))
 
 
 def _told(matches: DataFrame, column: str, seed: int) -> DataFrame:
-    """(row, start, end, context, instance, seed): each match under the words before and under the words after it."""
-    rows = matches.select("row", F.explode(column).alias("m"))
+    """(row, text_id, start, end, context, instance, seed): each match under the words before and under the words after it."""
+    rows = matches.select("row", "text_id", F.explode(column).alias("m"))
     sides = F.array(F.concat(F.col("m.before"), F.lit(" _")), F.concat(F.lit("_ "), F.col("m.after")))
-    return rows.select("row", "m.start", "m.end", F.explode(sides).alias("context"), F.col("m.found").alias("instance"), F.lit(seed).alias("seed"))
+    return rows.select("row", "text_id", "m.start", "m.end", F.explode(sides).alias("context"), F.col("m.found").alias("instance"), F.lit(seed).alias("seed"))
 
 
-def word_pairs(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pair, times): how often the two words of each wanted(pair) follow one another, in the form of _near_words, over all whole texts."""
+def _marks(wanted: DataFrame, bits: int) -> Column:
+    """An array of bits / 64 longs in which the bits of the hashes of wanted(pair) are set, however many are wanted."""
+    slot = F.pmod(F.xxhash64("pair"), F.lit(bits))
+    words = wanted.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(pair), {bits}) % 64 as int)))").alias("marks"))
+    found = {r.word: r.marks for r in words.collect()}
+    return F.expr("array(" + ",".join(f"{found.get(i, 0)}L" for i in range(bits // 64)) + ")")
+
+
+def word_pairs(docs: DataFrame, wanted: DataFrame, text_col: str = "text", bits: int = 1 << 18) -> DataFrame:
+    """(pair, times): how often the two words of each wanted(pair) follow one another, in the form of _near_words, over all whole texts.
+
+    Pairs whose hash no wanted one has are left out where they are read, the others are
+    counted within each task before they are dealt; only counts meet the wanted pairs.
+    """
     text = F.translate(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "123456789", "000000000")
     words = F.split(F.trim(F.regexp_replace(F.concat(F.lit("^ ^ "), text, F.lit(" $ $")), rf"{_BLANK}+", " ")), " ")
     pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return docs.select(F.explode(pairs).alias("pair")).join(wanted, "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("times"))
+    slot = F.pmod(F.xxhash64("pair"), F.lit(bits))
+    marked = F.getbit(F.get(_marks(wanted, bits), F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
+    return docs.select(F.explode(pairs).alias("pair")).where(marked).groupBy("pair").agg(F.count("*").alias("times")).join(wanted, "pair", "left_semi")
 
 
-def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, min_support: float = 0.001, text_col: str = "text") -> DataFrame | None:
+def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, text_col: str = "text") -> DataFrame | None:
     """Contexts that extract identifiers reliably: (context, confidence), by bootstrapping over a graph of contexts and instances.
 
     A context is the two words before or the two words after; its edges lead to all different
     strings found there.  Matches of the fixed patterns are the seeds, with score 1, other
-    identifiers start at 0.  In each round a context's confidence is the mean score of its
-    instances, and it is believed if that is min_share or more and at least min_seeds
+    identifiers start at 0.  In each round a context that has met a seed has the mean score of its
+    instances as confidence, and it is believed if that is min_share or more and at least min_seeds
     instances with a score of 0.5 or more, in as many different texts, follow it; an instance's
     score is then 1 - product(1 - confidence) over the believed contexts it stands in.
+    Texts are told apart by their hashes, so copies count once.  Neither the number of other
+    seeds in the corpus nor the order of rows matters to a context.
 
-    A context must also have min_support of all different seeds among its instances, so that
-    it takes as much at any size of the corpus, and be specific: of all the places in all texts where its two words stand,
+    A context must also be specific: of all the places in all texts where its two words stand,
     at least min_specific must have an identifier beside them, so that frequent words never
-    become contexts, however many seeds they happen to meet.  None: no context has the seeds.
+    become contexts, however many seeds they happen to meet.  Each context is counted once, in
+    the first round in which it would be believed.  None: no context has the seeds.
     """
     every = _told(matches, "base", 1).union(_told(matches, "others", 0))
-    edges = written(every.groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.min("row").alias("row"), F.count("*").alias("n")), "edges")
-    n_seeds = edges.where("seed = 1").select("instance").distinct().count()
-    support = max(min_seeds, min_support * n_seeds)
-    wide = edges.groupBy("context").agg(F.count("*").alias("instances"), F.sum("n").alias("beside"), F.sum("seed").alias("seeds")).where((F.col("instances") >= support) & (F.col("seeds") > 0))
-    wide = written(wide.withColumn("pair", F.when(F.col("context").startswith("_ "), F.expr("substring(context, 3)")).otherwise(F.expr("substring(context, 1, char_length(context) - 2)"))), "wide")
-    if wide.isEmpty():
-        return None
-    counted = word_pairs(docs, wide.select("pair").distinct(), text_col)
-    specific = wide.join(counted, "pair", "left").where(F.col("beside") >= min_specific * F.coalesce("times", "beside")).select("context")
-    edges = written(edges.join(specific, "context", "left_semi"), "edges")
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    contexts = None
+    spots = written(every.groupBy("context", "instance", "text_id").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "spots")
+    wide = spots.groupBy("context").agg(F.sum("n").alias("beside"), F.max("seed").alias("seed")).where((F.col("beside") >= min_seeds) & (F.col("seed") > 0))
+    # Of the texts of an edge min_seeds are kept: whether so many different ones follow a context shows in them.
+    rank = F.row_number().over(W.partitionBy("context", "instance").orderBy(F.desc("seed"), "text_id"))
+    edges = written(spots.join(wide.select("context"), "context", "left_semi").withColumn("rank", rank).where(F.col("rank") <= min_seeds), "edges")
+    first = edges.where("rank = 1")
+    scores = first.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
+    contexts = judged = None
     for _ in range(max(rounds, 1)):
         sure = F.col("score") >= 0.5
-        held = edges.join(scores, "instance").groupBy("context").agg(F.avg("score").alias("confidence"), F.count_if(sure).alias("good"), F.count_distinct(F.when(sure, F.col("row"))).alias("texts"))
-        contexts = written(held.where((F.col("good") >= min_seeds) & (F.col("texts") >= min_seeds) & (F.col("confidence") >= min_share)).select("context", "confidence"), "contexts")
+        held = edges.join(scores, "instance").groupBy("context").agg(F.avg(F.when(F.col("rank") == 1, F.col("score"))).alias("confidence"), F.count_if(sure & (F.col("rank") == 1)).alias("good"), F.count_distinct(F.when(sure, F.col("text_id"))).alias("texts"))
+        held = written(held.where((F.col("good") >= min_seeds) & (F.col("texts") >= min_seeds) & (F.col("confidence") >= min_share)).select("context", "confidence"), "held")
+        new = held.select("context") if judged is None else held.select("context").join(judged, "context", "left_anti")
+        new = written(new.join(wide, "context").withColumn("pair", F.when(F.col("context").startswith("_ "), F.expr("substring(context, 3)")).otherwise(F.expr("substring(context, 1, char_length(context) - 2)"))), "new")
+        if not new.isEmpty():
+            counted = word_pairs(docs, new.select("pair").distinct(), text_col)
+            more = written(new.join(counted, "pair", "left").select("context", (F.col("beside") >= min_specific * F.coalesce("times", "beside")).alias("specific")), "judged")
+            judged = more if judged is None else judged.unionByName(more)
+        if judged is None:
+            return None  # no score can change any more
+        contexts = written(held.join(judged.where("specific"), "context", "left_semi"), "contexts")
         doubt = F.sum(F.when(F.col("confidence").isNotNull(), F.log1p(-F.least("confidence", F.lit(0.999)))))
-        scores = edges.join(contexts, "context", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.coalesce(doubt, F.lit(0.0)))).alias("score"))
+        scores = first.join(contexts, "context", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.coalesce(doubt, F.lit(0.0)))).alias("score"))
         scores = written(scores, "scores")
     return contexts
 

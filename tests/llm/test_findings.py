@@ -7,6 +7,7 @@ import corpus_pipeline
 
 from quarrymill.llm.mixing import mix_sources, mixed_corpus
 from quarrymill.llm.line_dedup import line_dedup
+from quarrymill.llm.pii import personal_data, word_pairs
 from quarrymill.llm.simhash import simhash_groups
 from tests.llm import brute
 from tests.llm.test_operators import ROWS
@@ -110,3 +111,44 @@ def test_lines_of_null_ids_are_counted(spark):
     assert sorted(kept) == sorted(t.split("\n")[-1] for _, t in rows)
     assert sum(r.kept.startswith(line) for r in out) == 1 and sum(r.n_dropped for r in out) == 3
     assert all(r.n_dropped for r in out if r.doc_id == 1)  # null ids come last
+
+
+def _contexts(found):
+    return {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == 4) for r in found.collect()}
+
+
+def _planted(n_mails):
+    draw = random.Random(21)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(400)]
+    prose = lambda n: " ".join(draw.choices(words, k=n))
+    rows = [(i, f"{prose(6)} reach me under +1 555 {100 + i} {2000 + i} {prose(4)}") for i in range(20)]
+    rows += [(100 + i, f"{prose(6)} reach me under QX-{1000 + i} {prose(4)}") for i in range(10)]
+    return rows + [(1000 + i, f"{prose(3)} user{i}@mail{i % 7}.org {prose(3)}") for i in range(n_mails)]
+
+
+def test_what_a_context_finds_does_not_depend_on_the_corpus_size(spark):
+    for n in (0, 5_000, 30_000):
+        found = _contexts(personal_data(spark.createDataFrame(_planted(n), "doc_id long, text string").repartition(4)))
+        assert [len(found[100 + i]) for i in range(10)] == [1] * 10, n
+
+
+def test_what_a_context_finds_does_not_depend_on_the_order_of_rows(spark):
+    phones = [f"+1 555 010 {2000 + i}" for i in range(8)]
+    directory = (0, " . ".join(f"reach me under {p}" for p in phones))
+    rows = [(i + 1, f"w{i} reach me under {p} v{i}") for i, p in enumerate(phones)] + [(50, "a reach me under QX-1000 b")]
+    found = [_contexts(personal_data(spark.createDataFrame(r, "doc_id long, text string").coalesce(1))) for r in ([directory, *rows], [*rows, directory])]
+    assert found[0] == found[1] and len(found[0][50]) == 1
+    # copies of one text are one text
+    alone = [(i, directory[1]) for i in range(20)] + [(50, rows[-1][1])]
+    assert _contexts(personal_data(spark.createDataFrame(alone, "doc_id long, text string")))[50] == []
+    again = _contexts(personal_data(spark.createDataFrame(_planted(200), "doc_id long, text string").repartition(1)))
+    assert again == _contexts(personal_data(spark.createDataFrame(_planted(200)[::-1], "doc_id long, text string").repartition(7)))
+
+
+def test_pairs_are_counted_whole(spark):
+    """Also where the marks of few bits let other pairs pass."""
+    texts = ["of the of the 12 of", "Of  THE\nend", None, "", "the of"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    wanted = spark.createDataFrame([("of the",), ("^ ^",), ("the $",), ("the 00",), ("nowhere here",)], "pair string")
+    for bits in (64, 1 << 18):
+        assert {r.pair: r.times for r in word_pairs(docs, wanted, bits=bits).collect()} == {"of the": 3, "^ ^": 5, "the 00": 1}
