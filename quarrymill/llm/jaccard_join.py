@@ -34,6 +34,8 @@ BITS = 512
 STEPS = 8
 #: Lists of up to SHORT members compare all at once; in longer ones GROWTH times more members lead in each turn.
 SHORT, GROWTH = 4, 8
+#: A member of a list that others share is dealt so many times more than one that stands alone.
+OPEN = 4
 #: First a share of 1 / SLICES of the lists is compared: it connects most sets, and lists within one component need nothing more.
 SLICES = 16
 _CHUNK, _LONG = 1 << 18, 64
@@ -115,7 +117,7 @@ def _signed(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
     same is the digest of its set of n shingles; prefix are its rarest shingles, by slot counts, then
     hash: a pair that reaches the similarity shares SUBSET of them, and one even without the last;
     bits are the parities of its elements' hashes; subsets and scanned are what it costs
-    as a light set (rows of subsets) and as a heavy one (rows of lists, each met by the leads of as many turns as the list is long).
+    as a light set (rows of subsets) and as a heavy one (rows of lists; where others share one, it is dealt OPEN times more and met by the leads of its turns).
     """
     usual = int(np.median(counts))
 
@@ -133,8 +135,8 @@ def _signed(texts: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
                 prefixes.append(s[order].view(np.int64))
                 bits.append(np.packbits(flips.astype(bool)).view(np.int64))
                 subsets.append(len(order) * (len(order) - 1) // 2)
-                lists = np.maximum(times[order[: head - SUBSET + 1]] - usual, 1)
-                scanned.append(int((1 + np.log(lists) / np.log(GROWTH)).sum()))
+                more = times[order[: head - SUBSET + 1]] - usual - 3 * np.sqrt(usual)  # beyond what other shingles bring to a slot
+                scanned.append(int(np.where(more > 1, 1 + OPEN + np.log(np.maximum(more, 1)) / np.log(GROWTH), 1).sum()))
             arrays = [batch["doc_id"], batch["key"], pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(subsets, pa.int64()), pa.array(scanned, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "same", "n", "prefix", "bits", "subsets", "scanned"])
 
@@ -147,7 +149,7 @@ def light_below(sets: DataFrame) -> int:
     costs = sorted(tuple(r) for r in sets.groupBy(step).agg(F.sum("subsets"), F.sum("scanned")).collect())  # one row for each size class
     best, at, total = None, 0, sum(c[2] for c in costs)
     for step, subsets, scanned in [*costs, (costs[-1][0] + 1 if costs else 0, 0, 0)]:
-        if best is None or total < best:
+        if best is None or total <= best:  # of equal costs the larger boundary
             best, at = total, step
         total += subsets - scanned
     return int(np.ceil(2 ** (at / STEPS)))
