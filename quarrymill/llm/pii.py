@@ -146,14 +146,15 @@ def word_pairs(docs: DataFrame, wanted: DataFrame, text_col: str = "text", bits:
     """(pair, times): how often the two words of each wanted(pair) follow one another, in the form of _near_words, over all whole texts.
 
     Pairs whose hash no wanted one has are left out where they are read, the others are
-    counted within each task before they are dealt; only counts meet the wanted pairs.
+    counted within each task before they are dealt; only counts meet the wanted pairs (an
+    inner join, as a semi-join would be moved below the counting).
     """
     text = F.translate(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "123456789", "000000000")
     words = F.split(F.trim(F.regexp_replace(F.concat(F.lit("^ ^ "), text, F.lit(" $ $")), rf"{_BLANK}+", " ")), " ")
     pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     slot = F.pmod(F.xxhash64("pair"), F.lit(bits))
     marked = F.getbit(F.get(_marks(wanted, bits), F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
-    return docs.select(F.explode(pairs).alias("pair")).where(marked).groupBy("pair").agg(F.count("*").alias("times")).join(wanted, "pair", "left_semi")
+    return docs.select(F.explode(pairs).alias("pair")).where(marked).groupBy("pair").agg(F.count("*").alias("times")).join(wanted.distinct(), "pair")
 
 
 def learned_contexts(matches: DataFrame, docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_share: float = 0.4, min_specific: float = 0.05, text_col: str = "text") -> DataFrame | None:
