@@ -94,3 +94,32 @@ ADMIN_CHECKS = [
 ]
 YUL_CALL = r"(?i)\b(?:call|staticcall|delegatecall|callcode)\s*\("
 YUL_CHECKED = r"(?i)\b(?:if|switch)\b[^\n]*\b(?:iszero|eq|lt|gt)\s*\([^)]*$"
+#: Methods of direct effects: those that only read, those of value libraries, those that change what a library holds, those that move assets.
+EFFECT_READS = r"(?i)^(?:balanceof|totalsupply|allowance|decimals|symbol|name|supportsinterface|invariant|latest[a-z_]*|get[a-z_]*|is[a-z_]*|quote[a-z_]*|price[a-z_]*|view[a-z_]*)$"
+VALUE_LIBRARY_METHODS = ["add", "sub", "mul", "div", "decadd", "decsub", "decmul", "decdiv", "mod", "pow", "min", "max", "abs", "toint", "touint", "touint112", "touint256", "toint256", "encode", "decode", "concat", "push", "pop", "at", "contains", "remove"]
+STATE_LIBRARY_METHODS = ["allocate", "deposit", "withdraw", "remove", "swap", "mint", "burn", "settle", "update"]
+ASSET_METHODS = ["transfer", "transferfrom", "safetransfer", "safetransferfrom", "sendvalue", "send", "deposit", "withdraw", "stake", "unstake", "swap", "execute", "settle", "liquidate", "flashloan", "sendeth", "sendether", "withdraweth", "withdrawether"]
+ECONOMIC_METHODS = ["callexchange", "executeorder", "executeorders", "fillorder", "fillorders", "settleorder", "settleorders", "processorder", "processorders"]
+SAFE_TOKEN_METHODS = ["safetransfer", "safetransferfrom", "safeapprove", "safeincreaseallowance", "safedecreaseallowance"]
+CALLBACK_NAMES = r"(?i)callback|tokensreceived|on[a-z_]*|executeoperation|flashloan|fallback|receive"
+EXTERNAL_ROOTS = r"(?i)^(?:router|pool|pair|token|vault|strategy|oracle|factory|manager|controller|registry|market|bridge|l1|l2|weth|uni|bsc)"
+INTERFACE_TYPE = r"^(?:I[A-Z][A-Za-z0-9_]*|[A-Za-z_][A-Za-z0-9_]*(?:Interface|Router|Pool|Manager|Token|Vault))$"
+EXTERNAL_EFFECT = r"(?i)\.(?:call|send|delegatecall|staticcall|transfer|transferFrom|approve|burn|mint|safeTransfer|safeTransferFrom|safeApprove|safeIncreaseAllowance|safeDecreaseAllowance|sendValue|functionCall|functionStaticCall|functionDelegateCall|uniTransfer|uniTransferFrom|deposit|withdraw|stake|unstake|stakingRate|swap|execute|settle|liquidate|flashLoan|sendETH|sendEther|withdrawETH|withdrawEther)\s*[.{(]"
+BARE_EXTERNAL = r"(?i)(?<![.\w])(safeTransferFrom|safeTransfer|sendValue|functionCallWithValue|functionCall|functionStaticCall|functionDelegateCall)\s*\("
+INHERITED_WRITES = r"(?i)^_?(?:burn|mint|transfer|withdraw|deposit|claim|redeem|stake|unstake|approve|set|upgrade|pause|unpause)\w*$|^(?:sync|update|set|record|write|adjust|refresh|checkpoint|apply)[A-Za-z_]\w*$"
+CONSTANT_AMOUNT = r"(?i)^(?:0x[0-9a-f]+|\d+)(?:\s+(?:wei|ether|gwei|finney))?$"
+MESSAGE_VALUE = r"(?i)\bmsg\s*\.\s*value\b"
+AMOUNT_WORDS = r"(?i)\b(?:balance|reserve|amount|value|reward|share|collateral|supply)\w*\b"
+#: Methods whose result matters even where the type of the receiver is not known.
+RESULT_METHODS = ["approve", "transfer", "transferfrom", "redeem", "withdraw", "withdrawall", "deposit", "harvest", "execute", "swap", "swapexacttokensfortokens", "swapexacttokensforeth", "swapexactethfortokens", "swaptokensforexacttokens", "swaptokensforexacteth", "swapethforexacttokens"]
+SAFE_WRAPPERS = r"(?i)\b(?:safeerc20|transferhelper)\b|\.safe(?:transfer|approve|transferfrom|increaseallowance|decreaseallowance)\s*\("
+#: What imported interfaces return: types, then methods by what they return; `view` ones only read.
+_TOKEN = {"bool": ["transfer", "approve", "transferFrom"], "uint256 view": ["totalSupply", "balanceOf", "allowance"]}
+_ROUTER = {"uint256[]": ["swapExactTokensForTokens", "swapExactTokensForETH", "swapExactETHForTokens", "swapTokensForExactTokens", "swapTokensForExactETH", "swapETHForExactTokens"], "uint256[] view": ["getAmountsOut", "getAmountsIn"]}
+KNOWN_INTERFACES = {
+    "IERC20": _TOKEN, "ERC20": _TOKEN, "IBEP20": _TOKEN,
+    "ITimelock": {"bytes32": ["queueTransaction"], "bytes": ["executeTransaction"]},
+    "ProjectWallet": {"bool": ["transfer"]},
+    "RocketVaultInterface": {"bool": ["depositToken", "withdrawToken", "transferToken"]},
+    "UniswapRouterV2": _ROUTER, "IUniswapV2Router": _ROUTER, "IUniswapV2Router02": _ROUTER, "IPancakeRouter02": _ROUTER,
+}

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.functions import patterns as P
-from quarrymill.functions.text import all_matches
+from quarrymill.functions.text import all_matches, bracketed, top_parts
 from quarrymill.operators.facts import Facts
 from quarrymill.operators.graph import Graph
+from quarrymill.operators.order import first_ways, later
+from quarrymill.operators.symbols import ELEMENTARY, calls_of, library_functions, symbols_of
 from quarrymill.storage import written
 
 KEY = ["source_id", "open_i"]
@@ -37,9 +39,9 @@ def write_score(names: Column, code: Column) -> Column:
 
 
 class Effects:
-    """What functions do.  Chains of calls are followed over at most max_calls calls (see call_tree)."""
+    """What functions do.  Only evidence chains (RE11) list each chain of calls, of at most max_calls calls (see call_tree)."""
 
-    def __init__(self, facts: Facts, graph: Graph | None = None, max_calls: int = 8):
+    def __init__(self, facts: Facts, graph: Graph | None = None, max_calls: int = 5):
         self.facts, self.graph, self.max_calls = facts, graph or Graph(facts), max_calls
 
     @cached_property
@@ -78,23 +80,64 @@ class Effects:
 
     @cached_property
     def direct_effects(self) -> DataFrame:
-        """Effects of statements: external calls with their kind, and writes of the variables of the contract or its bases."""
-        st = self.facts.statements.where("not is_modifier")
-        calls = st.select("source_id", "open_i", "fn", F.col("start_line").alias("line"), "end_line", F.explode(all_matches(F.col("text"), r"[A-Za-z_$][\w$]*(?:\([^()]*\))?(?:\[[^\]]*\])?\s*\.\s*[A-Za-z_]\w*\s*(?:\{[^}]*\}\s*)?\(")).alias("call"))
-        receiver, method = F.regexp_extract("call", r"^([\w$]+)", 1), F.regexp_extract("call", r"\.\s*([A-Za-z_]\w*)\s*(?:\{[^}]*\}\s*)?\($", 1)
-        low = F.lower(method)
-        calls = calls.withColumn("receiver", receiver).withColumn("method", method).where(~low.isin(P.READ_METHODS) & ~low.rlike(P.READ_PREFIXES) & ~F.col("receiver").isin("abi", "super", "type"))
-        low_level = low.isin("call", "send", "delegatecall", "staticcall")
-        asset = low.isin("transfer", "transferfrom", "send", "mint", "burn", "deposit", "withdraw", "swap", "safetransfer", "safetransferfrom") | (low.eqNullSafe("call") & F.col("call").rlike(r"\{\s*value"))
-        calls = calls.select(*KEY, "fn", "line", "end_line", F.lit("external_call").alias("kind"), "method", "receiver", low_level.alias("low_level"), asset.alias("asset_call"), (low_level & ~low.eqNullSafe("staticcall") & ~low.eqNullSafe("send")).alias("callback_capable"), F.lit(False).alias("inherited"))
+        """Effects of statements: external calls and writes of the variables of the contract or its bases.
+
+        A call of a member is external if it is low-level, moves assets, may call back or has a
+        receiver that is likely a contract: a cast or the result of a call, a stored variable or an
+        interface by its declared type (the innermost declaration of the name), or by its name.
+        Not external are members that only read, functions of libraries of the source,
+        whether named or attached to the receiver's type, and values that are no contracts.
+
+        economic: the call dispatches an order; dynamic_amount: its last argument is no constant
+        (and not just the sent value); library_call: a library of others changes a stored receiver; inherited:
+        a write by a function of a base that the source does not show, or by super.
+        """
+        calls = calls_of(self)
+        low = F.lower("method")
+        libs = library_functions(self)
+        named = calls.where("not chained").select("use", "source_id", F.lower("root").alias("library"), low.alias("method")).join(libs, ["source_id", "library", "method"])
+        attached = symbols_of(self).attached.select("source_id", "contract", F.lower("library").alias("library"), F.col("type").alias("for"))
+        by_type = calls.where("not chained and not called and scope is not null").select("use", "source_id", "contract", "type", low.alias("method")).join(attached, ["source_id", "contract"]).join(libs, ["source_id", "library", "method"])
+        short = lambda t: F.regexp_replace(F.regexp_replace(t, r"\s+payable$", ""), r"^(uint|int)$", "$1256")
+        by_type = by_type.where((F.col("for") == "*") | (short(F.col("for")) == short(F.col("type"))))
+        ours = named.select("use").union(by_type.select("use")).distinct()
+        plain = F.col("scope").isNotNull() & F.col("type").rlike(ELEMENTARY) & ~F.col("called") & ~F.col("chained")
+        rows = calls.join(ours, "use", "left_anti").where(~low.rlike(P.EFFECT_READS) & ~low.eqNullSafe("staticcall") & ~F.lower("root").isin("abi", "super", "type")).where(~plain)
+        yes, no = F.lit(True), F.lit(False)
+        library = low.isin(P.STATE_LIBRARY_METHODS) & ~F.col("called") & F.when(F.col("indexed"), F.col("stored")).otherwise(F.col("stored") & ((F.col("scope") != "state") | F.col("type").startswith("mapping")))
+        low_level = low.isin("call", "send", "delegatecall")
+        economic = low.isin(P.ECONOMIC_METHODS)
+        asset = low.isin(P.ASSET_METHODS) | economic
+        wrapper = low.isin(P.SAFE_TOKEN_METHODS)
+        amount = F.try_element_at(top_parts(bracketed(F.col("rest"))["inner"]), F.lit(-1))
+        dynamic = (F.col("options") == "") & amount.isNotNull() & ~amount.rlike(P.CONSTANT_AMOUNT) & ~(amount.rlike(P.MESSAGE_VALUE) & ~amount.rlike(P.AMOUNT_WORDS))
+        likely = ~low.isin(P.VALUE_LIBRARY_METHODS) & (F.col("called") | F.col("stored") | F.col("root").rlike(P.EXTERNAL_ROOTS) | F.coalesce(F.col("type").rlike(P.INTERFACE_TYPE), no))
+        hook = (low.rlike(P.CALLBACK_NAMES) | (F.col("called") & F.lower("call").rlike(r"hook|callback|receiver|recipient|handler|plugin"))) & ~economic
+        callback = hook | low_level | (asset & ~wrapper & ~economic) | (wrapper & dynamic) | (likely & ~low.isin("approve", "safeapprove") & ~wrapper & ~economic)
+        flags = ["low_level", "asset_call", "callback_capable", "inherited", "economic", "dynamic_amount", "library_call"]
+        rows = rows.withColumns({"library_call": library, "low_level": low_level, "economic": economic, "asset_call": asset | (low.eqNullSafe("call") & F.col("options").contains("value")), "dynamic_amount": F.coalesce(dynamic, no), "callback_capable": callback, "inherited": no, "likely": likely})
+        cols = [*KEY, "fn", "line", "end_line"]
+        stored = rows.where("library_call").select(*cols, F.lit("state_write").alias("kind"), "method", "receiver", *[(yes if f == "library_call" else no).alias(f) for f in flags])
+        external = rows.where("not library_call").where(F.col("low_level") | F.col("asset_call") | F.col("callback_capable") | F.col("likely") | F.col("text").rlike(P.EXTERNAL_EFFECT))
+        external = external.select(*cols, F.lit("external_call").alias("kind"), "method", "receiver", *flags)
+        st = self.facts.statements.where("not is_modifier").withColumnRenamed("start_line", "line")
+        bare = st.select(*cols, "text", F.explode(all_matches(F.col("text"), P.BARE_EXTERNAL, 1)).alias("method"))
+        last = F.try_element_at(top_parts(bracketed(F.expr("substring(text, locate('(', text, locate(method, text)))"))["inner"]), F.lit(-1))
+        moves = last.isNotNull() & ~last.rlike(P.CONSTANT_AMOUNT)
+        bare = bare.select(*cols, F.lit("external_call").alias("kind"), "method", F.lit("").alias("receiver"), no.alias("low_level"), yes.alias("asset_call"), moves.alias("callback_capable"), no.alias("inherited"), no.alias("economic"), moves.alias("dynamic_amount"), no.alias("library_call"))
         target = r"(?:^|[;{}(]\s*|\)\s*)(?:delete\s+)?([A-Za-z_]\w*)(?:\s*\[[^\]]*\])*(?:\s*\.\s*\w+)*\s*(?:=(?![=>])|\+=|-=|\*=|/=|\+\+|--|\.push|\.pop|;)"
-        writes = st.select("source_id", "open_i", "contract", "fn", F.col("start_line").alias("line"), "end_line", F.regexp_extract("text", target, 1).alias("name"))
-        scope = self.graph.ancestors.join(self.facts.state_variables.select("source_id", F.col("contract").alias("ancestor"), "name"), ["source_id", "ancestor"]).select("source_id", "contract", "name").distinct()
-        no = F.lit(False)
-        writes = writes.join(scope, ["source_id", "contract", "name"]).select(*KEY, "fn", "line", "end_line", F.lit("state_write").alias("kind"), F.lit("").alias("method"), F.col("name").alias("receiver"), no.alias("low_level"), no.alias("asset_call"), no.alias("callback_capable"), no.alias("inherited"))
-        up = st.select(*KEY, "fn", F.col("start_line").alias("line"), "end_line", F.explode(all_matches(F.col("text"), r"\bsuper\s*\.\s*([A-Za-z_]\w*)\s*\(", 1)).alias("method"))
-        up = up.select(*KEY, "fn", "line", "end_line", F.lit("state_write").alias("kind"), "method", F.lit("super").alias("receiver"), no.alias("low_level"), no.alias("asset_call"), no.alias("callback_capable"), F.lit(True).alias("inherited"))
-        return written(calls.union(writes).union(up), "effects")
+        writes = st.select(*cols, "contract", F.regexp_extract("text", target, 1).alias("name"))
+        scope = symbols_of(self).state.select("source_id", "contract", "name").distinct()
+        write = lambda df, method, receiver, inherited: df.select(*cols, F.lit("state_write").alias("kind"), method.alias("method"), receiver.alias("receiver"), *[(inherited if f == "inherited" else no).alias(f) for f in flags])
+        writes = write(writes.join(scope, ["source_id", "contract", "name"]), F.lit(""), F.col("name"), no)
+        up = write(st.select(*cols, F.explode(all_matches(F.col("text"), r"\bsuper\s*\.\s*([A-Za-z_]\w*)\s*\(", 1)).alias("method")), F.col("method"), F.lit("super"), yes)
+        # a bare call of a name that no function of the source has: a base that is not shown changes state
+        code = F.regexp_replace("text", r"\b(?:emit|new|revert|function|modifier|returns?\s*\()\s*[A-Za-z_]\w*\s*\(", " ")
+        unseen = st.select(*cols, F.explode(F.array_distinct(all_matches(code, P.BARE_CALL, 1))).alias("method")).where(F.col("method").rlike(P.INHERITED_WRITES))
+        known = self.facts.functions.select("source_id", F.lower("fn").alias("key")).distinct()
+        unseen = unseen.withColumn("key", F.lower("method")).join(known, ["source_id", "key"], "left_anti")
+        unseen = write(unseen, F.col("method"), F.lit(""), yes)
+        return written(external.unionByName(stored).unionByName(bare).unionByName(writes).unionByName(up).unionByName(unseen), "effects")
 
     @cached_property
     def write_closure(self) -> DataFrame:
@@ -171,30 +214,42 @@ class Effects:
         ends = self.call_tree.where(F.size("way") == self.max_calls).join(edges, ["source_id", "at"]).where(~F.array_contains("chain", F.col("callee")))
         return ends.drop("callee").distinct()
 
+    @cached_property
+    def ways(self) -> DataFrame:
+        """(source_id, root, at, chain, names, way): where each callable root first enters each function that it reaches, at any depth."""
+        starts = self.graph.roots.select("source_id", F.col("open_i").cast("string").alias("tag"), F.col("open_i").alias("at"), "fn", F.array().cast("array<int>").alias("blocked"))
+        return first_ways(self.graph.edges, starts).withColumn("root", F.col("chain")[0]).drop("tag")
+
     @cached_property
     def runtime_events(self) -> DataFrame:
-        """(source_id, root, step, kind, line, fn_id): effects of each callable root in the order in which they run.
+        """(source_id, root, step, kind, line, fn_id, chain, way, order): effects of each callable root in the order in which they first run.
 
-        The call tree is expanded at each call line; a chain that would enter a function twice
-        is cut.  The order is an array of lines, one for each call on the way.
+        An effect that runs more than once, as its function is called again, stands where it
+        runs first.  On a line, what the line does itself comes before what it calls.
         """
-        tree = self.call_tree
         events = self.external_calls.select("source_id", F.col("open_i").alias("at"), "line", F.lit("call").alias("kind")).union(self.state_writes.select("source_id", F.col("open_i").alias("at"), "line", F.lit("write").alias("kind")))
-        order = F.concat("way", F.array("line"))
-        rows = tree.join(events, ["source_id", "at"]).select("source_id", "root", F.col("at").alias("fn_id"), "line", "kind", order.alias("order"))
+        rows = self.ways.join(events, ["source_id", "at"]).select("source_id", "root", F.col("at").alias("fn_id"), "line", "kind", "chain", "way", F.concat("way", F.array("line")).alias("order"))
         step = F.row_number().over(W.partitionBy("source_id", "root").orderBy("order", "kind"))
         return written(rows.withColumn("step", step), "events")
 
     @cached_property
     def reentrancy_summary(self) -> DataFrame:
-        """One row a callable root with events: first call, first write after it, whether a mutex stands, order complete."""
-        first = F.min(F.when(F.col("kind") == "call", F.col("step"))).over(W.partitionBy("source_id", "root"))
-        e = self.runtime_events.withColumn("first_call", first)
+        """One row a callable root with events: first call, first write after it, whether a mutex stands, order complete.
+
+        The write may be one that also ran before the call: what runs after the call is followed by itself (see order.later).
+        """
+        e = self.runtime_events
         rows = e.groupBy("source_id", "root").agg(
-            F.min(F.when((F.col("kind") == "call") & (F.col("step") == F.col("first_call")), F.col("line"))).alias("call_line"),
-            F.min_by(F.when((F.col("kind") == "write") & (F.col("step") > F.col("first_call")), F.col("line")), F.when((F.col("kind") == "write") & (F.col("step") > F.col("first_call")), F.col("step"))).alias("write_line"),
+            F.min(F.when(F.col("kind") == "call", F.struct("order", "line", "chain", "way"))).alias("call"),
             F.sort_array(F.collect_set(F.when((F.col("kind") == "write") & (F.col("fn_id") != F.col("root")), F.col("line")))).alias("cross_lines"),
         )
+        rows = written(rows, "first_calls")
+        points = rows.where("call is not null").select("source_id", F.col("root").alias("point"), "call.chain", "call.way", "call.line")
+        writes = self.state_writes.select("source_id", F.col("open_i").alias("at"), "line")
+        after = later(self.graph.edges, self.graph.reach, points).join(writes, ["source_id", "at"]).where("line > bound")
+        after = after.groupBy("source_id", F.col("point").alias("root")).agg(F.min_by("line", F.concat("before", F.array("line"))).alias("write_line"))
+        rows = rows.join(after, ["source_id", "root"], "left").select("source_id", "root", F.col("call.line").alias("call_line"), "write_line", "cross_lines")
         g = self.guards.select("source_id", F.col("open_i").alias("root"), "fn", "mutex")
         rows = rows.join(g, ["source_id", "root"])
-        return rows.withColumn("reentrant_order", F.col("call_line").isNotNull() & F.col("write_line").isNotNull()).withColumn("cei_complete", F.col("call_line").isNotNull() & F.col("write_line").isNull())
+        rows = rows.withColumn("reentrant_order", F.col("call_line").isNotNull() & F.col("write_line").isNotNull()).withColumn("cei_complete", F.col("call_line").isNotNull() & F.col("write_line").isNull())
+        return written(rows, "summary")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarrymill.functions.text import all_matches, mask_comments, newlines, normalize_lf, pragma_part
+from quarrymill.functions.text import all_matches, bracketed, mask_comments, newlines, normalize_lf, outside_brackets, pragma_part, top_parts
 from quarrymill.storage import written
 
 #: Words that look like calls or types but are none.
@@ -22,7 +22,7 @@ MODIFIER_STOP = ["public", "private", "internal", "external", "view", "pure", "p
 #: Stand for the braces of call options while blocks are cut.
 OPTION = "\x02\x03"
 _CONTRACT = r"^(?:abstract\s+)?(contract|interface|library)\s+([A-Za-z_$][\w$]*)(?:\s+is\s+([^{]*))?$"
-_FUNCTION = r"(?s)^(?:function\b\s*([A-Za-z_$][\w$]*)?|(constructor|fallback|receive)\b)\s*\(([^)]*)\)(.*)$"
+_FUNCTION = r"(?s)^(?:function\b\s*([A-Za-z_$][\w$]*)?|(constructor|fallback|receive)\b)\s*(\(.*\).*)$"
 _MODIFIER = r"(?s)^modifier\s+([A-Za-z_$][\w$]*)\s*(?:\(([^)]*)\))?"
 _STATE = r"(?s)^(mapping\s*\(.*\)|[A-Za-z_$][\w$.]*(?:\s*\[[^\]]*\])*)\s+((?:(?:public|private|internal|constant|immutable|override)\s+)*)([A-Za-z_$][\w$]*)\s*(?:=.*)?$"
 _NOT_STATE = r"^(?:using|event|error|struct|enum|import|pragma|function|return|emit|delete|modifier|constructor|type)\b"
@@ -95,8 +95,9 @@ class Facts:
         is_function = (F.col("kind") == "{") & F.col("body").rlike(_FUNCTION)
         is_modifier = (F.col("kind") == "{") & F.col("body").rlike(_MODIFIER)
         name = F.when(is_function, named).when(is_modifier, found(_MODIFIER, 1))
-        params = F.when(is_function, found(_FUNCTION, 3)).otherwise(found(_MODIFIER, 2))
-        rest = F.when(is_function, found(_FUNCTION, 4)).otherwise(F.lit(""))
+        head = F.when(is_function, bracketed(found(_FUNCTION, 3)))
+        params = F.when(is_function, head["inner"]).otherwise(found(_MODIFIER, 2))
+        rest = F.when(is_function, head["rest"]).otherwise(F.lit(""))
         unit = F.when(
             is_function | is_modifier,
             F.struct(name.alias("fn"), F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), F.col("i").alias("open_i"), F.col("close_i"), is_modifier.alias("is_modifier"), params.alias("params"), rest.alias("rest"), found(r"^(\w+)", 1).alias("word")),
@@ -114,8 +115,9 @@ class Facts:
     def units(self) -> DataFrame:
         """Functions and modifiers with their spans; one row each."""
         rows = self.pieces.where("kind = '{' and u.open_i = i").join(pragma_versions(self.sources), "source_id")
-        words = F.filter(all_matches(F.regexp_replace(F.regexp_replace("u.rest", r"\breturns\s*\([^)]*\)", ""), r"\([^)]*\)", ""), r"[A-Za-z_$][\w$]*"), lambda w: ~w.isin(MODIFIER_STOP))
-        has = lambda w: F.col("u.rest").rlike(rf"\b{w}\b")
+        plain = outside_brackets(F.col("u.rest"))
+        words = F.filter(all_matches(plain, r"[A-Za-z_$][\w$]*"), lambda w: ~w.isin(MODIFIER_STOP))
+        has = lambda w: plain.rlike(rf"\b{w}\b")
         pick = lambda names, default: F.coalesce(*[F.when(has(n), n) for n in names], F.lit(default))
         old = F.col("legacy") & (F.lower("u.fn") == F.lower("c.contract")) & (F.col("u.word") == "function")
         return rows.select(
@@ -134,12 +136,17 @@ class Facts:
 
     @cached_property
     def parameters(self) -> DataFrame:
-        """(source_id, contract, fn, start_line, place, type, name, bits): uint is 256 bits wide, bytesN is 8 N."""
-        rows = self.functions.where("trim(params) != ''").select("source_id", "contract", "fn", "start_line", F.posexplode(F.split("params", ",")).alias("place", "p"))
-        kind, name = F.regexp_extract("p", r"^\s*([\w$.]+(?:\s*\[[^\]]*\])*)", 1), F.regexp_extract("p", r"([A-Za-z_$][\w$]*)\s*$", 1)
+        """(source_id, contract, fn, start_line, place, type, name, bits): uint is 256 bits wide, bytesN is 8 N.
+
+        Parameters end at commas outside brackets; the type of a mapping or of a function is taken whole, with its brackets.
+        """
+        rows = self.functions.where("trim(params) != ''").select("source_id", "contract", "fn", "start_line", F.posexplode(top_parts(F.col("params"))).alias("place", "p"))
+        kind = F.regexp_extract("p", r"(?s)^\s*(mapping\s*\(.*\)(?:\s*\[[^\]]*\])*|function\s*\(.*\)|[\w$.]+(?:\s*\[[^\]]*\])*)", 1)
+        name = F.regexp_extract("p", r"([A-Za-z_$][\w$]*)\s*$", 1)
         number = F.regexp_extract(kind, r"^(?:uint|int)(\d+)$", 1)
         bits = F.when(kind.isin("uint", "int"), 256).when(number != "", number.cast("int")).when(kind.rlike(r"^bytes\d+$"), 8 * F.regexp_extract(kind, r"(\d+)", 1).cast("int"))
-        return rows.select("source_id", "contract", "fn", "start_line", "place", kind.alias("type"), F.when(name != kind, name).otherwise("").alias("name"), bits.alias("bits"))
+        named = (name != kind) & ~name.isin(MODIFIER_STOP)
+        return rows.select("source_id", "contract", "fn", "start_line", "place", kind.alias("type"), F.when(named, name).otherwise("").alias("name"), bits.alias("bits"))
 
     @cached_property
     def state_variables(self) -> DataFrame:

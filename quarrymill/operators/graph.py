@@ -51,12 +51,15 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """(source_id, caller, caller_fn, line, callee, callee_fn): bare calls in scope, the nearest contract first; super goes to direct bases."""
+        """(source_id, caller, caller_fn, line, callee, callee_fn, rank): bare calls in scope, the nearest contract first; super goes to direct bases.
+
+        rank is the place of the call among those of its line: bare calls as they stand, then those of super.
+        """
         lines = self.facts.line_functions
         code = F.regexp_replace("code", r"\b(?:emit|new|function|modifier)\s+[A-Za-z_]\w*\s*\(", " ")
-        bare = lines.select("source_id", "contract", F.col("open_i").alias("caller"), F.col("fn").alias("caller_fn"), F.col("line_no").alias("line"), F.explode(F.array_distinct(all_matches(code, BARE_CALL, 1))).alias("name"))
+        bare = lines.select("source_id", "contract", F.col("open_i").alias("caller"), F.col("fn").alias("caller_fn"), F.col("line_no").alias("line"), F.posexplode(F.array_distinct(all_matches(code, BARE_CALL, 1))).alias("place", "name"))
         bare = bare.where(~F.lower("name").isin(CONTROL_WORDS))
-        up = lines.select("source_id", "contract", F.col("open_i").alias("caller"), F.col("fn").alias("caller_fn"), F.col("line_no").alias("line"), F.explode(F.array_distinct(all_matches(F.col("code"), r"\bsuper\s*\.\s*([A-Za-z_]\w*)\s*\(", 1))).alias("name"))
+        up = lines.select("source_id", "contract", F.col("open_i").alias("caller"), F.col("fn").alias("caller_fn"), F.col("line_no").alias("line"), F.posexplode(F.array_distinct(all_matches(F.col("code"), r"\bsuper\s*\.\s*([A-Za-z_]\w*)\s*\(", 1))).alias("place", "name"))
         f = self.facts.functions.select("source_id", F.col("contract").alias("ancestor"), F.lower("fn").alias("key"), F.col("fn").alias("callee_fn"), F.col("open_i").alias("callee"))
         scope = self.ancestors
         files = bare.where("contract = ''").select("source_id", "contract", F.lit("").alias("ancestor"), F.lit(0).alias("depth")).distinct()
@@ -65,7 +68,10 @@ class Graph:
         found = found.withColumn("r", near).where("r = 1 and callee <> caller")
         sup = up.join(scope.where("depth = 1"), ["source_id", "contract"]).withColumn("key", F.lower("name")).join(f, ["source_id", "ancestor", "key"])
         cols = ["source_id", "caller", "caller_fn", "line", "callee", "callee_fn"]
-        return written(found.select(cols).union(sup.select(cols)).distinct(), "edges")
+        both = found.select(*cols, F.lit(0).alias("up"), "place").union(sup.select(*cols, F.lit(1).alias("up"), "place"))
+        both = both.groupBy(cols).agg(F.min(F.struct("up", "place")).alias("at"))
+        rank = F.row_number().over(W.partitionBy("source_id", "caller", "line").orderBy("at", "callee"))
+        return written(both.select(*cols, rank.alias("rank")), "edges")
 
     @cached_property
     def reach(self) -> DataFrame:

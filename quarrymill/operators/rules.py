@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.functions import patterns as P
-from quarrymill.functions.text import all_matches
+from quarrymill.functions.text import all_matches, bracketed, top_parts
 from quarrymill.operators.effects import KEY, Effects
 from quarrymill.operators.facts import pragma_versions
+from quarrymill.operators.symbols import ELEMENTARY, calls_of
 
 CANDIDATE = "source_id, rule_id, rule_order, risk_type, contract, fn, entrypoint, sink, line, sink_line, evidence_lines, state_write_lines, operation_lines, confidence, evidence_kind, reason, open_i"
 _NONE = "array<int>"
@@ -71,7 +72,7 @@ def rule_ac2(e: Effects) -> DataFrame:
     rows = rows.withColumn("admin", admin).where((named & admin) | (~(named & admin) & sensible))
     at = F.when(F.col("admin"), F.col("own")).otherwise(F.col("at"))
     rows = rows.withColumn("at", at).withColumn("line", F.col("at")[0]).withColumn("sink", F.when(F.col("admin"), F.col("fn")).otherwise(F.col("target_fn")))
-    reason = F.concat("fn", F.lit("() reaches unprotected critical state write in "), "sink", F.lit("()"))
+    reason = F.concat(F.lit("anyone can change what "), "sink", F.lit("() stores by calling "), "fn", F.lit("()"))
     return _candidates(rows, "AC2", "access_control", F.when(F.col("admin"), 0.91).otherwise(0.88), "unprotected_critical_state_write", reason, sink=F.col("sink"), evidence_lines=F.concat(F.array("start_line"), "at"), state_write_lines=F.col("at"))
 
 
@@ -117,7 +118,7 @@ def rule_re1(e: Effects) -> DataFrame:
     one = F.row_number().over(W.partitionBy(*KEY, "at").orderBy("line"))
     rows = rows.withColumn("r", one).where("r = 1")
     across = (F.col("at_fn") != F.col("fn")) | (F.col("first.w_fn") != F.col("fn"))
-    reason = F.concat("fn", F.lit("() reaches external call @L"), F.col("line").cast("string"), F.lit(" before persistent state write @L"), F.col("first.w").cast("string"), F.lit(" through "), "at_fn", F.lit("()"))
+    reason = F.concat("fn", F.lit("(): a call out of "), "at_fn", F.lit("() at @L"), F.col("line").cast("string"), F.lit(" comes first, stored state changes later at @L"), F.col("first.w").cast("string"))
     return _candidates(rows.withColumn("across", across), "RE1", "reentrancy", 0.84, F.when(F.col("across"), "interprocedural_external_call_before_state_write").otherwise("external_call_before_state_write"), reason, sink=F.col("at_fn"), sink_line=F.col("first.w"), evidence_lines=F.array("line", "first.w"), state_write_lines=F.array("first.w"))
 
 
@@ -191,21 +192,70 @@ def typed_methods(e: Effects) -> DataFrame:
     return heads.select("source_id", F.lower(F.regexp_extract("body", r"^function\s+(\w+)", 1)).alias("method"), F.trim(F.regexp_extract("body", r"(?s)\breturns\s*\(([^)]*)\)", 1)).alias("returns"), F.col("body").rlike(r"\b(?:view|pure)\b").alias("read_only"))
 
 
+def _heads(e: Effects) -> DataFrame:
+    """(source_id, ancestor, method, arity, returns, read_only): the functions that contracts and interfaces declare, with or without a body."""
+    heads = e.facts.pieces.where("c is not null").where(F.col("body").rlike(r"(?s)^function\s+\w+\s*\("))
+    head = bracketed(F.regexp_extract("body", r"(?s)^function\s+\w+\s*(\(.*)$", 1))
+    heads = heads.select("source_id", F.col("c.contract").alias("ancestor"), F.lower(F.regexp_extract("body", r"^function\s+(\w+)", 1)).alias("method"), head.alias("head"), F.col("body").rlike(r"\b(?:view|pure)\b").alias("read_only"))
+    given = F.regexp_extract("head.rest", r"(?s)\breturns\s*(\(.*)$", 1)
+    returns = F.when(given != "", F.trim(bracketed(given)["inner"])).otherwise("")
+    return heads.select("source_id", "ancestor", "method", F.size(top_parts(F.col("head.inner"))).alias("arity"), returns.alias("returns"), "read_only")
+
+
+def _known(e: Effects) -> DataFrame:
+    """(type, method, returns, read_only) of the interfaces that sources import."""
+    rows = [(t, m.lower(), r.removesuffix(" view"), r.endswith(" view")) for t, by in P.KNOWN_INTERFACES.items() for r, methods in by.items() for m in methods]
+    return e.facts.sources.sparkSession.createDataFrame(rows, "type string, method string, returns string, read_only boolean")
+
+
 def typed_signatures(e: Effects) -> DataFrame:
     """(source_id, type, method, returns, read_only): what each contract or interface returns, its own declaration before those of its bases."""
-    heads = e.facts.pieces.where("c is not null").where(F.col("body").rlike(r"(?s)^function\s+\w+"))
-    own = heads.select("source_id", F.col("c.contract").alias("ancestor"), F.lower(F.regexp_extract("body", r"^function\s+(\w+)", 1)).alias("method"), F.trim(F.regexp_extract("body", r"(?s)\breturns\s*\(([^)]*)\)", 1)).alias("returns"), F.col("body").rlike(r"\b(?:view|pure)\b").alias("read_only"))
-    rows = e.graph.ancestors.join(own, ["source_id", "ancestor"])
-    near = F.row_number().over(W.partitionBy("source_id", "contract", "method").orderBy("depth", "ancestor"))
+    rows = e.graph.ancestors.join(_heads(e), ["source_id", "ancestor"])
+    near = F.row_number().over(W.partitionBy("source_id", "contract", "method").orderBy("depth", "ancestor", "arity"))
     return rows.withColumn("r", near).where("r = 1").select("source_id", F.col("contract").alias("type"), "method", "returns", "read_only")
 
 
+def _declared(e: Effects, calls: DataFrame) -> DataFrame:
+    """(use, returns, read_only) of calls (use, source_id, kind, low, n_args): the declaration that a type has, by itself or from its bases.
+
+    Of overloads the one with as many parameters counts, then the nearest; interfaces that sources import come last.
+    """
+    own = e.graph.ancestors.join(_heads(e), ["source_id", "ancestor"]).select("source_id", F.lower("contract").alias("kind"), F.col("method").alias("low"), "arity", "returns", "read_only", "depth")
+    asked = calls.where("kind is not null").select("use", "source_id", F.lower("kind").alias("kind"), "low", "n_args")
+    found = asked.join(own, ["source_id", "kind", "low"]).select("use", "n_args", "arity", "returns", "read_only", "depth")
+    known = asked.join(F.broadcast(_known(e).select(F.lower("type").alias("kind"), F.col("method").alias("low"), "returns", "read_only")), ["kind", "low"])
+    found = found.unionByName(known.select("use", "n_args", F.lit(-1).alias("arity"), "returns", "read_only", F.lit(1 << 20).alias("depth")))
+    near = F.row_number().over(W.partitionBy("use").orderBy(F.when(F.col("arity") == F.col("n_args"), 0).otherwise(1), "depth", "arity"))
+    return found.withColumn("r", near).where("r = 1").select("use", "returns", "read_only")
+
+
 def discarded_returns(e: Effects) -> DataFrame:
-    """Calls on a typed state variable whose declared return value is dropped, resolved by the variable's type."""
-    calls = e.facts.statements.where("not is_modifier").select("source_id", "open_i", "contract", "fn", F.col("start_line").alias("line"), F.regexp_extract("text", r"^([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\(", 1).alias("name"), F.lower(F.regexp_extract("text", r"^([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\(", 2)).alias("method"))
-    types = e.facts.state_variables.select("source_id", "name", "type")
-    sig = typed_signatures(e).where("returns != '' and not read_only")
-    return calls.where("name != ''").join(types, ["source_id", "name"]).join(sig, ["source_id", "type", "method"]).select("source_id", "open_i", "contract", "fn", "line", "name", "type", "method", "returns")
+    """Calls whose declared return value is dropped, resolved by the type of the receiver.
+
+    (source_id, open_i, contract, fn, line, name, type, method, returns).  Receivers are plain
+    names and casts of names; their type is that of
+    the innermost declaration of the name (local, parameter or state), of a cast, or of the contract itself after super; of
+    overloads the one with as many parameters as the call has arguments counts, of the
+    nearest type.  Low-level calls and methods of RESULT_METHODS on likely contracts count
+    without a declaration (returns: unknown).  What a safe wrapper calls is left out.
+    """
+    calls = calls_of(e).where(~F.col("text").rlike(P.SAFE_WRAPPERS) & ~F.col("chained") & ~F.col("indexed"))
+    before = F.expr("substring(text, 1, locate(call, text) - 1)")
+    tried = before.rlike(r"(?i)\btry\b")
+    used = before.rlike(r"(?is)\b(?:require|assert|if|while)\s*\([^;{}]*$|(?:^|[^=!<>])=\s*$|\breturn\s*\(?\s*$|\bemit\s*$|[\w\])]\s*\([^;{}]*$|[-+*/%&|^<>!?:,(]\s*$")
+    calls = calls.where(~F.when(tried, F.col("rest").rlike(r"(?i)\breturns\s*\(")).otherwise(used))
+    cast = F.col("called") & (F.col("inner") != "")
+    kind = F.when(F.col("root") == "super", F.col("contract")).when(cast, F.col("root")).when(~F.col("called"), F.col("type"))
+    name = F.when(cast, F.col("inner")).otherwise(F.col("receiver"))
+    calls = calls.withColumns({"kind": kind, "name": name, "low": F.lower("method"), "n_args": F.size(top_parts(bracketed(F.col("rest"))["inner"]))})
+    calls = calls.where(F.col("kind").isNull() | ~F.col("kind").rlike(ELEMENTARY))
+    rows = calls.join(_declared(e, calls), "use", "left")
+    status = F.col("low").isin("call", "send", "delegatecall", "staticcall")
+    likely = F.col("kind").isNotNull() | F.col("called") | F.col("stored") | F.col("root").rlike(P.EXTERNAL_ROOTS)
+    plain = F.coalesce(F.col("kind").rlike(r"^address\b"), F.lit(False)) & (F.col("low") == "transfer") | (F.lower("root") == "payable") | (F.lower("root") == "msg")
+    fallback = F.col("returns").isNull() & (status | (F.col("low").isin(P.RESULT_METHODS) & likely & ~plain))
+    rows = rows.where(((F.col("returns") != "") & ~F.col("read_only")) | fallback)
+    return rows.select("source_id", "open_i", "contract", "fn", "line", "name", F.coalesce("kind", F.lit("")).alias("type"), F.col("low").alias("method"), F.coalesce("returns", F.lit("unknown")).alias("returns"))
 
 
 def rule_uc3(e: Effects) -> DataFrame:
@@ -243,7 +293,7 @@ def rule_uc6(e: Effects) -> DataFrame:
     before = F.regexp_replace(upto, P.YUL_CALL + "$", "")
     name = F.lower(F.regexp_extract(before, r"(?i)\blet\s+([A-Za-z_]\w*)\s*:=\s*$", 1))
     rest = F.concat(F.array(F.expr("substring(code, char_length(upto) + 1)")), F.slice("lines", F.col("at") + 2, F.size("lines")))
-    named = lambda line: F.array_contains(F.split(F.lower(F.regexp_extract(line, r"(?i)\b(?:if|switch)\b([^{}\n]*)", 1)), r"\W+"), F.col("name"))
+    named = lambda line: F.exists(all_matches(line, r"(?i)\b(?:if|switch)\b([^{}\n]*)", 1), lambda test: F.array_contains(F.split(F.lower(test), r"\W+"), F.col("name")))
     rows = rows.withColumns({"upto": upto, "name": name, "inline": before.rlike(P.YUL_CHECKED)}).withColumn("branch", (F.col("name") != "") & F.exists(rest, named))
     rows = rows.where("not inline and not branch").withColumn("line", F.col("b.line") + F.col("at"))
     return _candidates(rows, "UC6", "unchecked_low_level_calls", 0.92, "assembly_call_status_discard", F.concat("fn", F.lit("() ignores the status of a call in assembly")))

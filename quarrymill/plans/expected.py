@@ -1720,86 +1720,86 @@ EXPECTED = {
         (9, 'swapBound', 16, 18, 'amount'),
         (9, 'swapBound', 17, 18, 'quoted'),
     ]),
-    'ef1_direct_effects': ('fn:s line:l end_line:l kind:s method:s receiver:s low_level:b asset_call:b callback_capable:b inherited:b', [
-        (0, 'deposit', 12, 12, 'state_write', '', 'balances', False, False, False, False),
-        (0, 'guarded', 20, 20, 'external_call', 'call', 'sender', True, True, True, False),
-        (0, 'guarded', 22, 22, 'state_write', '', 'balances', False, False, False, False),
-        (0, 'orderly', 25, 25, 'state_write', '', 'balances', False, False, False, False),
-        (0, 'orderly', 26, 26, 'external_call', 'call', 'sender', True, True, True, False),
-        (0, 'withdraw', 15, 15, 'external_call', 'call', 'sender', True, True, True, False),
-        (0, 'withdraw', 17, 17, 'state_write', '', 'balances', False, False, False, False),
-        (1, 'claim', 6, 6, 'state_write', '', 'credit', False, False, False, False),
-        (1, 'lost', 25, 25, 'state_write', '', 'credit', False, False, False, False),
-        (1, 'pay', 12, 12, 'external_call', 'call', 'sender', True, True, True, False),
-        (10, 'claim', 23, 23, 'state_write', '', 'balances', False, False, False, False),
-        (10, 'release', 20, 20, 'external_call', 'transfer', 'payable', False, True, False, False),
-        (10, 'setEnd', 15, 15, 'state_write', '', 'end', False, False, False, False),
-        (10, 'setStart', 12, 12, 'state_write', '', 'start', False, False, False, False),
-        (12, '_book', 26, 26, 'state_write', '', 'total', False, False, False, False),
-        (12, '_push', 39, 39, 'external_call', 'call', 'payee', True, True, True, False),
-        (12, 'deposit', 14, 14, 'external_call', 'transferFrom', 'token', False, True, False, False),
-        (12, 'deposit', 15, 15, 'state_write', '', 'balances', False, False, False, False),
-        (12, 'mintAll', 44, 44, 'state_write', '', 'total', False, False, False, False),
-        (12, 'payLater', 22, 22, 'external_call', 'safeTransfer', 'token', False, True, False, False),
-        (12, 'pull', 18, 18, 'external_call', 'transfer', 'token', False, True, False, False),
-        (12, 'pull', 19, 19, 'state_write', '', 'total', False, False, False, False),
-        (12, 'setComptroller', 11, 11, 'state_write', '', 'comptroller', False, False, False, False),
-        (12, 'settle', 35, 35, 'state_write', '', 'total', False, False, False, False),
-        (12, 'sweep', 47, 47, 'external_call', 'safeTransferFrom', 'token', False, True, False, False),
-        (12, 'sweep', 48, 48, 'external_call', 'deposit', 'vault', False, True, False, False),
-        (12, 'trade', 29, 29, 'external_call', 'call', 'target', True, True, True, False),
-        (13, '_forward', 7, 7, 'external_call', 'call', 'to', True, True, True, False),
-        (13, 'issue', 19, 19, 'state_write', '', 'totalSupply', False, False, False, False),
-        (13, 'liquidateFor', 25, 25, 'state_write', '', 'positions', False, False, False, False),
-        (13, 'liquidateFor', 26, 26, 'external_call', 'liquidate', 'perp', False, False, False, False),
-        (13, 'mark', 29, 29, 'state_write', '', 'marker', False, False, False, False),
-        (13, 'rescue', 22, 22, 'external_call', 'transfer', 'asset', False, True, False, False),
-        (14, '_cancelOrder', 29, 29, 'state_write', '', 'orders', False, False, False, False),
-        (14, 'claimReceipt', 36, 36, 'state_write', '', 'last', False, False, False, False),
-        (14, 'executeOrder', 20, 20, 'external_call', 'transfer', 'token', False, True, False, False),
-        (14, 'fillOrder', 32, 32, 'state_write', '', 'last', False, False, False, False),
-        (15, 'accrue', 23, 23, 'state_write', '', 'rewardStored', False, False, False, False),
-        (15, 'capture', 26, 26, 'state_write', '', 'unlockAt', False, False, False, False),
-        (15, 'claim', 19, 19, 'state_write', '', 'claimed', False, False, False, False),
-        (15, 'claim', 20, 20, 'external_call', 'transfer', 'token', False, True, False, False),
-        (16, '_sell', 14, 14, 'external_call', 'swapExactTokens', 'router', False, False, False, False),
-        (16, '_sell', 15, 15, 'external_call', 'deposit', 'pool', False, True, False, False),
-        (16, 'harvest', 6, 6, 'external_call', 'swapExactTokens', 'router', False, False, False, False),
-        (16, 'redeem', 18, 18, 'external_call', 'value', 'oracle', False, False, False, False),
-        (16, 'redeem', 19, 19, 'external_call', 'transfer', 'token', False, True, False, False),
-        (17, '_lock', 8, 8, 'state_write', '', 'locks', False, False, False, False),
-        (17, 'fill', 13, 13, 'external_call', 'transfer', 'token', False, True, False, False),
-        (2, '_grant', 16, 16, 'state_write', '_grant', 'super', False, False, False, True),
-        (2, '_grant', 5, 5, 'state_write', '', 'shares', False, False, False, False),
-        (3, '_apply', 35, 35, 'state_write', '', 'fee', False, False, False, False),
-        (3, 'constructor', 13, 13, 'state_write', '', 'owner', False, False, False, False),
-        (3, 'initialize', 16, 16, 'state_write', '', 'owner', False, False, False, False),
-        (3, 'setFee', 19, 19, 'state_write', '', 'fee', False, False, False, False),
-        (3, 'setFeeChecked', 29, 29, 'state_write', '', 'fee', False, False, False, False),
-        (3, 'setFeeLoose', 25, 25, 'state_write', '', 'fee', False, False, False, False),
-        (3, 'setOwner', 22, 22, 'state_write', '', 'owner', False, False, False, False),
-        (4, 'join', 17, 17, 'state_write', '', 'treasury', False, False, False, False),
-        (4, 'remember', 20, 20, 'state_write', '', 'owner', False, False, False, False),
-        (4, 'setTreasury', 14, 14, 'state_write', '', 'treasury', False, False, False, False),
-        (4, 'sweep', 23, 23, 'external_call', 'transfer', 'IERC20', False, True, False, False),
-        (5, 'branched', 14, 14, 'external_call', 'call', 'to', True, False, True, False),
-        (5, 'dropped', 5, 5, 'external_call', 'call', 'to', True, False, True, False),
-        (5, 'emitted', 23, 23, 'external_call', 'delegatecall', 'to', True, False, True, False),
-        (5, 'required', 11, 11, 'external_call', 'send', 'payable', True, True, False, False),
-        (5, 'returned', 20, 20, 'external_call', 'send', 'payable', True, True, False, False),
-        (5, 'unused', 8, 8, 'external_call', 'call', 'to', True, False, True, False),
-        (6, 'kept', 14, 14, 'external_call', 'transfer', 'token', False, True, False, False),
-        (6, 'loose', 11, 11, 'external_call', 'transfer', 'token', False, True, False, False),
-        (6, 'strict', 17, 20, 'external_call', 'transfer', 'token', False, True, False, False),
-        (8, 'Sums@', 6, 6, 'state_write', '', 'supply', False, False, False, False),
-        (8, 'mint', 10, 10, 'state_write', '', 'supply', False, False, False, False),
-        (8, 'mint', 9, 9, 'state_write', '', 'balances', False, False, False, False),
-        (8, 'move', 14, 14, 'state_write', '', 'balances', False, False, False, False),
-        (8, 'move', 16, 16, 'state_write', '', 'balances', False, False, False, False),
-        (9, 'buy', 9, 9, 'external_call', 'transfer', 'payable', False, True, False, False),
-        (9, 'setPrice', 6, 6, 'state_write', '', 'price', False, False, False, False),
-        (9, 'swapAll', 13, 13, 'external_call', 'swap', 'IRouter', False, True, False, False),
-        (9, 'swapBound', 18, 18, 'external_call', 'swap', 'IRouter', False, True, False, False),
+    'ef1_direct_effects': ('fn:s line:l end_line:l kind:s method:s receiver:s low_level:b asset_call:b callback_capable:b inherited:b economic:b dynamic_amount:b library_call:b', [
+        (0, 'deposit', 12, 12, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (0, 'guarded', 20, 20, 'external_call', 'call', 'sender', True, True, True, False, False, False, False),
+        (0, 'guarded', 22, 22, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (0, 'orderly', 25, 25, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (0, 'orderly', 26, 26, 'external_call', 'call', 'sender', True, True, True, False, False, False, False),
+        (0, 'withdraw', 15, 15, 'external_call', 'call', 'sender', True, True, True, False, False, False, False),
+        (0, 'withdraw', 17, 17, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (1, 'claim', 6, 6, 'state_write', '', 'credit', False, False, False, False, False, False, False),
+        (1, 'lost', 25, 25, 'state_write', '', 'credit', False, False, False, False, False, False, False),
+        (1, 'pay', 12, 12, 'external_call', 'call', 'sender', True, True, True, False, False, False, False),
+        (10, 'claim', 23, 23, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (10, 'release', 20, 20, 'external_call', 'transfer', 'payable', False, True, True, False, False, True, False),
+        (10, 'setEnd', 15, 15, 'state_write', '', 'end', False, False, False, False, False, False, False),
+        (10, 'setStart', 12, 12, 'state_write', '', 'start', False, False, False, False, False, False, False),
+        (12, '_book', 26, 26, 'state_write', '', 'total', False, False, False, False, False, False, False),
+        (12, '_push', 39, 39, 'external_call', 'call', 'payee', True, True, True, False, False, False, False),
+        (12, 'deposit', 14, 14, 'external_call', 'transferFrom', 'token', False, True, True, False, False, True, False),
+        (12, 'deposit', 15, 15, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (12, 'mintAll', 44, 44, 'state_write', '', 'total', False, False, False, False, False, False, False),
+        (12, 'payLater', 22, 22, 'external_call', 'safeTransfer', 'token', False, True, True, False, False, True, False),
+        (12, 'pull', 18, 18, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (12, 'pull', 19, 19, 'state_write', '', 'total', False, False, False, False, False, False, False),
+        (12, 'setComptroller', 11, 11, 'state_write', '', 'comptroller', False, False, False, False, False, False, False),
+        (12, 'settle', 35, 35, 'state_write', '', 'total', False, False, False, False, False, False, False),
+        (12, 'sweep', 47, 47, 'external_call', 'safeTransferFrom', 'token', False, True, False, False, False, False, False),
+        (12, 'sweep', 48, 48, 'external_call', 'deposit', 'vault', False, True, True, False, False, False, False),
+        (12, 'trade', 29, 29, 'external_call', 'call', 'target', True, True, True, False, False, False, False),
+        (13, '_forward', 7, 7, 'external_call', 'call', 'to', True, True, True, False, False, False, False),
+        (13, 'issue', 19, 19, 'state_write', '', 'totalSupply', False, False, False, False, False, False, False),
+        (13, 'liquidateFor', 25, 25, 'state_write', '', 'positions', False, False, False, False, False, False, False),
+        (13, 'liquidateFor', 26, 26, 'external_call', 'liquidate', 'perp', False, True, True, False, False, True, False),
+        (13, 'mark', 29, 29, 'state_write', '', 'marker', False, False, False, False, False, False, False),
+        (13, 'rescue', 22, 22, 'external_call', 'transfer', 'asset', False, True, True, False, False, True, False),
+        (14, '_cancelOrder', 29, 29, 'state_write', '', 'orders', False, False, False, False, False, False, False),
+        (14, 'claimReceipt', 36, 36, 'state_write', '', 'last', False, False, False, False, False, False, False),
+        (14, 'executeOrder', 20, 20, 'external_call', 'transfer', 'token', False, True, True, False, False, False, False),
+        (14, 'fillOrder', 32, 32, 'state_write', '', 'last', False, False, False, False, False, False, False),
+        (15, 'accrue', 23, 23, 'state_write', '', 'rewardStored', False, False, False, False, False, False, False),
+        (15, 'capture', 26, 26, 'state_write', '', 'unlockAt', False, False, False, False, False, False, False),
+        (15, 'claim', 19, 19, 'state_write', '', 'claimed', False, False, False, False, False, False, False),
+        (15, 'claim', 20, 20, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (16, '_sell', 14, 14, 'external_call', 'swapExactTokens', 'router', False, False, True, False, False, True, False),
+        (16, '_sell', 15, 15, 'external_call', 'deposit', 'pool', False, True, True, False, False, True, False),
+        (16, 'harvest', 6, 6, 'external_call', 'swapExactTokens', 'router', False, False, True, False, False, True, False),
+        (16, 'redeem', 18, 18, 'external_call', 'value', 'oracle', False, False, True, False, False, True, False),
+        (16, 'redeem', 19, 19, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (17, '_lock', 8, 8, 'state_write', '', 'locks', False, False, False, False, False, False, False),
+        (17, 'fill', 13, 13, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (2, '_grant', 16, 16, 'state_write', '_grant', 'super', False, False, False, True, False, False, False),
+        (2, '_grant', 5, 5, 'state_write', '', 'shares', False, False, False, False, False, False, False),
+        (3, '_apply', 35, 35, 'state_write', '', 'fee', False, False, False, False, False, False, False),
+        (3, 'constructor', 13, 13, 'state_write', '', 'owner', False, False, False, False, False, False, False),
+        (3, 'initialize', 16, 16, 'state_write', '', 'owner', False, False, False, False, False, False, False),
+        (3, 'setFee', 19, 19, 'state_write', '', 'fee', False, False, False, False, False, False, False),
+        (3, 'setFeeChecked', 29, 29, 'state_write', '', 'fee', False, False, False, False, False, False, False),
+        (3, 'setFeeLoose', 25, 25, 'state_write', '', 'fee', False, False, False, False, False, False, False),
+        (3, 'setOwner', 22, 22, 'state_write', '', 'owner', False, False, False, False, False, False, False),
+        (4, 'join', 17, 17, 'state_write', '', 'treasury', False, False, False, False, False, False, False),
+        (4, 'remember', 20, 20, 'state_write', '', 'owner', False, False, False, False, False, False, False),
+        (4, 'setTreasury', 14, 14, 'state_write', '', 'treasury', False, False, False, False, False, False, False),
+        (4, 'sweep', 23, 23, 'external_call', 'transfer', 'IERC20', False, True, True, False, False, False, False),
+        (5, 'branched', 14, 14, 'external_call', 'call', 'to', True, False, True, False, False, True, False),
+        (5, 'dropped', 5, 5, 'external_call', 'call', 'to', True, False, True, False, False, True, False),
+        (5, 'emitted', 23, 23, 'external_call', 'delegatecall', 'to', True, False, True, False, False, True, False),
+        (5, 'required', 11, 11, 'external_call', 'send', 'payable', True, True, True, False, False, False, False),
+        (5, 'returned', 20, 20, 'external_call', 'send', 'payable', True, True, True, False, False, False, False),
+        (5, 'unused', 8, 8, 'external_call', 'call', 'to', True, False, True, False, False, True, False),
+        (6, 'kept', 14, 14, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (6, 'loose', 11, 11, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (6, 'strict', 17, 20, 'external_call', 'transfer', 'token', False, True, True, False, False, True, False),
+        (8, 'Sums@', 6, 6, 'state_write', '', 'supply', False, False, False, False, False, False, False),
+        (8, 'mint', 10, 10, 'state_write', '', 'supply', False, False, False, False, False, False, False),
+        (8, 'mint', 9, 9, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (8, 'move', 14, 14, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (8, 'move', 16, 16, 'state_write', '', 'balances', False, False, False, False, False, False, False),
+        (9, 'buy', 9, 9, 'external_call', 'transfer', 'payable', False, True, True, False, False, True, False),
+        (9, 'setPrice', 6, 6, 'state_write', '', 'price', False, False, False, False, False, False, False),
+        (9, 'swapAll', 13, 13, 'external_call', 'swap', 'IRouter', False, True, True, False, False, True, False),
+        (9, 'swapBound', 18, 18, 'external_call', 'swap', 'IRouter', False, True, True, False, False, True, False),
     ]),
     'ef3_state_write_lines': ('contract:s fn:s line:l critical:b names:S', [
         (0, 'Vault@', 'deposit', 12, True, ['balances']),
@@ -2337,7 +2337,18 @@ EXPECTED = {
         (5, 8, 8, 'unused', 'confirmed'),
     ]),
     'uc4_discarded_returns': ('fn:s line:l name:s type:s method:s returns:s', [
+        (4, 'sweep', 23, 'token', 'IERC20', 'transfer', 'bool'),
+        (5, 'dropped', 5, 'to', 'address', 'call', 'unknown'),
         (6, 'loose', 11, 'token', 'IToken@', 'transfer', 'bool'),
+        (9, 'swapAll', 13, 'router', 'IRouter', 'swap', 'unknown'),
+        (9, 'swapBound', 18, 'router', 'IRouter', 'swap', 'unknown'),
+        (12, 'pull', 18, 'token', '', 'transfer', 'unknown'),
+        (12, 'sweep', 48, 'vault', '', 'deposit', 'unknown'),
+        (14, 'executeOrder', 20, 'token', '', 'transfer', 'unknown'),
+        (15, 'claim', 20, 'token', '', 'transfer', 'unknown'),
+        (16, '_sell', 15, 'pool', '', 'deposit', 'unknown'),
+        (16, 'redeem', 19, 'token', '', 'transfer', 'unknown'),
+        (17, 'fill', 13, 'token', '', 'transfer', 'unknown'),
     ]),
     'tm1_temporal_facts': ('fn:s is_modifier:b kind:s line:l name:s', [
         (10, 'inWindow', True, 'guard', 8, '>='),
@@ -2380,7 +2391,7 @@ EXPECTED = {
         (1, 0, 0, 0, 2, 1, 0),
         (10, 6, 3, 2, 3, 1, 5),
         (12, 0, 0, 0, 6, 7, 0),
-        (13, 0, 0, 0, 3, 2, 0),
+        (13, 0, 0, 0, 3, 3, 0),
         (14, 5, 0, 3, 3, 1, 4),
         (15, 4, 2, 1, 3, 1, 4),
         (16, 0, 0, 0, 0, 2, 0),

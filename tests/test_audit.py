@@ -341,3 +341,156 @@ def test_call_chains_are_bounded(spark):
     e = Effects(Facts(_source(spark, f"contract A {{\n  function go() public {{ s0(); }}\n{steps}\n  function s5() internal {{ x = 1; }}\n}}")), max_calls=4)
     assert e.call_tree.where(F.size("way") > 4).isEmpty() and e.call_tree.count() == 1 + 1 + 2 + 2 + 4
     assert e.cut_chains.count() == 4
+
+
+def _summary(e):
+    return [(r.fn, r.call_line, r.write_line, r.cross_lines, r.reentrant_order) for r in e.reentrancy_summary.orderBy("root").collect()]
+
+
+def test_order_through_ten_helpers(spark):
+    """A call ten helpers down and a write after it: chains have no bound."""
+    chain = "".join(f"  function f{i}() internal {{ f{i + 1}(); }}\n" for i in range(1, 10))
+    e = _audited(spark, f'contract A {{\n  uint x;\n  function f0() public {{\n    f1();\n    x = 1;\n  }}\n{chain}  function f10() internal {{\n    msg.sender.call("");\n  }}\n}}')
+    assert _summary(e) == [("f0", 17, 5, [], True)]
+
+
+def test_order_over_a_ladder_of_diamonds(spark):
+    """Chains double with each step; ways and what follows a call stay a row for each function."""
+    n = 10
+    steps = "\n".join(f"  function s{i}() internal {{ l{i}(); r{i}(); }}\n  function l{i}() internal {{ s{i + 1}(); }}\n  function r{i}() internal {{ s{i + 1}(); }}" for i in range(n))
+    e = _audited(spark, f'contract A {{\n  uint x;\n  function go() public {{ s0(); }}\n{steps}\n  function s{n}() internal {{\n    x = 1;\n    msg.sender.call("");\n  }}\n}}')
+    assert e.ways.count() == 1 + 3 * n + 1
+    assert [(r.step, r.kind) for r in e.runtime_events.orderBy("step").collect()] == [(1, "write"), (2, "call")]
+    # the write runs again when the ladder's last right side calls it once more
+    assert _summary(e) == [("go", 36, 35, [35], True)]
+
+
+def test_order_over_cycles(spark):
+    """A function that still runs is not entered again, also after the call."""
+    e = _audited(
+        spark,
+        """contract A {
+  uint x; uint y;
+  function go() public {
+    a();
+    x = 1;
+  }
+  function a() internal {
+    x = 2;
+    b();
+    y = 3;
+  }
+  function b() internal {
+    msg.sender.call("");
+    a();
+    c();
+  }
+  function c() internal { a(); b(); y = 4; }
+  function late() public {
+    x = 9; d(); d2();
+  }
+  function d() internal { msg.sender.call(""); }
+  function d2() internal { late2(); y = 1; }
+  function late2() internal { d(); x = 7; }
+}""",
+    )
+    # what a line does itself comes before what it calls: line 22 writes y before late2 runs
+    assert _summary(e) == [("go", 13, 17, [8, 10, 17], True), ("late", 21, 22, [22, 23], True)]
+    assert [(r.kind, r.line) for r in e.runtime_events.where("root < 10").orderBy("step").collect()] == [("write", 8), ("call", 13), ("write", 17), ("write", 10), ("write", 5)]
+
+
+def test_calls_of_one_line_run_as_they_stand(spark):
+    e = _audited(spark, 'contract A {\n  uint x;\n  function go() public { b(); a(); }\n  function a() internal { msg.sender.call(""); }\n  function b() internal {\n    x = 1;\n  }\n}')
+    assert [(r.kind, r.line) for r in e.runtime_events.orderBy("step").collect()] == [("write", 6), ("call", 4)]
+    assert _summary(e)[0][1:3] == (4, None)
+
+
+SYMBOLS = """library L { function add(uint a, uint b) internal returns (uint) { return a + b; } }
+contract B is Unseen {
+  using L for uint;
+  uint total; IERC20 stored; mapping(uint => Pool) pools;
+  function f(mapping(address => uint) storage m, function(uint,uint) external g, uint8 z) public onlyOwner(z) returns (function(uint) external) {
+    total.add(1);
+    L.add(1, 2);
+    _mint(msg.sender, 1);
+    super._burn(1);
+    { IERC20 total = IERC20(address(0)); total.settle(2); }
+    stored.approve(address(this), 7);
+    emit transferred(1);
+    exchange.fillOrder(z, total);
+    pools[z].withdraw(z);
+    mine(z);
+  }
+  function mine(uint a) internal { safeTransfer(a, 5); total.settle(a); }
+  function h(IERC20 t, address u, uint[] memory xs) external returns (uint) {
+    t.transfer(u, 1);
+    IERC20(u).transfer(u, xs.length);
+    bool ok = t.transfer(u, 1);
+    require(IERC20(u).approve(u, 3));
+    SafeERC20.safeTransfer(t, u, 1);
+    t.balanceOf(u);
+    u.call("");
+    uint t = 3;
+    t.transfer(u, 1);
+    xs.push(t);
+    return t;
+  }
+}"""
+
+
+def test_parameters_end_at_commas_outside_brackets(spark):
+    e = _audited(spark, SYMBOLS)
+    got = [(r.place, r.type, r.name, r.bits) for r in e.facts.parameters.where("fn = 'f'").orderBy("place").collect()]
+    assert got == [(0, "mapping(address => uint)", "m", None), (1, "function(uint,uint)", "g", None), (2, "uint8", "z", 8)]
+    f = e.facts.functions.where("fn = 'f'").first()
+    assert (f.visibility, f.modifiers) == ("public", ["onlyOwner"])
+
+
+def test_effects_by_what_names_mean(spark):
+    """Functions of the source's libraries, attached or named, are no external calls; names mean their innermost declaration."""
+    e = _audited(spark, SYMBOLS)
+    flags = ("low_level", "asset_call", "callback_capable", "inherited", "economic", "dynamic_amount", "library_call")
+    got = [(r.line, r.kind, r.method, {f for f in flags if r[f]}) for r in e.direct_effects.orderBy("line", "method").collect()]
+    assert got == [
+        (8, "state_write", "_mint", {"inherited"}), (9, "state_write", "_burn", {"inherited"}),
+        (10, "external_call", "settle", {"asset_call", "callback_capable"}), (11, "external_call", "approve", set()),
+        (13, "external_call", "fillOrder", {"asset_call", "economic", "dynamic_amount"}), (14, "state_write", "withdraw", {"library_call"}),
+        (17, "external_call", "safeTransfer", {"asset_call"}), (19, "external_call", "transfer", {"asset_call", "callback_capable"}),
+        (20, "external_call", "transfer", {"asset_call", "callback_capable", "dynamic_amount"}), (21, "external_call", "transfer", {"asset_call", "callback_capable"}),
+        (22, "external_call", "approve", set()), (23, "external_call", "safeTransfer", {"asset_call"}), (25, "external_call", "call", {"low_level", "callback_capable", "dynamic_amount"}),
+    ]
+
+
+def test_discarded_returns_by_the_type_of_the_receiver(spark):
+    """State, parameters, casts and imported interfaces; not what is used, shadowed by a number or called through a safe wrapper."""
+    from quarrymill.operators.rules import discarded_returns
+
+    more = """
+interface IOver { function pay(address a) external returns (bool); function pay(address a, uint n) external; function look() external view returns (uint); }
+contract C is Base {
+  IOver o;
+  function g(address x) public {
+    o.pay(x);
+    o.pay(x, 1);
+    o.look();
+    super.move(x);
+    try o.pay(x) { } catch { }
+    if (o.pay(x)) { o.pay(x); }
+  }
+}
+contract Base { function move(address x) public virtual returns (bool) { return true; } }"""
+    e = _audited(spark, SYMBOLS + more)
+    got = [(r.line, r.name, r.type, r.method, r.returns) for r in discarded_returns(e).orderBy("line").collect()]
+    assert got == [
+        (11, "stored", "IERC20", "approve", "bool"), (19, "t", "IERC20", "transfer", "bool"), (20, "u", "IERC20", "transfer", "bool"), (25, "u", "address", "call", "unknown"),
+        (36, "o", "IOver", "pay", "bool"), (39, "super", "C", "move", "bool"), (40, "o", "IOver", "pay", "bool"), (41, "o", "IOver", "pay", "bool"),
+    ]
+
+
+def test_two_branches_on_a_line_of_assembly(spark):
+    from quarrymill.operators.rules import rule_uc6
+
+    body = "let ok := call(gas(), 1, 0, 0, 0, 0, 0)\n      if gt(1, 2) { stop() } if iszero(ok) { revert(0, 0) }"
+    other = body.replace("iszero(ok)", "iszero(no)")
+    e = _audited(spark, f"contract A {{\n  function f() public {{\n    assembly {{\n      {body}\n    }}\n  }}\n  function g() public {{\n    assembly {{\n      {other}\n    }}\n  }}\n}}")
+    assert [(r.fn, r.line) for r in rule_uc6(e).collect()] == [("g", 10)]  # line 8 is the head of g
