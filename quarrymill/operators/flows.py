@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.functions import patterns as P
+from quarrymill.functions.text import all_matches
 from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
 
@@ -72,14 +73,35 @@ def best_state_writes(e: Effects) -> DataFrame:
 
 
 def callbacks(e: Effects) -> DataFrame:
-    """(source_id, open_i, contract, fn, line, callback, code): lines that may hand control to others, by the first type that fits."""
+    """(source_id, open_i, contract, fn, line, callback, code): lines that may hand control to others, by the first type that fits.
+
+    Not the head of a function, and no low-level call of tx.origin, which is never a contract.
+    """
     code = F.col("code")
     kind = (
         F.when(code.rlike(r"(?i)\.\s*call\s*(?:\{[^}\n]*value|\.\s*value)"), "low_level_value_call").when(code.rlike(r"(?i)\.\s*(?:safeTransferFrom|transferFrom|safeTransfer)\s*\("), "token_transfer")
         .when(code.rlike(r"(?i)payable\s*\([^()]*(?:\([^()]*\))?[^()]*\)\s*\.\s*(?:transfer|send)\s*\("), "native_transfer").when(code.rlike(P.SAFE_MINT), "safe_mint")
+        .when(code.rlike(P.SENDER_HOOK), "erc777_sender_hook").when(code.rlike(P.RECEIVER_HOOK), "erc777_receiver_hook")
         .when(code.rlike(r"(?i)\.\s*(?:delegatecall|call)\s*\("), "arbitrary_action").when(code.rlike(r"(?i)\.\s*transfer\s*\("), "token_transfer").when(code.rlike(r"(?i)\.\s*(?:swap|flashLoan)\s*\("), "pool_callback")
     )
-    return e.line_flags.withColumn("callback", kind).where("callback is not null").select(*KEY, "contract", "fn", F.col("line_no").alias("line"), "callback", "code")
+    head = code.rlike(r"^\s*(?:function|modifier)\b[^{]*$") | (F.col("callback").isin("erc777_sender_hook", "erc777_receiver_hook") & code.rlike(r"^\s*function\b"))
+    origin = F.col("callback").isin("low_level_value_call", "arbitrary_action") & code.rlike(P.ORIGIN_CALL)
+    return e.line_flags.withColumn("callback", kind).where(F.col("callback").isNotNull() & ~head & ~origin).select(*KEY, "contract", "fn", F.col("line_no").alias("line"), "callback", "code")
+
+
+def asset_events(e: Effects) -> DataFrame:
+    """(source_id, open_i, contract, fn, line, family, method, place): mints of others (`mint`), and calls that move assets on a cast or on what is named like a holder of assets (`external`).
+
+    place orders the events of a line; a swap with an empty payload calls nobody back and does not count.
+    """
+    lines = e.line_flags.where(~F.col("code").rlike(r"^\s*(?:function|modifier)\b[^{]*$"))
+    cols = [*KEY, "contract", "fn", F.col("line_no").alias("line")]
+    mints = lines.select(*cols, F.lit("mint").alias("family"), F.posexplode(all_matches(F.col("code"), P.MINT_FAMILY, 1)).alias("place", "method"))
+    call = r"\b((?:[A-Za-z_]\w*\s*\(\s*[A-Za-z_]\w*\s*\)|[A-Za-z_]\w*))\s*\.\s*([A-Za-z_]\w*)\s*(?:\{[^}\n]*\}\s*)?\("
+    calls = lines.select(*cols, "code", F.posexplode(all_matches(F.col("code"), call)).alias("place", "call"))
+    calls = calls.withColumn("receiver", F.regexp_extract("call", call, 1)).withColumn("method", F.regexp_extract("call", call, 2))
+    calls = calls.where(F.lower("method").isin(P.EXTERNAL_ASSET_METHODS) & (F.col("receiver").endswith(")") | F.col("receiver").rlike(P.ASSET_HOLDERS))).where(~((F.lower("method") == "swap") & F.col("code").rlike(P.EMPTY_SWAP)))
+    return mints.select(*KEY, "contract", "fn", "line", "family", "method", "place").union(calls.select(*KEY, "contract", "fn", "line", F.lit("external").alias("family"), "method", "place"))
 
 
 def callback_events(e: Effects) -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.patterns import LABELS
 from quarrymill.functions.text import normalize_lf
+from quarrymill.storage import written
 
 _BLANK = r"[\s\x1c-\x1f\x85\xa0]"
 #: The member names of each closed object, by mode.
@@ -22,6 +24,26 @@ MEMBERS = {
     "compact": ["findings"],
     "candidate_ids": ["selected_candidate_ids"],
 }
+_RISK_KEYS = ["risk_type", "function_name", "triggering_data_flow", "terminal_action_check"]
+_CONSTRAINT_KEYS = ["id", "description", "expression", "must_be", "related_line", "z3_schema", "llm_reasoning"]
+_FINDING_KEYS = ["vulnerability_type", "function_name", "attack_path", "temporal_pattern", "ast_match_confidence", "constraint_violation_confidence", "constraints"]
+_AUDIT = {
+    "identified_risks[]": _RISK_KEYS, "findings[]": _FINDING_KEYS, "findings[].constraints[]": _CONSTRAINT_KEYS,
+    "findings[].constraints[].z3_schema": ["state_variables", "pre_conditions", "state_transitions"],
+    "findings[].constraints[].z3_schema.state_variables[]": ["name", "type"],
+    "findings[].constraints[].z3_schema.pre_conditions[]": ["variable", "operator", "value", "must_be"],
+    "findings[].constraints[].z3_schema.state_transitions[]": ["variable", "operator", "value"],
+}
+#: The member names of the closed objects inside, by mode and path; [] stands for the elements of an array.
+INNER = {
+    "full": _AUDIT | {
+        "dos_pre_flight_check": ["is_gas_exhaustion_possible", "can_attacker_infinitely_inflate_loop", "is_ether_permanently_trapped_without_profit", "loop_variable", "is_attacker_controlled", "veto_dos"],
+        "lifecycle_guardrail": ["is_initialization_function", "sets_critical_state", "has_reinit_guard", "has_access_check", "verdict"],
+    },
+    "four_field": _AUDIT,
+    "compact": {"findings[]": ["category", "function_name", "primary_line", "evidence_lines", "reason"]},
+    "candidate_ids": {},
+}
 _RISK = "struct<risk_type: string, function_name: string, triggering_data_flow: string, terminal_action_check: string>"
 _CONSTRAINT = "struct<id: string, description: string, expression: string, must_be: string, related_line: string, llm_reasoning: string>"
 _FINDING = f"struct<vulnerability_type: string, function_name: string, attack_path: string, temporal_pattern: string, ast_match_confidence: double, constraint_violation_confidence: double, constraints: array<{_CONSTRAINT}>, category: string, primary_line: int, evidence_lines: array<int>, reason: string>"
@@ -119,8 +141,40 @@ def flatten_constraints(df: DataFrame) -> DataFrame:
     return rows.select("response_id", "finding", "place", "c.id", "c.expression", "c.must_be", "c.related_line")
 
 
+def json_paths(rows: DataFrame) -> DataFrame:
+    """(response_id, mode, path, key, kind) of rows (response_id, mode, text): extra and missing keys of the closed objects inside, at any depth of the schema.
+
+    Texts are shredded level by level into (path, value) rows, where a value is JSON text; a
+    level keeps the paths that the schema of the mode closes or that lead to one, so there are as many levels as
+    the schema is deep.  Values that are no objects where the schema has one count as empty ones; nulls are left alone.
+    """
+    paths = {(mode, path[:end]) for mode, inner in INNER.items() for path in inner for end in [i for i, c in enumerate(path + ".") if c == "." or path[i : i + 2] == "[]"]}
+    paths |= {(mode, path) for mode, inner in INNER.items() for path in inner}
+    depth = max(path.count(".") + path.count("[]") for _, path in paths) + 1
+    mark = lambda mode, path: F.concat(mode, F.lit("|"), path)
+    on_way = F.array(*[F.lit(f"{mode}|{path}") for mode, path in sorted(paths)])
+    wanted = F.create_map(*[x for mode, inner in INNER.items() for path, keys in inner.items() for x in (F.lit(f"{mode}|{path}"), F.array(*map(F.lit, keys)))])
+    none = F.array().cast("array<string>")
+    part = lambda path, value: F.struct(path.alias("path"), F.ltrim(value).alias("value"))
+    level, found = rows.select("response_id", "mode", F.lit("").alias("path"), F.col("text").alias("value")), []
+    for _ in range(depth):
+        fields = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: part(F.concat(F.col("path"), F.when(F.col("path") != "", ".").otherwise(""), e["key"]), e["value"]))
+        items = F.transform(F.from_json("value", "array<string>"), lambda v: part(F.concat(F.col("path"), F.lit("[]")), v))
+        inside = F.filter(F.when(F.col("value").startswith("["), items).otherwise(fields), lambda x: x["value"].isNotNull() & F.array_contains(on_way, mark(F.col("mode"), x["path"])))
+        level = written(level.select("response_id", "mode", F.explode(inside).alias("x")).select("response_id", "mode", "x.path", "x.value"), "paths")
+        keys = F.coalesce(F.map_keys(F.from_json("value", "map<string,string>")), none)
+        here = level.withColumn("want", F.try_element_at(wanted, mark(F.col("mode"), F.col("path")))).where("want is not null").withColumn("keys", keys)
+        odd = lambda kind, keys: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
+        here = here.select("response_id", "mode", "path", F.explode(F.concat(odd("extra_key", F.array_except("keys", "want")), odd("missing_key", F.array_except("want", "keys")))).alias("x"))
+        found.append(here.select("response_id", "mode", "path", "x.key", "x.kind"))
+    return reduce(DataFrame.union, found).distinct()
+
+
 def validate_responses(df: DataFrame) -> DataFrame:
-    """problems of each response against the closed schema of its mode: extra and missing keys, labels, shares outside 0..1, lines under 1."""
+    """problems of each response against the closed schema of its mode: extra and missing keys, labels, shares outside 0..1, lines under 1.
+
+    Keys of objects inside are named with their path, as in `missing_key:findings[].reason`.
+    """
     members = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in MEMBERS.items() for x in kv])
     rows = _read(df).withColumn("keys", F.coalesce(F.json_object_keys("normalized_text"), F.array().cast("array<string>"))).withColumn("want", F.element_at(members, F.col("mode")))
     labels = F.concat(F.coalesce(F.transform("j.findings", lambda x: F.coalesce(x["vulnerability_type"], x["category"])), F.array().cast("array<string>")), F.coalesce("j.primary_vulnerabilities", F.array().cast("array<string>")))
@@ -133,7 +187,11 @@ def validate_responses(df: DataFrame) -> DataFrame:
         F.when(~F.forall(findings, lambda x: share(x["ast_match_confidence"]) & share(x["constraint_violation_confidence"])), "share_out_of_range"),
         F.when(~F.forall(findings, lambda x: x["primary_line"].isNull() | (x["primary_line"] >= 1)), "line_out_of_range"),
     )
-    problems = F.filter(problems, lambda x: x.isNotNull())
+    inner = json_paths(rows.select("response_id", "mode", F.col("normalized_text").alias("text")))
+    named = F.concat("kind", F.lit(":"), "path", F.lit("."), "key")
+    inner = inner.groupBy("response_id").agg(F.sort_array(F.collect_set(named)).alias("inside"))
+    rows = rows.withColumn("problems", F.filter(problems, lambda x: x.isNotNull())).join(inner, "response_id", "left")
+    problems = F.concat("problems", F.coalesce("inside", F.array().cast("array<string>")))
     return rows.select("response_id", "mode", problems.alias("problems"), (F.size(problems) == 0).alias("valid"))
 
 

@@ -130,14 +130,36 @@ def rule_re2(e: Effects) -> DataFrame:
 
 
 def rule_re5(e: Effects) -> DataFrame:
-    """A safe mint to a receiver of the user's choice after a critical write and before an asset action."""
+    """Control goes to others before an asset action of the same function, without a mutex, in three forms.
+
+    A low-level call, or a call of a cast that may call back, before the first later external
+    asset action (one row a function); a token transfer before the first later mint; a safe mint
+    to a receiver of the user's choice after a critical write and before an asset action.
+    """
+    from quarrymill.operators import flows as L
+
+    free = e.guards.where("not mutex_guard and not is_constructor").select(*KEY)
+    assets = L.asset_events(e).select(*KEY, F.col("line").alias("action"), "family", "method", "place")
+    found = L.callbacks(e)
+    low = found.where(F.col("code").rlike(r"(?i)\.\s*(?:call|send)\s*(?:\{[^}\n]*\}\s*)?\(|\.\s*call\s*\.\s*value\s*\(") & ~F.col("code").rlike(P.ORIGIN_CALL)).withColumn("hands", F.lit("low_level_value_call"))
+    cast = r"\b[A-Za-z_]\w*\s*\(\s*[A-Za-z_]\w*\s*\)\s*\.\s*([A-Za-z_]\w*)\s*\("
+    casts = e.line_flags.where(F.exists(all_matches(F.col("code"), cast, 1), lambda m: F.lower(m).isin(P.CAST_CALLBACKS))).where(~F.col("code").rlike(P.EMPTY_SWAP)).select(*KEY, "contract", "fn", F.col("line_no").alias("line"), F.lit("qualified_external_callback").alias("hands"))
+    opens = low.select(*KEY, "contract", "fn", "line", "hands").union(casts.join(low.select(*KEY, "line"), [*KEY, "line"], "left_anti").select(*KEY, "contract", "fn", "line", "hands"))
+    first = opens.join(free, KEY).join(assets.where("family = 'external'"), KEY).where("action > line").groupBy(*KEY, "contract", "fn", "line", "hands").agg(F.min("action").alias("action"))
+    one = F.row_number().over(W.partitionBy(*KEY).orderBy("line"))
+    first = first.withColumn("r", one).where("r = 1").withColumn("c", F.when(F.col("hands") == "low_level_value_call", 0.95).otherwise(0.85)).drop("r")
+    mints = found.where("callback = 'token_transfer'").join(free, KEY).join(assets.where("family = 'mint'"), KEY).where("action > line")
+    mints = mints.groupBy(*KEY, "contract", "fn", "line").agg(F.min("action").alias("action")).withColumn("hands", F.lit("token_transfer")).withColumn("c", F.lit(0.85))
+    rows = first.unionByName(mints)
+    reason = F.concat("fn", F.lit("() hands control away at @L"), F.col("line").cast("string"), F.lit(" and moves assets after it at @L"), F.col("action").cast("string"))
+    ordered = _candidates(rows, "RE5", "reentrancy", F.col("c"), F.concat("hands", F.lit("_before_external_asset_action")), reason, sink_line=F.col("action"), evidence_lines=F.array("line", "action"))
     lines = e.line_flags.join(_callable(e).where("not mutex_guard").select(*KEY), KEY)
-    receiver = F.split(F.regexp_extract("code", r"(?i)_?safeMint\s*\((.*)$", 1), ",")[0]
+    receiver = F.get(top_parts(bracketed(F.regexp_extract("code", r"(?i)_?safeMint\s*(\(.*)$", 1))["inner"]), F.lit(0))
     mint = lines.where(F.col("code").rlike(P.SAFE_MINT) & receiver.rlike(P.USER_RECEIVER)).select(*KEY, "contract", "fn", F.col("line_no").alias("line"))
     before = lines.where("critical").select(*KEY, F.col("line_no").alias("w"))
     after = lines.where(F.col("code").rlike(P.ASSET_ACTION)).select(*KEY, F.col("line_no").alias("a"))
     rows = mint.join(before, KEY).where("w < line").join(after, KEY).where("a > line").groupBy(*KEY, "contract", "fn", "line").agg(F.min("a").alias("action"), F.max("w").alias("write"))
-    return _candidates(rows, "RE5", "reentrancy", 0.86, "post_state_update_receiver_callback", F.concat("fn", F.lit("() mints to a receiver between a write and an asset action")), sink_line=F.col("action"), evidence_lines=F.array("line", "action"), state_write_lines=F.array("write"))
+    return ordered.unionByName(_candidates(rows, "RE5", "reentrancy", 0.86, "post_state_update_receiver_callback", F.concat("fn", F.lit("() mints to a receiver between a write and an asset action")), sink_line=F.col("action"), evidence_lines=F.array("line", "action"), state_write_lines=F.array("write")))
 
 
 def call_decisions(e: Effects) -> DataFrame:
@@ -475,12 +497,17 @@ PATTERN_RULES = [
 
 
 def pattern_scan(e: Effects, rules: list[tuple] = PATTERN_RULES) -> DataFrame:
-    """Functions joined with a small broadcast table of rules; the first matching line of each function is reported."""
-    spark = e.facts.sources.sparkSession
-    table = spark.createDataFrame(rules, "rule string, label string, must string, must_not string, at string, c double")
-    g = e.guards.select(*KEY, "contract", "fn", "body", "visibility")
-    hits = g.where("visibility != 'private'").join(F.broadcast(table), F.expr("rlike(body, must) and not rlike(body, must_not)"))
-    rows = hits.join(e.facts.line_functions.select(*KEY, "line_no", "code"), KEY).where(F.expr("rlike(code, at)")).groupBy(*KEY, "contract", "fn", "rule", "label", "c").agg(F.min("line_no").alias("line"))
+    """Functions whose bodies fit a pattern rule, with the first line that fits its place.
+
+    All rules are tested in one pass over bodies and one over lines, which then meet by function and rule.
+    """
+    fits = F.array(*[F.when(F.col("body").rlike(must) & ~F.col("body").rlike(must_not), F.lit(rule)) for rule, _, must, must_not, _, _ in rules])
+    places = F.array(*[F.when(F.col("code").rlike(at), F.lit(rule)) for rule, _, _, _, at, _ in rules])
+    held = lambda found: F.explode(F.filter(found, lambda r: r.isNotNull())).alias("rule")
+    hits = e.guards.where("visibility != 'private'").select(*KEY, "contract", "fn", held(fits))
+    lines = e.facts.line_functions.select(*KEY, "line_no", held(places)).groupBy(*KEY, "rule").agg(F.min("line_no").alias("line"))
+    of = lambda i, kind: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r[0], r[i])]), F.col("rule")).cast(kind)
+    rows = hits.join(lines, [*KEY, "rule"]).withColumn("c", of(5, "double"))
     out = _candidates(rows.withColumn("reason", F.concat("fn", F.lit("() matches "), "rule")), "PS1", "x", F.col("c"), F.col("rule"), F.col("reason"))
     label = F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r[0], r[1])]), F.col("evidence_kind"))
     return out.withColumn("risk_type", label).withColumn("rule_id", F.col("evidence_kind"))

@@ -3192,6 +3192,7 @@ EXPECTED = {
     'tm6_rule': ('rule_id:s risk_type:s contract:s fn:s entrypoint:s sink:s line:l sink_line:l evidence_lines:L state_write_lines:L operation_lines:L confidence:d evidence_kind:s', [
         (10, 'TM6', 'time_manipulation', 'Lock@', 'inWindow', 'inWindow', 'inWindow', 8, None, [8], [], [], 0.78, 'lifecycle_boundary'),
     ]),
+    're5_rule': ('rule_id:s risk_type:s contract:s fn:s entrypoint:s sink:s line:l sink_line:l evidence_lines:L state_write_lines:L operation_lines:L confidence:d evidence_kind:s', []),
     'tm12_rule': ('rule_id:s risk_type:s contract:s fn:s entrypoint:s sink:s line:l sink_line:l evidence_lines:L state_write_lines:L operation_lines:L confidence:d evidence_kind:s', [
         (14, 'TM12', 'time_manipulation', 'Book@', 'cancelExpired', 'cancelExpired', 'cancelExpired', 25, None, [25], [], [], 0.55, 'clock_in_condition'),
         (14, 'TM12', 'time_manipulation', 'Book@', 'placeOrder', 'placeOrder', 'placeOrder', 11, None, [11], [], [], 0.55, 'clock_in_condition'),

@@ -7,6 +7,7 @@ key into names and moves lines by the filler lines of each source.
 
 from __future__ import annotations
 
+from quarrymill.functions.patterns import EXTERNAL_ASSET_METHODS
 from quarrymill.plans.expected import EXPECTED
 from quarrymill.sources.corpus import N, RESPONSES_SQL, SOURCES_SQL, TEMPLATES
 
@@ -90,6 +91,25 @@ ORACLE = {name: expected_sql(name) for name in EXPECTED} | {
     "io3_source_receipts": f"WITH {SOURCES_SQL}, h AS (SELECT source_id, sha256(text) AS sha256 FROM sources) SELECT source_id, sha256, count(*) OVER (PARTITION BY sha256) AS n_copies, min(source_id) OVER (PARTITION BY sha256) AS first_id FROM h",
     "tx2_lines": f"WITH {SOURCES_SQL}, m AS (SELECT source_id, string_split(text, chr(10)) AS raws, string_split({_MASK}, chr(10)) AS codes FROM sources), u AS (SELECT source_id, unnest(raws) AS raw, unnest(codes) AS code, generate_subscripts(raws, 1) AS line_no FROM m) SELECT source_id, line_no, raw, code, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY source_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_off FROM u",
     "tx4_delimiter_pairs": f"WITH {SOURCES_SQL}, m AS (SELECT source_id, {_MASK_ALL} AS m FROM sources), c AS (SELECT source_id, unnest(range(1, length(m) + 1)) AS i, m FROM m), b AS (SELECT source_id, i, m[i] AS ch, length(m) AS n FROM c WHERE m[i] IN ('{{', '}}')), d AS (SELECT *, sum(CASE WHEN ch = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY source_id ORDER BY i) + CASE WHEN ch = '}}' THEN 1 ELSE 0 END AS depth FROM b), l AS (SELECT *, lead(i) OVER (PARTITION BY source_id, depth ORDER BY i) AS nx FROM d) SELECT source_id, i - 1 AS open_off, coalesce(nx - 1, n) AS close_off, depth FROM l WHERE ch = '{{'",
+    "io1_read_sources": f"WITH {SOURCES_SQL} SELECT source_id, length(text) AS n_chars, sha256(text) AS sha256 FROM sources",
+    "io5_findings_written": f"SELECT source_id, rule_id, fn, line, risk_type AS vulnerability_type FROM ({expected_sql('ca2_append')})",
+    "gr9_nearest_locator": f"""WITH near AS (
+  SELECT r.source_id, r.fn, r.line, c.line AS "at", row_number() OVER (PARTITION BY r.source_id, r.fn, r.line ORDER BY list_min(list_transform(string_split(r.evidence_lines, ','), lambda x: abs(x::BIGINT - c.line))), abs(r.line - c.line), c.line) AS k
+  FROM ({expected_sql('re1_rule')}) r JOIN ({expected_sql('ef5_external_calls')}) c ON r.source_id = c.source_id AND r.contract = c.contract AND r.fn = c.fn)
+SELECT source_id, fn, line, "at" FROM near WHERE k = 1""",
+    "ef5_asset_events": rf"""WITH {SOURCES_SQL}, m AS (SELECT source_id, string_split({_MASK}, chr(10)) AS codes FROM sources),
+l AS (SELECT source_id, unnest(codes) AS code, generate_subscripts(codes, 1) AS line FROM m),
+f AS (SELECT l.*, t.fn FROM l JOIN ({expected_sql('tx11_line_functions')}) t ON l.source_id = t.source_id AND l.line = t.line WHERE NOT regexp_matches(code, '^\s*(function|modifier)\b[^{{]*$')),
+c AS (SELECT source_id, fn, line, code, unnest(regexp_extract_all(code, '\b(?:[A-Za-z_]\w*\s*\(\s*[A-Za-z_]\w*\s*\)|[A-Za-z_]\w*)\s*\.\s*[A-Za-z_]\w*\s*(?:\{{[^}}
+]*\}}\s*)?\(')) AS call FROM f),
+e AS (SELECT *, trim(regexp_extract(call, '^(.*?)\s*\.\s*[A-Za-z_]\w*\s*(?:\{{[^}}
+]*\}}\s*)?\($', 1)) AS receiver, regexp_extract(call, '\.\s*([A-Za-z_]\w*)\s*(?:\{{[^}}
+]*\}}\s*)?\($', 1) AS method FROM c)
+SELECT source_id, fn, line, 'mint' AS family, unnest(regexp_extract_all(code, '(?i)\.\s*(batchMint|safeMint|mint)\s*\(', 1)) AS method FROM f
+UNION ALL
+SELECT source_id, fn, line, 'external', method FROM e
+WHERE lower(method) IN ({", ".join(f"'{x}'" for x in EXTERNAL_ASSET_METHODS)}) AND (ends_with(receiver, ')') OR regexp_matches(receiver, '^[A-Z]') OR regexp_matches(receiver, '(?i)token|router|pool|vault|asset|auction|helper'))
+  AND NOT (lower(method) = 'swap' AND regexp_matches(code, '(?i)new\s+bytes\s*\(\s*0\s*\)'))""",
     "io4_archive_receipts": _R + f"SELECT response_id, class, class <> 'EMPTY_RESPONSE' AS present, class = 'JSON_OBJECT' AS strict_contract_valid, 'utf-8' AS encoding, 'lf' AS newline, strlen({_LF}) AS byte_length, sha256({_LF}) AS sha256 FROM responses JOIN known USING (t)",
     "mr1_classify": _R + "SELECT response_id, class, class <> 'EMPTY_RESPONSE' AS present, TRUE AS utf8_valid, class IN ('JSON_OBJECT', 'NON_OBJECT_JSON') AS json_syntax_valid, class = 'JSON_OBJECT' AS strict_contract_valid FROM responses JOIN known USING (t)",
     "mr2_canonical_hash": _R + "SELECT response_id, sha256(replace(canonical, '@', CAST(source_id AS VARCHAR))) AS canonical_sha256 FROM responses JOIN known USING (t)",

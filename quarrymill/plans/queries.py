@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
 from quarrymill.operators.facts import Facts
 from quarrymill.sources import corpus
-from quarrymill.sources.io import source_receipts
+from quarrymill.sources.io import read_sources, source_receipts, write_findings
+from quarrymill.storage import shared_folder
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -78,6 +80,8 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "ef1_direct_effects": lambda e: e.direct_effects.drop("open_i"),
     "ef3_state_write_lines": lambda e: e.state_writes.select("source_id", "contract", "fn", "line", "critical", "names"),
     "ef5_external_calls": lambda e: e.external_calls.select("source_id", "contract", "fn", "line", "method"),
+    "ef5_asset_events": lambda e: L.asset_events(e).select("source_id", "fn", "line", "family", "method"),
+    "gr9_nearest_locator": lambda e: C.nearest_locator(R.rule_re1(e), e.external_calls.select(*KEY, F.col("line").alias("at"))).select("source_id", "fn", "line", "at"),
     "ef6_runtime_events": lambda e: _named(e, e.runtime_events, "root", "root_fn").select("source_id", "root_fn", "step", "kind", "line"),
     "ef7_reentrancy_summary": lambda e: e.reentrancy_summary.drop("root"),
     "ef9_loop_features": lambda e: R.loop_features(e),
@@ -117,7 +121,7 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "ca7_findings_sink": lambda e: C.to_findings(C.audited(e), e, "sink").select("source_id", "vulnerability_type", "fn", "primary_line", "anchor_lines"),
     "ca8_risk_function_map": lambda e: C.risk_function_map(C.audited(e).where("admission")),
     "ca9_enabled_rules": lambda e: C.enabled_rules(C.all_candidates(e), "core").select("source_id", "rule_id", "fn", "line"),
-} | {f"{name.lower()}_rule": (lambda e, rule=rule: rule(e).select(_CANDIDATE)) for name, rule in H.ALL_RULES.items() if name != "RE5"}
+} | {f"{name.lower()}_rule": (lambda e, rule=rule: rule(e).select(_CANDIDATE)) for name, rule in H.ALL_RULES.items()}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> Effects:
@@ -131,10 +135,29 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("source_id").alias("pair_id"), F.col("text").alias("vulnerable"), after.alias("patched"))
 
 
+def _read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written as a table of sources, and read from there."""
+    path = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}.parquet"
+    corpus.sources(spark, sf_dir).write.parquet(path)
+    return read_sources(spark, path).select("source_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+def _written_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of one rule written as files by label, and read from there."""
+    e = audit(spark, sf_dir)
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    rule = C.append_candidates(R.rule_re1(e), R.rule_re2(e))
+    write_findings(rule.select("source_id", F.col("risk_type").alias("vulnerability_type"), "rule_id", "fn", "line"), path)
+    schema = "source_id long, rule_id string, fn string, line int, vulnerability_type string"
+    return spark.read.schema(schema).json(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {name: (lambda spark, sf_dir, make=make: _flat(make(audit(spark, sf_dir)))) for name, make in AUDIT.items()}
     found |= {
         "io3_source_receipts": lambda spark, d: source_receipts(corpus.sources(spark, d)),
+        "io1_read_sources": _read_again,
+        "io5_findings_written": _written_findings,
         "tx2_lines": lambda spark, d: T.lines(corpus.sources(spark, d)),
         "tx4_delimiter_pairs": lambda spark, d: T.delimiter_pairs(corpus.sources(spark, d)),
         "ca6_candidate_ids": lambda spark, d: C.with_candidate_id(R.rule_re1(audit(spark, d))).select("source_id", "fn", "line", "candidate_id"),
