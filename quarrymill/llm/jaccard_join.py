@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.anchors import mix64
 from quarrymill.llm.graph import components
-from quarrymill.llm.scratch import written
+from quarrymill.llm.scratch import removed, written
 from quarrymill.llm.words import small, word_hashes, word_spans
 
 #: Subsets of light sets have so many shingles.
@@ -33,11 +33,9 @@ BITS = 512
 #: Size classes: STEPS for each doubling.
 STEPS = 8
 #: Lists of up to SHORT members compare all at once; in longer ones GROWTH times more members lead in each turn.
-SHORT, GROWTH = 4, 8
+SHORT, GROWTH = 8, 64
 #: A member of a list that others share is dealt so many times more than one that stands alone.
 OPEN = 4
-#: First a share of 1 / SLICES of the lists is compared: it connects most sets, and lists within one component need nothing more.
-SLICES = 16
 _CHUNK, _LONG = 1 << 18, 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,7 +204,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, p
     keys = sets.select("id", "key").join(needed, "id", "left_semi")
     held = written(texts.select("key", "text").join(keys, "key").select("id", "text").dropDuplicates(["id"]), "candidates")
     left, right = (held.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "x"), ("b", "y")))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    removed(held)
+    return links
 
 
 def linked(sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -219,27 +219,31 @@ def linked(sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     is gathered in one task.
     """
     heavy = light_below(sets)
-    lead, found = F.xxhash64("id"), None
-    for first in (True, False):
-        parts = sets.select("id", "n", "prefix", F.col("id").alias("part")) if found is None else sets.join(found, F.col("id") == F.col("node"), "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("part"))
-        chosen = F.pmod(F.xxhash64("list"), F.lit(SLICES)) == 0
-        postings = _postings(parts, heavy, percent).where(chosen if first else ~chosen).withColumn("lead", lead)
-        share = (F.col("lead") / 2.0**64 + 0.5) * F.col("members")
-        turn = F.when((F.col("members") <= SHORT) | (F.col("lead") == F.col("first")), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(GROWTH), share)))).cast("int")
-        open_ = postings.join(_open(postings), ["kind", "list"]).withColumn("turn", turn).drop("members", "first").join(sets.select("id", "bits"), "id")
-        open_, now = written(open_, "open"), 0
-        while not open_.isEmpty():
-            near = written(_near(open_, now, heavy, percent), "near")
-            if not near.isEmpty():
-                new = _verified(near, sets, texts, words, percent)
-                if not new.isEmpty():
-                    edges = new if found is None else new.union(found.select("node", "component").where("node != component"))
-                    found = written(components(edges).distinct(), "components")
-            now += 1
-            rest = open_.where(F.col("turn") >= now)
-            if found is not None:
-                rest = rest.drop("part").join(found, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
-            open_ = written(rest.join(_open(rest).select("kind", "list"), ["kind", "list"], "left_semi"), "open")
+    postings = _postings(sets.withColumn("part", F.col("id")), heavy, percent).withColumn("lead", F.xxhash64("id"))
+    share = (F.col("lead") / 2.0**64 + 0.5) * F.col("members")
+    turn = F.when((F.col("members") <= SHORT) | (F.col("lead") == F.col("first")), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(GROWTH), share)))).cast("int")
+    open_ = postings.join(_open(postings), ["kind", "list"]).withColumn("turn", turn).drop("members", "first").join(sets.select("id", "bits"), "id")
+    open_, now, found = written(open_, "open"), 0, None
+    while not open_.isEmpty():
+        near = written(_near(open_, now, heavy, percent), "near")
+        if not near.isEmpty():
+            new = _verified(near, sets, texts, words, percent)
+            if not new.isEmpty():
+                before = found
+                edges = new if found is None else new.union(found.select("node", "component").where("node != component"))
+                found = written(components(edges).distinct(), "components")
+                if before is not None:
+                    removed(before)
+            removed(new)
+        now += 1
+        rest = open_.where(F.col("turn") >= now)
+        if found is not None:
+            rest = rest.drop("part").join(found, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+        left = written(rest.join(_open(rest).select("kind", "list"), ["kind", "list"], "left_semi"), "open")
+        for done in (open_, near):
+            removed(done)
+        open_ = left
+    removed(open_)
     return found
 
 
