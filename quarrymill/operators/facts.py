@@ -181,6 +181,16 @@ class Facts:
         number = F.row_number().over(W.partitionBy("source_id", "open_i").orderBy("g"))
         return written(rows.select("source_id", "open_i", "contract", "fn", "fn_start", "is_modifier", number.alias("stmt_no"), F.col("p")[0]["line"].alias("start_line"), F.element_at("p", -1)["end_line"].alias("end_line"), "text", F.col("p")[0]["i"].alias("first_i"), F.element_at("p", -1)["close_i"].alias("close_i")), "statements")
 
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        """(source_id, open_i, name, n, at, use): each identifier of the statements of functions, with the number, line and text of the statement.
+
+        Written once for a corpus: rules that follow a name join it by (function, name).
+        """
+        st = self.statements.where("not is_modifier")
+        rows = st.select("source_id", "open_i", F.explode(F.array_distinct(all_matches(F.col("text"), r"[A-Za-z_$][\w$]*"))).alias("name"), F.col("stmt_no").alias("n"), F.col("start_line").alias("at"), F.col("text").alias("use"))
+        return written(rows, "occurrences")
+
     @cached_property
     def lines(self) -> DataFrame:
         return lines(self.sources)

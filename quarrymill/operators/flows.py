@@ -11,23 +11,19 @@ from quarrymill.functions.text import all_matches
 from quarrymill.operators import rules as R
 from quarrymill.operators.effects import KEY, Effects
 
-_NAME_USED = r"rlike(use, concat('\\b', name, '\\b'))"
-
-
 def _later(e: Effects, rows: DataFrame) -> DataFrame:
     """rows(source_id, open_i, stmt_no, name, ...) with each later statement of the function that names it."""
-    later = e.facts.statements.where("not is_modifier").select(*KEY, F.col("stmt_no").alias("n"), F.col("start_line").alias("at"), F.col("text").alias("use"))
-    return rows.join(later, KEY).where("n > stmt_no").where(F.expr(_NAME_USED))
+    return rows.join(e.facts.occurrences, [*KEY, "name"]).where("n > stmt_no")
 
 
 def def_use_chains(e: Effects) -> DataFrame:
-    """(source_id, fn, source, name, line, sink, sink_line): a name bound to the clock, caller or value, and each later check, return or index that uses it."""
+    """(source_id, fn, source, name, line, sink, sink_line): a name bound to the clock, value, caller or block, and each later check, return, remainder, index or assignment that uses it."""
     st = e.facts.statements.where("not is_modifier")
-    source = F.when(F.col("text").rlike(P.CLOCK), "time").when(F.col("text").rlike(r"\bmsg\s*\.\s*value\b"), "value").when(F.col("text").rlike(r"\b(?:msg\s*\.\s*sender|tx\s*\.\s*origin)\b"), "caller")
+    source = F.when(F.col("text").rlike(P.CLOCK), "time").when(F.col("text").rlike(r"\bmsg\s*\.\s*value\b"), "value").when(F.col("text").rlike(r"\b(?:msg\s*\.\s*sender|tx\s*\.\s*origin)\b"), "caller").when(F.col("text").rlike(r"\bblock\s*\.\s*difficulty\b|\bblockhash\s*\("), "block")
     name = F.regexp_extract("text", r"^\(?(?:[\w.\[\]]+\s+)?(?:memory\s+)?([A-Za-z_]\w*)\s*(?:,\s*)?\)?\s*=(?!=)", 1)
     defs = st.select(*KEY, "fn", "stmt_no", F.col("start_line").alias("line"), source.alias("source"), name.alias("name")).where("source is not null and name != ''")
     uses = _later(e, defs)
-    sink = F.when(F.col("use").rlike(r"(?i)^(?:require|assert)\s*\("), "require").when(F.col("use").rlike(r"(?i)^(?:\}\s*)*(?:else\s+)?if\s*\("), "if").when(F.col("use").rlike(r"(?i)^return\b"), "return").when(F.col("use").rlike(r"\["), "index").otherwise("assignment")
+    sink = F.when(F.col("use").rlike(r"(?i)^(?:require|assert)\s*\("), "require").when(F.col("use").rlike(r"(?i)^(?:\}\s*)*(?:else\s+)?if\s*\("), "if").when(F.col("use").rlike(r"(?i)^return\b"), "return").when(F.col("use").contains("%"), "modulo").when(F.col("use").rlike(r"\["), "index").otherwise("assignment")
     return uses.select("source_id", "fn", "source", "name", "line", sink.alias("sink"), F.col("at").alias("sink_line")).distinct()
 
 

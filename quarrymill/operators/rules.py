@@ -176,8 +176,7 @@ def call_decisions(e: Effects) -> DataFrame:
     names = F.filter(F.transform(F.split(left, ","), lambda p: F.regexp_extract(p, r"([A-Za-z_]\w*)\s*\)?\s*$", 1)), lambda n: (n != "") & ~n.isin("bool", "bytes", "memory", "address"))
     rows = st.select("source_id", "open_i", "contract", "fn", F.col("start_line").alias("line"), "end_line", "stmt_no", "text", method.alias("method"), control.alias("control"), before.alias("before"), names.alias("names"))
     rows = rows.withColumn("names", F.when(F.col("control") != "", F.array().cast("array<string>")).otherwise(F.col("names")))
-    later = e.facts.statements.where("not is_modifier").select("source_id", "open_i", F.col("stmt_no").alias("n"), F.col("start_line").alias("at"), F.col("text").alias("use"))
-    uses = rows.select("source_id", "open_i", "stmt_no", F.explode("names").alias("name")).join(later, KEY).where("n > stmt_no").where(F.expr(r"rlike(use, concat('\\b', name, '\\b'))"))
+    uses = rows.select("source_id", "open_i", "stmt_no", F.explode("names").alias("name")).join(e.facts.occurrences, [*KEY, "name"]).where("n > stmt_no")
     checks = F.col("use").rlike(r"(?i)^(?:\}\s*)*(?:else\s+)?(?:require|assert|if|while|(?:verify|check)\w*)\s*\(")
     kind = F.lower(F.regexp_extract("use", r"(?i)^(?:\}\s*)*(?:else\s+)?(\w+)\s*\(", 1))
     seen = uses.groupBy("source_id", "open_i", "stmt_no").agg(

@@ -494,3 +494,81 @@ def test_two_branches_on_a_line_of_assembly(spark):
     other = body.replace("iszero(ok)", "iszero(no)")
     e = _audited(spark, f"contract A {{\n  function f() public {{\n    assembly {{\n      {body}\n    }}\n  }}\n  function g() public {{\n    assembly {{\n      {other}\n    }}\n  }}\n}}")
     assert [(r.fn, r.line) for r in rule_uc6(e).collect()] == [("g", 10)]  # line 8 is the head of g
+
+
+def test_asset_actions_after_control_is_handed_away(spark):
+    """The three forms of RE5, what does not count, and the events that they stand on."""
+    from quarrymill.operators.flows import asset_events
+
+    e = _audited(
+        spark,
+        """contract A is ERC721 {
+  mapping(address => uint) balances;
+  function low(address to) public {
+    to.call{value: 1}("");
+    vault.deposit(1);
+    pool.withdraw(1);
+  }
+  function cast(address to) public {
+    IPool(to).borrow(1);
+    IERC20(to).transfer(to, 1);
+  }
+  function minted(address to) public {
+    token.transferFrom(to, to, 1);
+    shares.mint(to, 1);
+  }
+  function post(address to) public {
+    balances[to] = 1;
+    _safeMint(to, 1);
+    token.transfer(to, 1);
+  }
+  function locked(address to) public nonReentrant {
+    to.call("");
+    vault.deposit(1);
+  }
+  function before(address to) public {
+    vault.deposit(1);
+    to.call("");
+  }
+  function empty(address to) public {
+    tx.origin.call("");
+    IPair(to).swap(1, 2, to, new bytes(0));
+    desk.deposit(1);
+  }
+}""",
+    )
+    got = sorted((r.fn, r.line, r.sink_line, r.evidence_kind, r.confidence) for r in rule_re5(e).collect())
+    assert got == [
+        ("cast", 9, 10, "qualified_external_callback_before_external_asset_action", 0.85), ("low", 4, 5, "low_level_value_call_before_external_asset_action", 0.95),
+        ("minted", 13, 14, "token_transfer_before_external_asset_action", 0.85), ("post", 18, 19, "post_state_update_receiver_callback", 0.86),
+    ]
+    events = sorted((r.line, r.family, r.method) for r in asset_events(e).where("line < 20").collect())
+    assert events == [(5, "external", "deposit"), (6, "external", "withdraw"), (10, "external", "transfer"), (13, "external", "transferFrom"), (14, "mint", "mint"), (19, "external", "transfer")]
+
+
+def test_hooks_of_tokens_are_callbacks(spark):
+    from quarrymill.operators.flows import callback_events
+
+    e = _audited(spark, 'contract A {\n  function f(address to) public {\n    _callTokensToSend(to, 1);\n    r.tokensReceived(to, 1);\n    tx.origin.call("");\n    x = 1;\n  }\n  function tokensReceived(address a, uint n) external { y = 1; }\n}')
+    assert sorted((r.line, r.callback) for r in callback_events(e).collect()) == [(3, "erc777_sender_hook"), (4, "erc777_receiver_hook")]
+
+
+def test_what_names_flow_into(spark):
+    from quarrymill.operators.flows import def_use_chains
+
+    e = _audited(spark, "contract A {\n  function f() public {\n    uint t = block.timestamp;\n    uint winner = t % 10;\n    uint other = tt % 10;\n    bytes32 h = blockhash(1);\n    uint k = xs[uint(h)];\n    require(t > 1);\n  }\n}")
+    assert sorted(tuple(r)[2:] for r in def_use_chains(e).collect()) == [("block", "h", 6, "index", 7), ("time", "t", 3, "modulo", 4), ("time", "t", 3, "require", 8)]
+
+
+def test_keys_of_objects_inside_responses(spark):
+    """Extra and missing keys at every depth, with their paths; other modes have other objects."""
+    import json
+
+    variable = {"name": "x", "kind": 1}
+    constraint = {"id": "c", "description": "d", "expression": "e", "must_be": "true", "related_line": "7", "z3_schema": {"state_variables": [variable], "pre_conditions": [], "state_transitions": [], "more": {}}, "llm_reasoning": "l"}
+    finding = {"vulnerability_type": "reentrancy", "function_name": "f", "attack_path": "p", "temporal_pattern": "t", "ast_match_confidence": 0.9, "constraint_violation_confidence": 0.5, "constraints": [constraint]}
+    whole = {"identified_risks": [], "root_cause_analysis": "r", "primary_vulnerabilities": [], "findings": [finding]}
+    rows_ = [(1, 0, "four_field", json.dumps(whole)), (2, 0, "compact", '{"findings":[{"category":"reentrancy","function_name":"f","primary_line":3,"evidence_lines":[1],"reason":"r"}]}'), (3, 0, "compact", '{"findings":[{"category":"reentrancy","function_name":"f","primary_line":3,"evidence_lines":[1]}, null]}')]
+    got = {r.response_id: r.problems for r in M.validate_responses(spark.createDataFrame(rows_, "response_id long, source_id long, mode string, raw string")).collect()}
+    z3 = "findings[].constraints[].z3_schema"
+    assert got == {1: [f"extra_key:{z3}.more", f"extra_key:{z3}.state_variables[].kind", f"missing_key:{z3}.state_variables[].type"], 2: [], 3: ["unknown_label", "missing_key:findings[].reason"]}  # a null has no label
