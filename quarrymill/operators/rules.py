@@ -6,6 +6,8 @@ single source.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -495,6 +497,42 @@ PATTERN_RULES = [
 ]
 
 
+#: Rules of steps that must follow one another, by the first match of each; then at least one match of the last step after them.
+#: Name of the function, steps, last step, and what lets it off.
+ORDERED_RULES = [
+    (
+        "FR3_share", "front_running", r"(?i)^(?:deposit|depositTo)$",
+        [r"(?i)\b(?:underlyingTotal|totalAssets|underlyingBalance)\s*\(", r"(?i)\b(?:safeTransferFrom|transferFrom)\s*\(\s*msg\s*\.\s*sender\b", r"(?i)\bshares\b\s*=\s*[^;\n]*\btotalSupply\s*\(\s*\)"],
+        r"(?i)\b_mint\s*\(", r"(?i)\b(?:minShares|minShare|minimumShares|minimumShare|sharesMin|minMinted|mintedMin|amountOutMin|slippage)\b", 0.9,
+    ),
+]
+
+
+def ordered_steps(e: Effects, rules: list[tuple] = ORDERED_RULES) -> DataFrame:
+    """Public functions without a restriction whose body takes the steps of a rule in their order; evidence are the lines of the steps.
+
+    One pass over bodies gives the place of each step's first match; a rule compares its own places.
+    """
+    g = e.guards.where("visibility in ('public', 'external')").select(*KEY, "contract", "fn", "start_line", "body")
+    g = g.join(e.admin_restricted.where("not restricted").select(*KEY), KEY)
+    head = F.locate("{", F.col("body"))
+    found = []
+    for rule, _, name, steps, last, off, c in rules:
+        inner = F.expr("substring(body, locate('{', body) + 1)")
+        places = F.array(*[F.regexp_instr(inner, F.lit(p)) for p in steps])
+        row = g.where(F.col("fn").rlike(name) & ~F.col("body").rlike(off)).withColumns({"inner": inner, "places": places, "head": head})
+        rising = F.forall(F.sequence(F.lit(0), F.lit(len(steps) - 2)), lambda i: F.get("places", i) < F.get("places", i + 1))
+        row = row.where(F.forall("places", lambda p: p > 0) & rising)
+        tail = F.expr("substring(inner, element_at(places, -1))")
+        row = row.where(tail.rlike(last))
+        upto = lambda p: F.expr("start_line") + F.length(F.regexp_replace(F.substring(F.col("body"), F.lit(1), F.col("head") + p - 1), r"[^\n]", ""))
+        ends = F.split(F.col("inner"), last)
+        lasts = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.col("start_line") + F.length(F.regexp_replace(F.concat(F.substring(F.col("body"), F.lit(1), F.col("head")), F.array_join(F.slice(ends, F.lit(1), k), "")), r"[^\n]", "")))
+        lines = F.concat(F.array("start_line"), F.transform("places", upto), lasts)
+        found.append(row.select(*KEY, "contract", "fn", F.col("start_line").alias("line"), F.lit(rule).alias("rule"), F.lit(c).alias("c"), lines.alias("lines")))
+    return reduce(DataFrame.union, found)
+
+
 def pattern_scan(e: Effects, rules: list[tuple] = PATTERN_RULES) -> DataFrame:
     """Functions whose bodies fit a pattern rule, with the first line that fits its place.
 
@@ -508,7 +546,10 @@ def pattern_scan(e: Effects, rules: list[tuple] = PATTERN_RULES) -> DataFrame:
     of = lambda i, kind: F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r[0], r[i])]), F.col("rule")).cast(kind)
     rows = hits.join(lines, [*KEY, "rule"]).withColumn("c", of(5, "double"))
     out = _candidates(rows.withColumn("reason", F.concat("fn", F.lit("() matches "), "rule")), "PS1", "x", F.col("c"), F.col("rule"), F.col("reason"))
-    label = F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r[0], r[1])]), F.col("evidence_kind"))
+    if rules is PATTERN_RULES:
+        steps = ordered_steps(e)
+        out = out.unionByName(_candidates(steps, "PS1", "x", F.col("c"), F.col("rule"), F.concat("fn", F.lit("() takes the steps of "), "rule"), evidence_lines=F.col("lines")))
+    label = F.element_at(F.create_map(*[F.lit(v) for r in [*rules, *ORDERED_RULES] for v in (r[0], r[1])]), F.col("evidence_kind"))
     return out.withColumn("risk_type", label).withColumn("rule_id", F.col("evidence_kind"))
 
 
@@ -527,16 +568,17 @@ def hints(e: Effects) -> DataFrame:
 
 
 def loop_features(e: Effects) -> DataFrame:
-    """(source_id, fn, line, unbounded, sends): loops, whether a length or nothing with a number bounds them, whether ether or tokens are sent between their braces."""
+    """(source_id, fn, line, unbounded, sends, calls): loops, whether a length or nothing with a number bounds them, whether ether or tokens are sent between their braces, and whether others are called there."""
     st = e.facts.statements.where("not is_modifier")
     loops = st.where(F.col("text").rlike(r"^(?:for|while)\s*\("))
-    sent = st.where(F.col("text").rlike(r"\.(?:send|transfer)|\.call\{value:")).select(*KEY, F.col("first_i").alias("sent_i"))
+    sends = F.col("text").rlike(r"\.(?:send|transfer)|\.call\{value:")
+    out = st.where(sends | F.col("text").rlike(r"\.(?:call|delegatecall)")).select(*KEY, F.col("first_i").alias("out_i"), sends.alias("sends"))
     condition = F.when(F.col("text").startswith("for"), F.regexp_extract("text", r"(?s)^for\s*\([^;]*;([^;]*);", 1)).otherwise(F.regexp_extract("text", r"(?s)^while\s*\((.*)\)", 1))
     condition = F.trim(condition)
     unbounded = condition.contains(".length") | ((condition != "") & ~condition.rlike(r"\d"))
-    inside = loops.select(*KEY, "stmt_no", "first_i", "close_i").join(sent, KEY).where("sent_i > first_i and sent_i < close_i").select(*KEY, "stmt_no").distinct().withColumn("sends", F.lit(True))
+    inside = loops.select(*KEY, "stmt_no", "first_i", "close_i").join(out, KEY).where("out_i > first_i and out_i < close_i").groupBy(*KEY, "stmt_no").agg(F.max("sends").alias("sends"), F.lit(True).alias("calls"))
     rows = loops.join(inside, [*KEY, "stmt_no"], "left")
-    return rows.select("source_id", "fn", F.col("start_line").alias("line"), unbounded.alias("unbounded"), F.coalesce("sends", F.lit(False)).alias("sends"))
+    return rows.select("source_id", "fn", F.col("start_line").alias("line"), unbounded.alias("unbounded"), F.coalesce("sends", F.lit(False)).alias("sends"), F.coalesce("calls", F.lit(False)).alias("calls"))
 
 
 RULES = {

@@ -2008,8 +2008,8 @@ EXPECTED = {
         (9, None, None, [], 'approveSpender', False, False, False),
         (9, None, None, [], 'setPrice', False, False, False),
     ]),
-    'ef9_loop_features': ('fn:s line:l unbounded:b sends:b', [
-        (11, 'f', 15, True, False),
+    'ef9_loop_features': ('fn:s line:l unbounded:b sends:b calls:b', [
+        (11, 'f', 15, True, False, False),
     ]),
     'gu1_authorization': ('contract:s fn:s start_line:l auth_status:s auth_lines:L', [
         (0, 'Vault@', 'deposit', 11, 'none', []),

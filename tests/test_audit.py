@@ -309,6 +309,8 @@ def test_sends_stand_inside_their_loop(spark):
 
     got = sorted((r.line, r.unbounded, r.sends) for r in loop_features(e).collect())
     assert got == [(3, True, False), (7, False, True), (10, True, False), (11, True, True)]
+    more = _audited(spark, 'contract B {\n  function f(address[] memory a) public {\n    for (uint i = 0; i < a.length; i++) {\n      a[i].call("");\n    }\n    for (uint i = 0; i < 3; i++) {\n      x += i;\n    }\n    a[0].delegatecall("");\n  }\n}')
+    assert sorted((r.line, r.unbounded, r.sends, r.calls) for r in loop_features(more).collect()) == [(3, True, False, True), (6, False, False, False)]
 
 
 def test_who_is_restricted(spark):
@@ -572,3 +574,14 @@ def test_keys_of_objects_inside_responses(spark):
     got = {r.response_id: r.problems for r in M.validate_responses(spark.createDataFrame(rows_, "response_id long, source_id long, mode string, raw string")).collect()}
     z3 = "findings[].constraints[].z3_schema"
     assert got == {1: [f"extra_key:{z3}.more", f"extra_key:{z3}.state_variables[].kind", f"missing_key:{z3}.state_variables[].type"], 2: [], 3: ["unknown_label", "missing_key:findings[].reason"]}  # a null has no label
+
+
+def test_steps_in_their_order(spark):
+    """A share price taken before the transfer and minted without a bound; not with a bound, a restriction or another order."""
+    def deposit(name, head="public", first="uint t = totalAssets();", more=""):
+        return f"  function {name}(uint n) {head} {{\n    {first}\n    token.transferFrom(msg.sender, address(this), n);\n    uint t2 = t;\n    shares = n * totalSupply() / t;\n    {more}\n    _mint(msg.sender, shares);\n  }}\n"
+
+    text = "contract A {\n  uint shares;\n" + deposit("deposit") + "}\n" + "".join(f"contract B{i} {{\n  uint shares;\n{d}}}\n" for i, d in enumerate([deposit("deposit", more="require(shares >= minShares);"), deposit("depositTo", head="public onlyOwner"), deposit("deposit", first="uint t;", more="t = totalAssets();"), deposit("put")]))
+    e = _audited(spark, text)
+    got = [(r.rule_id, r.risk_type, r.contract, r.fn, r.line, r.evidence_lines, r.confidence) for r in pattern_scan(e).where("rule_id = 'FR3_share'").collect()]
+    assert got == [("FR3_share", "front_running", "A", "deposit", 3, [3, 4, 5, 7, 9], 0.9)]
