@@ -132,3 +132,5 @@ EMPTY_SWAP = r"(?i)new\s+bytes\s*\(\s*0\s*\)"
 SENDER_HOOK = r"(?i)\b_?callTokensToSend\s*\(|\.\s*tokensToSend\s*\("
 RECEIVER_HOOK = r"(?i)\b(?:tokensReceived|onERC777Received)\s*\("
 ORIGIN_CALL = r"(?i)\btx\s*\.\s*origin\s*\.\s*call\b"
+SETUP_NAMES = r"(?i)init|setup|configure|setowner|changeowner"
+OWNER_STATE = r"(?i)owner|admin|wallet|authority|master"

@@ -567,6 +567,37 @@ def hints(e: Effects) -> DataFrame:
     return rows.select("source_id", "fn", F.col("start_line").alias("line"), F.explode(found).alias("kind"))
 
 
+def risk_hints(e: Effects) -> DataFrame:
+    """(source_id, contract, fn, line, kind): what public functions lack, one row for each that holds.
+
+    missing_checks: stored state changes without any require or assert, and no result is
+    checked later; lifecycle: a function named like a setup, or one that changes an owner unchecked,
+    without restriction or initializer; fallback_call: a fallback calls others; overflow:
+    arithmetic that the compiler does not check (before 0.8) in a function that changes state.
+    """
+    from quarrymill.operators import flows as L
+
+    writes = e.state_writes.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("written"))
+    called = e.external_calls.select(*KEY).distinct().withColumn("calls", F.lit(True))
+    late = L.tracked_results(e).where("tracking = 'delayed_check'").select("source_id", "fn", "line").join(e.facts.line_functions.select(*KEY, F.col("line_no").alias("line")), ["source_id", "line"]).select(*KEY).distinct().withColumn("late", F.lit(True))
+    fallback = e.facts.functions.select(*KEY, "is_fallback")
+    rows = e.guards.where("visibility in ('public', 'external')").join(writes, KEY, "left").join(called, KEY, "left").join(late, KEY, "left").join(fallback, KEY).join(e.admin_restricted.select(*KEY, "restricted"), KEY)
+    rows = rows.join(pragma_versions(e.facts.sources).select("source_id", "major", "minor"), "source_id")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    writes_any = F.col("written").isNotNull() & ~F.col("is_constructor")
+    checked = F.col("body").rlike(r"\b(?:require|assert)\s*\(")
+    owner = F.exists(F.coalesce("written", F.array().cast("array<string>")), lambda n: n.rlike(P.OWNER_STATE))
+    guarded = F.exists("modifiers", lambda m: F.lower(m).contains("init")) | F.col("mutex_guard")
+    arithmetic = F.col("body").rlike(r"[+*-]\s*=|\w\s*[+*-]\s*\w")
+    old = (F.col("major") == 0) & (F.col("minor") < 8)
+    kinds = {
+        "missing_checks": writes_any & ~checked & ~is_("late"), "lifecycle": writes_any & (F.col("fn").rlike(P.SETUP_NAMES) | (owner & ~checked)) & ~F.col("restricted") & ~guarded,
+        "fallback_call": is_("is_fallback") & is_("calls"), "overflow": old & arithmetic & (F.col("written").isNotNull() | F.col("body").rlike(r"\w\[.*\]\s*[+*-]=")),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]), lambda x: x.isNotNull())
+    return rows.select("source_id", "contract", "fn", F.col("start_line").alias("line"), F.explode(found).alias("kind"))
+
+
 def loop_features(e: Effects) -> DataFrame:
     """(source_id, fn, line, unbounded, sends, calls): loops, whether a length or nothing with a number bounds them, whether ether or tokens are sent between their braces, and whether others are called there."""
     st = e.facts.statements.where("not is_modifier")

@@ -110,6 +110,23 @@ UNION ALL
 SELECT source_id, fn, line, 'external', method FROM e
 WHERE lower(method) IN ({", ".join(f"'{x}'" for x in EXTERNAL_ASSET_METHODS)}) AND (ends_with(receiver, ')') OR regexp_matches(receiver, '^[A-Z]') OR regexp_matches(receiver, '(?i)token|router|pool|vault|asset|auction|helper'))
   AND NOT (lower(method) = 'swap' AND regexp_matches(code, '(?i)new\s+bytes\s*\(\s*0\s*\)'))""",
+    "hi1_risk_hints": rf"""WITH {SOURCES_SQL}, m AS (SELECT source_id, string_split({_MASK}, chr(10)) AS codes FROM sources),
+f AS (SELECT f.*, v.major, v.minor, g.restricted, u.mutex_guard, array_to_string(m.codes[f.start_line:f.end_line], chr(10)) AS body
+  FROM ({expected_sql('tx6_functions')}) f JOIN m ON f.source_id = m.source_id JOIN ({expected_sql('tx3_pragma_versions')}) v ON f.source_id = v.source_id
+  JOIN ({expected_sql('gu2_admin_restricted')}) g ON f.source_id = g.source_id AND f.contract = g.contract AND f.fn = g.fn
+  JOIN ({expected_sql('gu3_mutex')}) u ON f.source_id = u.source_id AND f.contract = u.contract AND f.fn = u.fn AND f.start_line = u.start_line
+  WHERE f.visibility IN ('public', 'external')),
+w AS (SELECT f.source_id, f.start_line, string_agg(w.names, ',') AS names FROM f JOIN ({expected_sql('ef3_state_write_lines')}) w ON f.source_id = w.source_id AND w.line BETWEEN f.start_line AND f.end_line GROUP BY ALL),
+c AS (SELECT DISTINCT f.source_id, f.start_line FROM f JOIN ({expected_sql('ef5_external_calls')}) c ON f.source_id = c.source_id AND c.line BETWEEN f.start_line AND f.end_line),
+d AS (SELECT DISTINCT f.source_id, f.start_line FROM f JOIN ({expected_sql('uc7_tracked_results')}) t ON f.source_id = t.source_id AND t.line BETWEEN f.start_line AND f.end_line WHERE t.tracking = 'delayed_check'),
+a AS (SELECT f.*, w.names, w.names IS NOT NULL AS writes, c.source_id IS NOT NULL AS calls, d.source_id IS NOT NULL AS late, regexp_matches(body, '\b(require|assert)\s*\(') AS checked
+  FROM f LEFT JOIN w ON f.source_id = w.source_id AND f.start_line = w.start_line LEFT JOIN c ON f.source_id = c.source_id AND f.start_line = c.start_line LEFT JOIN d ON f.source_id = d.source_id AND f.start_line = d.start_line),
+k AS (
+  SELECT *, 'missing_checks' AS kind FROM a WHERE writes AND NOT is_constructor AND NOT checked AND NOT late
+  UNION ALL SELECT *, 'lifecycle' FROM a WHERE writes AND NOT is_constructor AND (regexp_matches(fn, '(?i)init|setup|configure|setowner|changeowner') OR (regexp_matches(names, '(?i)owner|admin|wallet|authority|master') AND NOT checked)) AND NOT restricted AND NOT (regexp_matches(modifiers, '(?i)init') OR mutex_guard)
+  UNION ALL SELECT *, 'fallback_call' FROM a WHERE is_fallback AND calls
+  UNION ALL SELECT *, 'overflow' FROM a WHERE major = 0 AND minor < 8 AND regexp_matches(body, '[+*-]\s*=|\w\s*[+*-]\s*\w') AND (writes OR regexp_matches(body, '\w\[.*\]\s*[+*-]=')))
+SELECT source_id, contract, fn, start_line AS line, kind FROM k""",
     "io4_archive_receipts": _R + f"SELECT response_id, class, class <> 'EMPTY_RESPONSE' AS present, class = 'JSON_OBJECT' AS strict_contract_valid, 'utf-8' AS encoding, 'lf' AS newline, strlen({_LF}) AS byte_length, sha256({_LF}) AS sha256 FROM responses JOIN known USING (t)",
     "mr1_classify": _R + "SELECT response_id, class, class <> 'EMPTY_RESPONSE' AS present, TRUE AS utf8_valid, class IN ('JSON_OBJECT', 'NON_OBJECT_JSON') AS json_syntax_valid, class = 'JSON_OBJECT' AS strict_contract_valid FROM responses JOIN known USING (t)",
     "mr2_canonical_hash": _R + "SELECT response_id, sha256(replace(canonical, '@', CAST(source_id AS VARCHAR))) AS canonical_sha256 FROM responses JOIN known USING (t)",

@@ -97,6 +97,7 @@ AUDIT: dict[str, Callable[[Effects], DataFrame]] = {
     "tm2_temporal_relations": lambda e: R.temporal_relations(e),
     "tm13_temporal_summary": _temporal_summary,
     "hi1_hints": lambda e: R.hints(e),
+    "hi1_risk_hints": lambda e: R.risk_hints(e),
     "hi2_hard_facts": lambda e: L.hard_facts(e),
     "gr14_def_use_chains": lambda e: L.def_use_chains(e),
     "uc5_undebited_transfers": lambda e: L.undebited_transfers(e),
