@@ -134,3 +134,21 @@ RECEIVER_HOOK = r"(?i)\b(?:tokensReceived|onERC777Received)\s*\("
 ORIGIN_CALL = r"(?i)\btx\s*\.\s*origin\s*\.\s*call\b"
 SETUP_NAMES = r"(?i)init|setup|configure|setowner|changeowner"
 OWNER_STATE = r"(?i)owner|admin|wallet|authority|master"
+#: Names and texts by which the rules on paths tell deposits, payouts, receipts and the uses of time.
+DEPOSIT_NAMES = r"(?i)^(?:deposit|redeem)(?:withtransfer|for|from)?$"
+PAYOUT_NAMES = r"(?i)claim|unstake|withdraw"
+TRANSFER_METHOD = r"(?i)\.\s*(safeTransferFrom|safeTransfer|transferFrom|transfer|send)\s*\("
+TRANSFER_ARGUMENTS = r"(?i)\.\s*(?:safeTransferFrom|safeTransfer|transferFrom|transfer|send)\s*\((.*)$"
+FROM_SENDER = r"(?i)\b(?:msg\.sender|sender)\b"
+TO_ITSELF = r"(?i)\b(?:address\s*\(\s*this\s*\)|this)"
+USER_POSITION = r"(?i)\[\s*(?:msg\.sender|sender|account|recipient|beneficiary)\s*\]|\b(?:user|account|position|deposit|stake|balance|reserve|claim|reward|share)\w*\s*\.\s*[A-Za-z_]\w*"
+REDEEMED_STATE = r"(?i)\b(?:grant|amountredeemed|tokenid|vesting)\b"
+CHECKED_TRANSFER = r"(?i)\brequire\s*\(|\b(?:success|ok|sent)\s*="
+TO_USER = r"(?i)\b(?:msg\.sender|account|recipient|sender|beneficiary)\b"
+RECEIPT_SOURCE = r"(?i)\b(?:createQuest|quest|receipt)\b|(?i)\b\w*receipt\b"
+END_WORDS = r"(?i)\b(?:endTime|deadline|expiry|expiration)\b"
+RECEIPT_NAMES = r"(?i)mint|receipt|claim|fulfill|redeem"
+CREATION_TIME = r"(?i)\b(?:createdAt|created|openedAt|startTime)\b\s*=\s*(?:block\.timestamp|now)\b"
+TIME_ELIGIBLE = r"(?i)\b(?:contribution|cap|limit|amount|msg\s*\.\s*value|balance|quota)\w*\b"
+TIME_RELEVANT = r"(?i)\b(?:checkpoint|reward|stake|order|expiration|deadline)\w*\b"
+TIME_CAPTURE = r"(?i)\b(?:unlock|expiry|expiration|release|maturity|start|end)\w*\b\s*="
