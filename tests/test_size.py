@@ -45,3 +45,9 @@ def test_rounds_of_a_closure_are_not_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(4)], "source_id long, a int, b int")
     assert graph.closure(edges).count() == 15
     assert "Broadcast" not in plans["closure"]
+
+
+def test_statements_are_dealt_once(spark, monkeypatch):
+    plans = _seen(monkeypatch, facts)
+    Facts(sources(spark, DATA)).statements
+    assert plans["statements"].count("Exchange hashpartitioning") == 1
