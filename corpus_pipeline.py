@@ -15,14 +15,15 @@ from quarrymill.llm.decontaminate import decontaminated
 from quarrymill.llm.line_dedup import line_dedup
 from quarrymill.llm.mixing import mixed_corpus
 from quarrymill.llm.near_copies import one_of_each
-from quarrymill.llm.quality import fitted_bands, judged
+from quarrymill.llm.quality import fitted_bands, judged, with_lang
 from quarrymill.llm.scratch import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside the tokeniser bands, fitted on the labelled rows, go; those without words fail."""
-    bands = fitted_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged(docs, bands, keep=True).where("kept")
+    measured = written(with_lang(docs, keep=True), "measures")
+    bands = fitted_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), measured=measured)
+    kept = judged(docs, bands, keep=True, measured=measured).where("kept")
     return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

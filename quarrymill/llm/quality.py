@@ -275,23 +275,25 @@ def _figures(m: int) -> dict[str, Column]:
     return {"fertility": F.col("word_chars") / tokens, "byte_share": F.col("n_byte_tokens")[m] / tokens, "entropy_share": F.when(tokens >= MIN_TOKENS, F.col("entropy")[m] / F.least(F.log2(tokens), F.lit(8.0)))}
 
 
-def fitted_bands(docs: DataFrame, labels: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, most: int = 8000, least: int = 50, tail: float = 0.002, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[Band, ...]]:
-    """Rejection bands by language (`lang:xx`) and script (`script:xx`), from about `most` rows that labels(doc_id, quality) call good.
+def with_lang(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
+    """measures of docs with the language that each row names (null where docs name none)."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    return measures(docs, vocabularies, id_col, text_col, keep, {"lang": lang})
+
+
+def fitted_bands(docs: DataFrame, labels: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, least: int = 50, tail: float = 0.002, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", measured: DataFrame | None = None) -> dict[str, tuple[Band, ...]]:
+    """Rejection bands by language (`lang:xx`) and script (`script:xx`), from all rows that labels(doc_id, quality) call good.
 
-    The rows are chosen by a hash of the id, so the sample is bounded whatever the corpus
-    holds, and only quantiles reach the driver.  A figure's bound is its `tail` quantile
+    Only quantiles reach the driver; `measured` are rows of with_lang over docs, where they are
+    at hand.  A figure's bound is its `tail` quantile
     among the good rows that pass the base rules, moved outwards by `slack` times its
     distance from the median.  Languages and scripts with fewer than `least` rows get none:
     their texts are judged by their script, or by WIDE.
     """
     good = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("label_id")).where("label_id is not null").distinct()
-    n = good.count()
-    if not n:
-        return {}
-    good = good.where(F.pmod(F.xxhash64(F.lit("bands"), "label_id"), F.lit(1_000_000)) < F.lit(min(1.0, most / n) * 1_000_000))
-    chosen = docs.join(F.broadcast(good), docs[id_col].cast("long") == good["label_id"], "left_semi")  # at most about `most` ids
-    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = measures(chosen, vocabularies, id_col, text_col, more={"lang": lang}).where(~base_failed())
+    if measured is None:
+        measured = with_lang(docs.join(good, docs[id_col].cast("long") == good["label_id"], "left_semi"), vocabularies, id_col, text_col, lang_col)
+    rows = measured.join(good, measured["doc_id"] == good["label_id"], "left_semi").where(~base_failed())
     rows = rows.withColumn("group", F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script")))).where("group is not null")
     wanted = F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))
     figures = {(m, name): c for m in range(len(vocabularies)) for name, c in _figures(m).items()}
@@ -325,12 +327,13 @@ def fits(bands: dict[str, tuple[Band, ...]], lang: Column, wide: tuple[Band, ...
     return out
 
 
-def judged(docs: DataFrame, bands: dict[str, tuple[Band, ...]] | None = None, vocabularies: tuple[str, ...] = VOCABULARIES, keep: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, bands: dict[str, tuple[Band, ...]] | None = None, vocabularies: tuple[str, ...] = VOCABULARIES, keep: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", measured: DataFrame | None = None) -> DataFrame:
     """measures, base_failed (under 10 words, or over 20 % of them in repeated windows) and kept (not base_failed, and within the bands).
 
     Bands come from fitted_bands; without any, WIDE judges all.  A null text or one without
-    words fails the base rules.  Each row is judged for itself and returned once.
+    words fails the base rules.  Each row is judged for itself and returned once.  `measured` are rows of
+    with_lang over docs, where they are at hand.
     """
-    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    out = measures(docs, vocabularies, id_col, text_col, keep, {"lang": lang}).withColumn("base_failed", base_failed())
+    out = with_lang(docs, vocabularies, id_col, text_col, lang_col, keep) if measured is None else measured
+    out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & fits(bands or {}, F.col("lang"), WIDE[:1] * len(vocabularies))).drop("lang")

@@ -14,7 +14,8 @@ from quarrymill.llm.merkle import merkle_manifest
 from quarrymill.llm.mixing import mix_sources
 from quarrymill.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from quarrymill.llm.pii import KINDS, personal_data
-from quarrymill.llm.quality import fitted_bands, judged
+from quarrymill.llm.quality import fitted_bands, judged, with_lang
+from quarrymill.llm.scratch import written
 from quarrymill.llm.secret_scan import secret_spans
 from quarrymill.llm.simhash import simhash_groups
 from quarrymill.llm.substring_dedup import substring_dedup
@@ -72,7 +73,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return judged(docs, fitted_bands(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured = written(with_lang(docs), "measures")
+    return judged(docs, fitted_bands(docs, _table(spark, sf_dir, "labels"), measured=measured), measured=measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
