@@ -31,6 +31,8 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 #: What each side's counts are scaled to, so that smoothing weighs the same in any corpus.
 _SCALE = 1_000_000.0
+#: Mean ratios of held-out identifiers are counted in steps of so much.
+_STEP = 0.001
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -123,12 +125,12 @@ def trained_models(docs: DataFrame, text_col: str = "text", generated: int = 400
     Random strings: what the hex and access patterns match, and `generated` made-up keys, as
     a corpus may hold few.  Ordinary: all text outside the patterns and outside the runs
     that are to be judged, as it stands and with its words joined as paths and in snake, kebab and
-    camel case, and placeholders.  A fifth of the texts, told by a hash, is not counted: about
-    `held` identifiers joined from their words (see compounds) and as many made-up keys of
-    another draw set the threshold at the least mean ratio that takes at most max_false of
+    camel case, and placeholders.  A fifth of the texts, told by a hash, is not counted: all
+    identifiers joined from their words (see compounds) and `held` made-up keys of
+    another draw set the threshold at the least mean ratio (in steps of _STEP) that takes at most max_false of
     the identifiers for secrets, or, where that leaves a gap to the keys, in its middle.
-    Pair counts grow with all documents; only two tables of them and the held-out
-    identifiers, bounded by `held`, reach the driver.
+    Pair counts grow with all documents; only two tables of them and the counts of the
+    identifiers' steps reach the driver.
     """
 
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -173,29 +175,39 @@ def trained_models(docs: DataFrame, text_col: str = "text", generated: int = 400
     chance = np.log((counts + 50 * single) / (counts.sum(2, keepdims=True) + 50))
     ratio = chance[1] - chance[0]
 
-    ordinary = _held_identifiers(texts, held)
+    steps, n_names = _held_scores(texts, ratio)
     models = Models(ratio, 0.0, 0.0, 0.0)
     keys = np.sort([models.score(x) for x in generated_strings(max(held, 1), seed=12)])
-    names = np.sort([models.score(x) for x in ordinary]) if ordinary else np.array([0.0])
-    top = float(names[min(int(np.ceil(len(names) * (1 - max_false))), len(names) - 1)]) + 1e-9
+    total = int(n_names.sum())
+    rank = min(int(np.ceil(total * (1 - max_false))), total - 1)
+    top = (float(steps[np.searchsorted(np.cumsum(n_names), rank, "right")]) * _STEP if total else 0.0) + 1e-9
     threshold = max(top, (top + float(keys[int(len(keys) * 0.01)])) / 2)
-    return Models(ratio, threshold, float((keys >= threshold).mean()), float((names >= threshold).mean()) if ordinary else 0.0)
+    return Models(ratio, threshold, float((keys >= threshold).mean()), float(n_names[steps * _STEP >= threshold].sum() / total) if total else 0.0)
 
 
-def _held_identifiers(texts: DataFrame, most: int, min_length: int = 20) -> list[str]:
-    """About `most` identifiers of min_length or more at the most, up to 8 of each held-out text that a hash picks."""
-    wanted = min(1.0, most * 5 / 8 / max(texts.count(), 1))  # of the fifth held out, 8 identifiers each
+def _held_scores(texts: DataFrame, ratio: np.ndarray, min_length: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, n): how many identifiers of min_length or more, joined from the words of all held-out texts, have a mean ratio up to each step and above the one before.
 
-    def joined(batches) -> Iterator[pa.RecordBatch]:
+    Only counts of steps reach the driver, as many as the ratios span, whatever the corpus holds.
+    """
+
+    def scored(batches) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
         for batch in small(batches):
-            out = []
             for raw in batch["text"].to_pylist():
-                if _held_out(raw) and xxhash.xxh64_intdigest(raw, 6) < wanted * 2**64:
-                    # a few of each text, so that long ones do not outweigh the others
-                    out += sorted((x for x in compounds(raw.decode("utf-8", "replace")) if len(x) >= min_length), key=lambda x: xxhash.xxh64_intdigest(x))[:8]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["name"])
-
-    return sorted(r[0] for r in texts.mapInArrow(joined, "name string").collect())
+                names = [x for x in compounds(raw.decode("utf-8", "replace")) if len(x) >= min_length] if _held_out(raw) else []
+                if names:
+                    kind = _CLASS[np.frombuffer("\n".join(names).encode(), np.uint8)]
+                    sums = np.append(0.0, np.cumsum(ratio[kind[:-1], kind[1:]]))
+                    size = np.array([len(x) for x in names])
+                    end = np.cumsum(size + 1) - 2  # where the last character of each stands
+                    means = (sums[end] - sums[end - size + 1]) / (size - 1)
+                    for step, n in zip(*np.unique(np.ceil(means / _STEP).astype(np.int64), return_counts=True)):
+                        counts[int(step)] = counts.get(int(step), 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["step", "n"])
+
+    rows = sorted(tuple(r) for r in texts.mapInArrow(scored, "step long, n long").groupBy("step").agg(F.sum("n")).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def secret_spans(docs: DataFrame, models: Models | None = None, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 """Models and bands come from all rows that may teach them: each test fails on the code before."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quarrymill.llm import quality
+from quarrymill.llm import quality, secret_scan
 
 
 def test_bands_from_all_good_rows(spark):
@@ -12,3 +13,17 @@ def test_bands_from_all_good_rows(spark):
     bands = quality.fitted_bands(documents, labels)
     assert set(bands) == {"lang:xx", "lang:yy", "script:latin"}  # the 50 rows of yy are just enough, if all are read
     assert quality.fitted_bands(documents, labels, measured=quality.with_lang(documents)) == bands
+
+
+def test_threshold_from_all_held_out_identifiers(spark):
+    rows = [(f"alpha{'bcdefgh'[i % 7]} words number{'xyz'[i % 3]} follow again " * (1 + i % 30),) for i in range(300)] + [(None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string").select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    ratio = np.random.default_rng(3).normal(size=(secret_scan._N, secret_scan._N))
+    steps, n = secret_scan._held_scores(texts, ratio)
+    model = secret_scan.Models(ratio, 0.0, 0.0, 0.0)
+    held = [t for (t,) in rows if t and secret_scan._held_out(t.encode())]
+    scores = [model.score(x) for t in held for x in secret_scan.compounds(t) if len(x) >= 20]
+    assert n.sum() == len(scores) > 8 * len(held)
+    up_to = dict(zip(steps.tolist(), np.cumsum(n).tolist()))
+    for step in steps.tolist():
+        assert abs(up_to[step] - sum(s <= step * secret_scan._STEP + 1e-9 for s in scores)) == 0
