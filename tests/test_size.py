@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from quarrymill import storage
-from quarrymill.operators import facts, graph
+from quarrymill.operators import facts, graph, paths, rules, symbols
+from quarrymill.operators.effects import Effects
 from quarrymill.operators.facts import Facts
 from quarrymill.sources.corpus import sources
 
@@ -51,3 +52,8 @@ def test_statements_are_dealt_once(spark, monkeypatch):
     plans = _seen(monkeypatch, facts)
     Facts(sources(spark, DATA)).statements
     assert plans["statements"].count("Exchange hashpartitioning") == 1
+
+
+def test_functions_of_libraries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _plan(paths.callback_libraries(Effects(Facts(sources(spark, DATA)))))
