@@ -57,3 +57,11 @@ def test_statements_are_dealt_once(spark, monkeypatch):
 def test_functions_of_libraries_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert "Broadcast" not in _plan(paths.callback_libraries(Effects(Facts(sources(spark, DATA)))))
+
+
+def test_words_stand_beside_their_statements(spark):
+    """Two functions of one name on one line keep their own words."""
+    text = "contract A { function f(uint a) public { uint price = a; x.transfer(y, 1); } function f(int b) public { uint z = b; x.transfer(y, price); } }"
+    e = Effects(Facts(spark.createDataFrame([(1, "a.sol", text)], "source_id long, path string, text string")))
+    assert rules.economic_bindings(e).count() == 0  # the price of the first function meets no sink of its own
+    assert _plan(rules.economic_bindings(e)).count("Join") == 1
