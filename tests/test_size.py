@@ -59,6 +59,19 @@ def test_functions_of_libraries_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in _plan(paths.callback_libraries(Effects(Facts(sources(spark, DATA)))))
 
 
+def test_guards_on_the_clock_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _plan(rules.guarded_actions(Effects(Facts(sources(spark, DATA)))))
+
+
+def test_clock_facts_need_no_effects(spark):
+    from quarrymill.plans import queries
+
+    e = Effects(Facts(sources(spark, DATA)))
+    assert queries.AUDIT["tm1_temporal_facts"](e).count() > 0
+    assert "direct_effects" not in vars(e) and not hasattr(e, "member_calls")
+
+
 def test_words_stand_beside_their_statements(spark):
     """Two functions of one name on one line keep their own words."""
     text = "contract A { function f(uint a) public { uint price = a; x.transfer(y, 1); } function f(int b) public { uint z = b; x.transfer(y, price); } }"
