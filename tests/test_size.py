@@ -78,3 +78,9 @@ def test_words_stand_beside_their_statements(spark):
     e = Effects(Facts(spark.createDataFrame([(1, "a.sol", text)], "source_id long, path string, text string")))
     assert rules.economic_bindings(e).count() == 0  # the price of the first function meets no sink of its own
     assert _plan(rules.economic_bindings(e)).count("Join") == 1
+
+
+def test_calls_are_found_once(spark, monkeypatch):
+    plans = _seen(monkeypatch, symbols)
+    symbols.calls_of(Effects(Facts(sources(spark, DATA))))
+    assert "regexp_extract_all" not in plans["member_calls"].split("Scan parquet")[0] and "calls" in plans
