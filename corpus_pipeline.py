@@ -38,7 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8; candidates by SimHash as in op3, and by MinHash) the row with the smallest id stays."""
     return one_of_each(docs, words=5, similarity=0.8)
 
 

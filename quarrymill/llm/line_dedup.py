@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarrymill.llm.scratch import written
+from quarrymill.llm.scratch import removed, written
 from quarrymill.llm.words import small
 
 LAST = 2**63 - 1
@@ -95,5 +95,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     hot = F.broadcast(common.where(F.col("n") >= least))  # at most MOST_HOT keys: each has that share of all pairs
     cold = held.join(hot, "key", "left_anti").join(common.where(F.col("n") < least), "key")
     drops = held.join(hot, "key").union(cold).where(owner != F.col("last")).groupBy("doc", "own").agg(F.collect_set("key").alias("dropped"))
+    drops = written(drops, "drops").hint("merge")  # its lists of keys are packed in files, not in memory
+    for done in (held, common):
+        removed(done)
     schema = StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept string")
     return rows.join(drops, ["doc", "own"], "left").mapInArrow(reassembled, schema.add(rows.schema["row"]) if keep else schema)

@@ -1,4 +1,4 @@
-"""Near copies by the shingles they share: MinHash candidates, each verified on its whole shingle sets."""
+"""Near copies by the shingles they share: SimHash and MinHash candidates, each verified on its whole shingle sets."""
 
 from __future__ import annotations
 
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarrymill.llm.graph import components
-from quarrymill.llm.scratch import written
+from quarrymill.llm.scratch import removed, written
+from quarrymill.llm.simhash import fingerprints, print_groups
 from quarrymill.llm.words import small
 
+#: Fingerprints link at so many differing bits, as those of op3; pairs that differ in more meet in the bands of MinHash values.
+BITS = 4
 #: A pair of similarity 0.8 meets in one of BANDS bands of ROWS hashes with a chance of 1 - (1 - 0.8^5)^30, above 0.99999.
 BANDS, ROWS = 30, 5
 #: PLANES bits of each of HASHES hashes make a sketch; a hash's bits differ between two sets with a chance of (1 - similarity) * (1 - 2^-PLANES).
@@ -48,11 +51,12 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """(key, doc, same, n_shingles, bands, sketch) for (key, doc, text): the digest of the shingle set, its size, the values of its bands, its sketch."""
+    """(key, doc, same, n_shingles, print, bands, sketch) for (key, doc, text): the digest of the shingle set, its size, its fingerprint, the values of its bands, its sketch."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [shingles(t, words) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            sets = [shingles(t, words) for t in texts]
             least = np.zeros((len(sets), HASHES), np.uint64)
             some = [i for i, s in enumerate(sets) if len(s)]
             if some:
@@ -65,9 +69,9 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             planes = [np.packbits(((least >> np.uint64(20 + 8 * p)) & np.uint64(1)).astype(bool), axis=1) for p in range(PLANES)]
             sketch = np.ascontiguousarray(np.hstack(planes)).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc"], pa.array(same), sizes, pa.array(rows, pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], ["key", "doc", "same", "n_shingles", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc"], pa.array(same), sizes, pa.array(fingerprints(texts, words).view(np.int64)), pa.array(rows, pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], ["key", "doc", "same", "n_shingles", "print", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "key string, doc long, same string, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "key string, doc long, same string, n_shingles long, print long, bands array<long>, sketch array<long>")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -107,7 +111,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     held = written(texts.join(needed, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "candidates")
     left = held.select(F.col("key").alias("key_a"), F.col("text").alias("x"))
     right = held.select(F.col("key").alias("key_b"), F.col("text").alias("y"))
-    return written(pairs.join(left, "key_a").join(right, "key_b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string"), "similar")
+    links = written(pairs.join(left, "key_a").join(right, "key_b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string"), "similar")
+    removed(held)
+    return links
 
 
 def linked(sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -127,8 +133,8 @@ def linked(sets: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     banded = banded.join(sets.select("same", "key", "n_shingles", "sketch", codes), "same")
     part = banded = written(banded, "bands")
     part = part.withColumn("part", F.col("same"))
-    most, low, high = most_differing(similarity), 0, 1
-    edges = None
+    most, low, high, part_table = most_differing(similarity), 0, 1, None
+    edges = found = None
     carried = ("key", "part", "rank", "n_shingles", "sketch", "codes")
     while True:
         leads = part.where((F.col("rank") > low) & (F.col("rank") <= high))
@@ -141,12 +147,19 @@ def linked(sets: DataFrame, texts: DataFrame, words: int, similarity: float) ->
         near = written(near.select("a", "b", "key_a", "key_b"), "pairs")
         new = _similar(near, texts, words, similarity)
         if edges is None or not new.isEmpty():
+            before = found
             found = written(components(new if edges is None else edges.union(new)).distinct(), "components")
+            if before is not None:
+                removed(before)
             edges = found.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
+        for done in (near, new, *([part_table] if part_table is not None else [])):
+            removed(done)
         low, high = high, high * GROWTH
         part = banded.where(F.col("n") > low).join(found, F.col("same") == F.col("node"), "left").select("band", "value", "same", "key", "n_shingles", "sketch", "codes", "rank", "n", F.coalesce("component", "same").alias("part"))
-        part = written(part.withColumns({"least": F.min("part").over(group), "last": F.max("part").over(group)}).where("least != last").drop("least", "last"), "open")
+        part = part_table = written(part.withColumns({"least": F.min("part").over(group), "last": F.max("part").over(group)}).where("least != last").drop("least", "last"), "open")
         if part.isEmpty():
+            for done in (part, banded):
+                removed(done)
             return found
 
 
@@ -155,8 +168,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     Two rows are near copies if their sets of `words`-word shingles have a Jaccard similarity
     of at least `similarity`; groups are what such pairs connect.  Texts with equal sets
-    (those without words too) are merged first; the others are candidates where a band of
-    MinHash values agrees, and candidates are verified on their whole sets (see linked).
+    (those without words too) are merged first; the others are candidates where fingerprints
+    link (the groups of op3, of `words`-word shingles) or a band of MinHash values agrees, and candidates are verified on their whole sets (see linked).
 
     Each row counts for itself, whether its id is null, repeated or neither; of rows that
     are alike in all columns one stays.  A null or empty text has the empty set; a very long
@@ -167,13 +180,19 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     key = F.md5(F.to_json(F.struct(*rest, F.md5(F.col(text_col).cast("string")).alias("__text"))))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc"), text.cast("binary").alias("text"))
     marked = written(_signed(texts, words), "signed")
-    sets = written(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    prints = written(marked.select("print", F.col("print").alias("least")).distinct(), "prints")
+    # repeats count in fingerprints, so equal sets may have several; any of them may name the candidates
+    sets = marked.groupBy("same").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.min("print").alias("print"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    bands = F.concat(F.array(F.xxhash64(F.lit("simhash"), "group")), "bands").alias("bands")  # the first band is the group of linked fingerprints
+    sets = written(sets.join(print_groups(prints, BITS), "print").select("same", "key", "n_shingles", bands, "sketch"), "sets")
     found = linked(sets, texts, words, similarity)
     named = marked.select("key", "doc", "same").join(found, F.col("same") == F.col("node"), "left")
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "key")).alias("first")
     kept = written(named.groupBy(F.coalesce("component", "same").alias("group")).agg(first).select(F.col("first.key").alias("kept_key")), "kept")
     # rows alike in all columns have one key; of those one stays
-    alike = marked.groupBy("key").count().where("count > 1").select("key")
+    alike = written(marked.groupBy("key").count().where("count > 1").select("key"), "alike")
+    for done in (marked, prints, sets, found):
+        removed(done)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("row_key")).join(kept, F.col("row_key") == F.col("kept_key"), "left_semi")
     repeated = keyed.join(alike, F.col("row_key") == F.col("key"), "left_semi").dropDuplicates(["row_key"])
     return keyed.join(alike, F.col("row_key") == F.col("key"), "left_anti").union(repeated).select("row.*")

@@ -333,6 +333,23 @@ def _midpoint_links(members: DataFrame, prints: DataFrame, bits: int) -> DataFra
     return rows.join(hub, "middle").where("least != hub.least").where(near).select(F.col("hub.least").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def print_groups(prints: DataFrame, bits: int) -> DataFrame:
+    """(print, group) of different fingerprints (print, least): groups are what links at `bits` (an even number) or fewer differing bits connect."""
+    if bits % 2:
+        raise ValueError("bits must be even")
+    plan = plan_parts(prints, bits)
+    spark = prints.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probed = _probed(prints, plan).repartition(n, "part", "value").sortWithinPartitions("part", "value")
+    links = written(probed.mapInArrow(_verified(bits), "a long, b long"), "links")
+    members = links.where("b is null")
+    edges = links.where("b is not null")
+    if members.limit(1).count():
+        edges = edges.union(_midpoint_links(members, prints, bits))
+    found = components(edges)
+    return prints.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("group"))
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: (doc_id, print, component_id) for every row of docs.
 
@@ -353,17 +370,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str =
         raise ValueError("bits must be even")
     marked = written(_fingerprinted(docs, words, id_col, text_col), "prints")
     prints = written(marked.select("print", F.col("print").alias("least")).distinct(), "distinct")
-    plan = plan_parts(prints, bits)
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    probed = _probed(prints, plan).repartition(n, "part", "value").sortWithinPartitions("part", "value")
-    links = written(probed.mapInArrow(_verified(bits), "a long, b long"), "links")
-    members = links.where("b is null")
-    edges = links.where("b is not null")
-    if members.limit(1).count():
-        edges = edges.union(_midpoint_links(members, prints, bits))
-    found = components(edges)
-    named = prints.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("group"))
+    named = print_groups(prints, bits)
     least = marked.groupBy("print").agg(F.min("doc").alias("doc")).join(named, "print").groupBy("group").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "group").select("print", "component_id")
     return marked.join(named, "print").select(F.col("doc").alias("doc_id"), "print", "component_id")
