@@ -187,10 +187,12 @@ def validate_responses(df: DataFrame) -> DataFrame:
         F.when(~F.forall(findings, lambda x: share(x["ast_match_confidence"]) & share(x["constraint_violation_confidence"])), "share_out_of_range"),
         F.when(~F.forall(findings, lambda x: x["primary_line"].isNull() | (x["primary_line"] >= 1)), "line_out_of_range"),
     )
-    inner = json_paths(rows.select("response_id", "mode", F.col("normalized_text").alias("text")))
+    rows = rows.select("response_id", "mode", F.col("normalized_text").alias("text"), F.filter(problems, lambda x: x.isNotNull()).alias("problems"))
+    rows = written(rows, "problems")  # read twice: the responses are parsed once
+    inner = json_paths(rows.select("response_id", "mode", "text"))
     named = F.concat("kind", F.lit(":"), "path", F.lit("."), "key")
     inner = inner.groupBy("response_id").agg(F.sort_array(F.collect_set(named)).alias("inside"))
-    rows = rows.withColumn("problems", F.filter(problems, lambda x: x.isNotNull())).join(inner, "response_id", "left")
+    rows = rows.join(inner, "response_id", "left")
     problems = F.concat("problems", F.coalesce("inside", F.array().cast("array<string>")))
     return rows.select("response_id", "mode", problems.alias("problems"), (F.size(problems) == 0).alias("valid"))
 

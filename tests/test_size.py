@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrymill import storage
-from quarrymill.operators import facts, graph, paths, rules, symbols
+from quarrymill.operators import facts, graph, paths, responses, rules, symbols
 from quarrymill.operators.effects import Effects
 from quarrymill.operators.facts import Facts
 from quarrymill.sources.corpus import sources
@@ -100,3 +100,11 @@ def test_pieces_of_blanks_and_odd_ends(spark):
     assert [(r["kind"], r["line"], r["body"]) for r in rows] == [
         (";", 1, "pragma solidity ^0.8.0"), ("{", 2, "contract A"), (";", 3, "uint  a"), (";", 3, ""), ("{", 5, "function f() public"), (";", 6, "a = 1"), ("}", 8, ""), ("}", 8, ""), ("", 9, ""),
     ]
+
+
+def test_responses_are_parsed_once(spark, monkeypatch):
+    plans = _seen(monkeypatch, responses)
+    rows = spark.createDataFrame([(1, "compact", '{"findings":[{"category":"gas"}]}'), (2, "compact", "[1]"), (3, "compact", None)], "response_id long, mode string, raw string")
+    out = responses.validate_responses(rows.withColumn("source_id", F.col("response_id")))
+    assert "ArrowEvalPython" in plans["problems"] and "ArrowEvalPython" not in plans["paths"] + _plan(out)
+    assert [(r["response_id"], r["valid"], len(r["problems"])) for r in out.collect()] == [(1, False, 5)]  # an unknown label and four missing keys
