@@ -622,7 +622,9 @@ RESPONSES_SQL = f"""responses AS (
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(response_id, source_id, mode, raw): one archived model response for each event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # as in sources: a file of few row groups would be parsed in as few tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").repartition(n, "event_id")
     source = (F.col("event_id") % 199 + 1).cast("long")
     number = F.col("event_id") % len(RESPONSES)
     raw = mode = None

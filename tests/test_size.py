@@ -6,6 +6,7 @@ from quarrymill import storage
 from quarrymill.operators import facts, graph, paths, responses, rules, symbols
 from quarrymill.operators.effects import Effects
 from quarrymill.operators.facts import Facts
+from quarrymill.sources import corpus
 from quarrymill.sources.corpus import sources
 
 DATA = "/root/testdata/sf0.001"
@@ -108,3 +109,7 @@ def test_responses_are_parsed_once(spark, monkeypatch):
     out = responses.validate_responses(rows.withColumn("source_id", F.col("response_id")))
     assert "ArrowEvalPython" in plans["problems"] and "ArrowEvalPython" not in plans["paths"] + _plan(out)
     assert [(r["response_id"], r["valid"], len(r["problems"])) for r in out.collect()] == [(1, False, 5)]  # an unknown label and four missing keys
+
+
+def test_responses_are_dealt_out_before_they_are_made(spark):
+    assert corpus.responses(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # its file is one split
