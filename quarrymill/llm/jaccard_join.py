@@ -13,6 +13,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -36,6 +37,8 @@ STEPS = 8
 SHORT, GROWTH = 8, 64
 #: A member of a list that others share is dealt so many times more than one that stands alone.
 OPEN = 4
+#: Marks by which texts that are in no pair are left where they are read.
+MARKS = 1 << 24
 _CHUNK, _LONG = 1 << 18, 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +191,22 @@ def _near(open_: DataFrame, turn: int, heavy: int, percent: int) -> DataFrame:
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _maybe_among(keys: DataFrame) -> Column:
+    """Whether a row's key may be among keys: always if it is, and by chance as often as marks are set.  MARKS bits reach the tasks, however many keys there are."""
+    mark = F.pmod(F.xxhash64("key"), F.lit(MARKS))
+    rows = keys.select(mark.alias("mark")).groupBy(F.floor(F.col("mark") / 64).cast("long").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(mark % 64 as int)))").alias("held")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[rows["at"].to_numpy()] = rows["held"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def among(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((marks[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return among(mark)
+
+
+def _verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity, by exact counts."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -201,8 +219,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, p
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], ["a", "b"])
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    keys = sets.select("id", "key").join(needed, "id", "left_semi")
-    held = written(texts.select("key", "text").join(keys, "key").select("id", "text").dropDuplicates(["id"]), "candidates")
+    keys = written(keys.join(needed, "id", "left_semi"), "wanted")
+    held = texts.select("key", "text").where(_maybe_among(keys)).join(keys, "key").dropDuplicates(["key"])  # an id has one key, by which they lie together
+    held = written(held.select("id", "text"), "candidates")
+    removed(keys)
     left, right = (held.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "x"), ("b", "y")))
     links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     removed(held)
@@ -212,6 +232,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, p
 def linked(sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, component) of the sets (id, key, n, prefix, bits, subsets, scanned) that links connect; None: there are no links.
 
+    sets is a table made by written(); it is removed once its prefixes are dealt to their lists.
+
     Members of a list are not compared all with all: in turns, a few of them (the same in all
     lists, by hash) are compared with those that are not yet in one component with them.
     Lists within one component close; turns go on until every list has closed or had each
@@ -222,12 +244,15 @@ def linked(sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     postings = _postings(sets.withColumn("part", F.col("id")), heavy, percent).withColumn("lead", F.xxhash64("id"))
     share = (F.col("lead") / 2.0**64 + 0.5) * F.col("members")
     turn = F.when((F.col("members") <= SHORT) | (F.col("lead") == F.col("first")), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(float(GROWTH), share)))).cast("int")
-    open_ = postings.join(_open(postings), ["kind", "list"]).withColumn("turn", turn).drop("members", "first").join(sets.select("id", "bits"), "id")
-    open_, now, found = written(open_, "open"), 0, None
+    # most postings end here: they are dealt with no more than tells them apart
+    open_ = postings.select("kind", "list", "id", "place").join(_open(postings), ["kind", "list"]).withColumns({"part": F.col("id"), "lead": F.xxhash64("id")})
+    open_ = open_.withColumn("turn", turn).drop("members", "first").join(sets.select("id", "n", "bits"), "id")
+    open_, keys, now, found = written(open_, "open"), written(sets.select("id", "key"), "keys"), 0, None
+    removed(sets)
     while not open_.isEmpty():
         near = written(_near(open_, now, heavy, percent), "near")
         if not near.isEmpty():
-            new = _verified(near, sets, texts, words, percent)
+            new = _verified(near, keys, texts, words, percent)
             if not new.isEmpty():
                 before = found
                 edges = new if found is None else new.union(found.select("node", "component").where("node != component"))
@@ -243,7 +268,8 @@ def linked(sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
         for done in (open_, near):
             removed(done)
         open_ = left
-    removed(open_)
+    for done in (open_, keys):
+        removed(done)
     return found
 
 
@@ -268,14 +294,18 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: s
     one = [F.first(c).alias(c) for c in ("n", "prefix", "bits", "subsets", "scanned")]
     sets = marked.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), *one)
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    # Prefixes and parities take most of the room: what is needed to the end goes without them.
+    sizes, names = written(marked.select("doc_id", "same", "n"), "sizes"), written(sets.select("same", "least", "id"), "names")
+    removed(marked)
     # The smallest size at which a set with one element more or less reaches the similarity: smaller sets link with equal ones only.
     fewest = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1)) if percent < 100 else None
     found = linked(sets.where(F.col("n") >= fewest), texts, words, percent) if fewest else None
-    named = sets.select("same", "least", F.col("id").alias("group"))
+    if not fewest:
+        removed(sets)
     if found is not None:
-        named = sets.join(found, F.col("id") == F.col("node"), "left").select("same", "least", F.coalesce("component", "id").alias("group"))
+        named = names.join(found, F.col("id") == F.col("node"), "left").select("same", "least", F.coalesce("component", "id").alias("group"))
         named = named.join(named.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("same", "component_id")
     else:
-        named = named.select("same", F.col("least").alias("component_id"))
-    empty = marked.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return marked.where("n > 0").join(named, "same").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+        named = names.select("same", F.col("least").alias("component_id"))
+    empty = sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return sizes.where("n > 0").join(named, "same").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)

@@ -1,5 +1,6 @@
 """The manifest, the Jaccard join and the clusters on small tables of hard rows, held against plain versions."""
 
+import os
 import random
 import zlib
 from hashlib import sha256
@@ -247,3 +248,27 @@ def test_the_tree_leaves_points_out():
     finally:
         centroids.squared = plain
     assert sum(met) < 16 * len(points) / 2
+
+
+def test_jaccard_groups_keep_little_on_disk(spark, monkeypatch):
+    """Prefixes go once they are dealt out, and texts in no pair stay where they are read."""
+    from quarrymill import storage
+
+    tables, left = [], []
+
+    def write(df, name):
+        if name == "candidates":
+            left.append({n for n, t in tables if os.path.exists(t)})
+        table = storage.written(df, name)
+        tables.append((name, table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]))
+        return table
+
+    monkeypatch.setattr(jaccard_join, "written", write)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard_groups(docs).collect()) == [1, 1, 3]
+    assert left and not {"signed", "sets"} & left[0]
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 1000, 10)], "key string")
+    passed = {r["key"] for r in spark.range(1000).select(F.format_string("k%d", "id").alias("key")).where(jaccard_join._maybe_among(keys)).collect()}
+    assert {f"k{i}" for i in range(0, 1000, 10)} <= passed and len(passed) < 110
