@@ -113,3 +113,9 @@ def test_responses_are_parsed_once(spark, monkeypatch):
 
 def test_responses_are_dealt_out_before_they_are_made(spark):
     assert corpus.responses(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # its file is one split
+
+
+def test_legacy_sources_are_not_broadcast(spark):
+    e = Effects(Facts(sources(spark, DATA)))
+    ops = spark.createDataFrame([(1,), (2,)], "source_id long")
+    assert "Broadcast" not in _plan(ops.join(paths._legacy(e), "source_id", "left_semi"))
