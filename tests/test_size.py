@@ -1,10 +1,13 @@
 """Plans of the audit on tables larger than the tests have: each test fails on the code before."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill import storage
-from quarrymill.operators import facts, graph, paths, responses, rules, symbols
-from quarrymill.operators.effects import Effects
+from quarrymill.operators import candidates, effects, facts, flows, graph, paths, responses, rules, symbols
+from quarrymill.operators.effects import KEY, Effects
 from quarrymill.operators.facts import Facts
 from quarrymill.sources import corpus
 from quarrymill.sources.corpus import sources
@@ -119,3 +122,18 @@ def test_legacy_sources_are_not_broadcast(spark):
     e = Effects(Facts(sources(spark, DATA)))
     ops = spark.createDataFrame([(1,), (2,)], "source_id long")
     assert "Broadcast" not in _plan(ops.join(paths._legacy(e), "source_id", "left_semi"))
+
+
+@pytest.fixture(scope="module")
+def corpus_effects(spark):
+    return Effects(Facts(sources(spark, DATA)))
+
+
+def _rule_plan(rule, e):
+    """The plan of a rule whose rows may be kept as a written table."""
+    return _plan(getattr(rule, "__wrapped__", rule)(e))
+
+
+def test_writes_of_arithmetic_need_no_lines_of_sources(corpus_effects, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _rule_plan(rules.rule_ar1, corpus_effects)
