@@ -137,3 +137,4 @@ def _rule_plan(rule, e):
 def test_writes_of_arithmetic_need_no_lines_of_sources(corpus_effects, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert "Broadcast" not in _rule_plan(rules.rule_ar1, corpus_effects)
+    assert "Broadcast" not in _plan(flows.arithmetic_provenance(corpus_effects))
