@@ -138,3 +138,9 @@ def test_writes_of_arithmetic_need_no_lines_of_sources(corpus_effects, monkeypat
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert "Broadcast" not in _rule_plan(rules.rule_ar1, corpus_effects)
     assert "Broadcast" not in _plan(flows.arithmetic_provenance(corpus_effects))
+
+
+@pytest.mark.parametrize("rule", [paths.rule_re4, paths.rule_re7, paths.callback_anchors], ids=["re4", "re7", "re10"])
+def test_texts_of_writes_are_not_broadcast(corpus_effects, monkeypatch, rule):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _rule_plan(rule, corpus_effects)
