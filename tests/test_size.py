@@ -144,3 +144,8 @@ def test_writes_of_arithmetic_need_no_lines_of_sources(corpus_effects, monkeypat
 def test_texts_of_writes_are_not_broadcast(corpus_effects, monkeypatch, rule):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert "Broadcast" not in _rule_plan(rule, corpus_effects)
+
+
+def test_sink_flows_broadcast_nothing(corpus_effects, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _plan(paths.sink_flows(corpus_effects))
