@@ -149,3 +149,30 @@ def test_texts_of_writes_are_not_broadcast(corpus_effects, monkeypatch, rule):
 def test_sink_flows_broadcast_nothing(corpus_effects, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert "Broadcast" not in _plan(paths.sink_flows(corpus_effects))
+
+
+def test_rules_are_written_one_by_one(corpus_effects, monkeypatch):
+    plans = _seen(monkeypatch, candidates)
+    monkeypatch.setattr(candidates, "ALL_RULES", {"AC5": rules.rule_ac5, "UC1": rules.rule_uc1})
+    candidates.all_candidates(Effects(corpus_effects.facts, corpus_effects.graph))
+    assert "Join" not in plans["candidates"]
+
+
+def test_patterns_look_ahead_from_the_start_only():
+    """Looking ahead over the whole body from each place of it takes the square of its length."""
+    assert not [rule for rule, _, must, *_ in rules.PATTERN_RULES if re.match(r"\(\?\w+\)\(\?=", must)]
+
+
+def test_texts_are_masked_once_for_versions_and_lines(corpus_effects):
+    for table in (rules.unchecked_arithmetic(corpus_effects), candidates.normalize(rules.rule_ac5(corpus_effects), corpus_effects)):
+        assert "/\\*.*?(?:\\*/|\\z)" not in _plan(table)  # only where the masked texts are written
+
+
+def test_names_of_a_source_meet_its_lines_without_another_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    plans = _seen(monkeypatch, effects)
+    text = "contract A { uint total; uint cap;\n function f(uint a) public {\n total = cap + a;\n a = 1;\n }\n function g() public {\n User storage u = users[0];\n u.paid = 1;\n }\n}"
+    e = Effects(Facts(spark.createDataFrame([(1, "a.sol", text), (2, "b.sol", "contract B {\n function f(uint total) public {\n total = 1;\n }\n}")], "source_id long, path string, text string")))
+    got = {(r["source_id"], r["line_no"]): (r["state_names"], r["writes"]) for r in e.line_flags.collect()}
+    assert got[1, 3] == (["cap", "total"], True) and got[1, 4] == (None, False) and got[1, 8] == (None, True) and got[2, 3] == (None, False)
+    assert plans["line_flags"].count("Exchange hashpartitioning") == 3
