@@ -176,3 +176,11 @@ def test_names_of_a_source_meet_its_lines_without_another_shuffle(spark, monkeyp
     got = {(r["source_id"], r["line_no"]): (r["state_names"], r["writes"]) for r in e.line_flags.collect()}
     assert got[1, 3] == (["cap", "total"], True) and got[1, 4] == (None, False) and got[1, 8] == (None, True) and got[2, 3] == (None, False)
     assert plans["line_flags"].count("Exchange hashpartitioning") == 3
+
+
+def test_slices_cut_texts_into_lines_once(corpus_effects, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    risky = corpus_effects.facts.functions.where("fn = 'withdraw'").select(*KEY).distinct()
+    plan = _plan(candidates.backward_slice(corpus_effects, risky, keep_whole=10))
+    assert plan.count("ReadSchema: struct<p_partkey") == 1  # lines and their number were made of two reads
+    assert "Broadcast" not in plan
